@@ -31,6 +31,8 @@ from larkspur.llm.decontaminate import words_of as ascii_words
 MAX_LABELLED = 12_000
 FEATURES = 4_096
 LEAST_DOCS = 4
+#: Least log-likelihood ratio of a mined feature; some hundred thousand candidates reach 15 by chance a few times.
+LEAST_RATIO = 15.0
 REMEMBERED = 300_000
 STEMS = (4, 5, 6)
 
@@ -151,8 +153,8 @@ def mine(sample: DataFrame, features: int = FEATURES) -> tuple[dict[bytes, int],
     c, d = F.lit(float(t)) - a, F.lit(float(n - t)) - b
     rest = F.lit(float(n)) - F.col("n")
     score = part(a, F.col("n") * share) + part(b, F.col("n") * (1 - share)) + part(c, rest * share) + part(d, rest * (1 - share))
-    rows = counted.select("feature", score.alias("score"), (a > F.col("n") * max(0.5, share)).alias("strong")).orderBy(F.desc("score"), "feature").limit(features).collect()
-    return {bytes(r.feature): i for i, r in enumerate(rows)}, np.array([r.strong and r.score > 4 for r in rows], bool)
+    rows = counted.select("feature", score.alias("score"), (a > F.col("n") * max(0.5, share)).alias("strong")).where(F.col("score") >= LEAST_RATIO).orderBy(F.desc("score"), "feature").limit(features).collect()
+    return {bytes(r.feature): i for i, r in enumerate(rows)}, np.array([r.strong for r in rows], bool)
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> np.ndarray:
