@@ -25,14 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
+from larkspur.llm.covering import shingle_hashes
 from larkspur.llm.decontaminate import words_of as ascii_words
 
 #: The most labelled rows that are used for fitting; they are the first by a hash of the id.
-MAX_LABELLED = 12_000
+MAX_LABELLED = 16_000
 FEATURES = 4_096
-LEAST_DOCS = 4
-#: Least log-likelihood ratio of a mined feature; some hundred thousand candidates reach 15 by chance a few times.
-LEAST_RATIO = 15.0
+#: A mined feature stands in so many of the rows at least, has so large a log-likelihood
+#: ratio, and to count as a voter's such a share of toxic rows.
+LEAST_DOCS, LEAST_PART = 4, 1 / 1000
+LEAST_RATIO, LEAST_SHARE = 15.0, 0.75
 REMEMBERED = 300_000
 STEMS = (4, 5, 6)
 
@@ -117,11 +119,20 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """(text, toxic) of at most ``most`` labelled rows of the training part."""
+    """(text, toxic) of at most ``most`` labelled rows of the training part; of copies,
+    told by their least hash of five words, one stays, lest their words seem typical."""
     usable = labels.where("doc_id is not null and toxic is not null").where(train_split(F.col("doc_id")))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = common.keyed_texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    return common.written(rows, "labelled")
+    rows = common.keyed_texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    schema = pa.schema([("least", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("toxic", pa.int32())])
+
+    def least_shingle(batch: pa.RecordBatch) -> dict[str, object]:
+        least = [shingle_hashes(t, 5).min(initial=(1 << 64) - 1) for t in batch.column("text").to_pylist()]
+        return {"least": np.array(least, np.uint64).view(np.int64)} | {c: batch.column(c) for c in ("doc_id", "text", "toxic")}
+
+    marked = rows.mapInArrow(common.map_columns(least_shingle, schema), "least long, doc_id long, text binary, toxic int")
+    once = marked.groupBy("least").agg(F.min_by(F.struct("text", "toxic"), F.struct("doc_id", "text")).alias("x"))
+    return common.written(once.select("x.text", "x.toxic"), "labelled")
 
 
 def mine(sample: DataFrame, features: int = FEATURES) -> tuple[dict[bytes, int], np.ndarray]:
@@ -143,7 +154,7 @@ def mine(sample: DataFrame, features: int = FEATURES) -> tuple[dict[bytes, int],
     n, t = int(total.n), int(total.t or 0)
     if not 0 < t < n:
         return {}, np.zeros(0, bool)
-    counted = sample.mapInArrow(count, "feature binary, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_DOCS)
+    counted = sample.mapInArrow(count, "feature binary, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= max(LEAST_DOCS, n * LEAST_PART))
 
     def part(observed: Column, expected: Column) -> Column:
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
@@ -153,7 +164,7 @@ def mine(sample: DataFrame, features: int = FEATURES) -> tuple[dict[bytes, int],
     c, d = F.lit(float(t)) - a, F.lit(float(n - t)) - b
     rest = F.lit(float(n)) - F.col("n")
     score = part(a, F.col("n") * share) + part(b, F.col("n") * (1 - share)) + part(c, rest * share) + part(d, rest * (1 - share))
-    rows = counted.select("feature", score.alias("score"), (a > F.col("n") * max(0.5, share)).alias("strong")).where(F.col("score") >= LEAST_RATIO).orderBy(F.desc("score"), "feature").limit(features).collect()
+    rows = counted.select("feature", score.alias("score"), (a > F.col("n") * max(LEAST_SHARE, share)).alias("strong")).where(F.col("score") >= LEAST_RATIO).orderBy(F.desc("score"), "feature").limit(features).collect()
     return {bytes(r.feature): i for i, r in enumerate(rows)}, np.array([r.strong for r in rows], bool)
 
 
