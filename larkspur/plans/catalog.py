@@ -1,6 +1,6 @@
 """All queries of the library, and their SQL."""
 
-from larkspur.plans import store_queries, text_queries  # noqa: F401
+from larkspur.plans import search_queries, store_queries, text_queries  # noqa: F401
 from larkspur.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
