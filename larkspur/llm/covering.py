@@ -72,11 +72,11 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return common.keyed_texts(docs).mapInArrow(common.map_columns(columns, schema), "doc_id long, fp long")
 
 
-def masks(radius: int) -> list[int]:
-    """The covering masks, as unsigned 64-bit integers."""
+def masks(radius: int, bits: int = 64) -> list[int]:
+    """The covering masks of so many bits, as unsigned integers."""
     vectors = range(1, 1 << (radius + 1))
-    of_bit = [vectors[i % len(vectors)] for i in range(64)]
-    return [sum(1 << i for i in range(64) if (of_bit[i] & v).bit_count() & 1) for v in vectors]
+    of_bit = [vectors[i % len(vectors)] for i in range(bits)]
+    return [sum(1 << i for i in range(bits) if (of_bit[i] & v).bit_count() & 1) for v in vectors]
 
 
 def _signed(x: int) -> int:
@@ -147,6 +147,135 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, large: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# Similarity beyond a few bits ------------------------------------------------------
+#
+# Texts that share 0.8 of their five-word shingles differ in about 0.15 of their
+# fingerprint bits, too many for one covering of 64.  So a fingerprint of 192 bits is
+# cut into six blocks, each covered with radius 3: two such texts agree to within 3
+# bits in some block with probability 0.85 (0.96 at similarity 0.85, 0.99 at 0.9), and
+# of those that meet, the ones that differ in at most ``MOST_BITS`` of all bits are
+# linked.  The keys have 17 bits and a table number, so compared pairs grow with the
+# square of the rows in a bucket; wider blocks of a larger radius lengthen them.
+
+WIDTH, BLOCK_BITS, BLOCK_RADIUS, MOST_BITS = 3, 32, 3, 33
+_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+
+
+def wide_fingerprint(text: bytes, words: int) -> list[int]:
+    """Three signed 64-bit parts voted by the hashes of all shingles."""
+    from xxhash import xxh3_128_digest
+
+    split = text.lower().split()
+    if not split:
+        return [0] * WIDTH
+    joined = b" ".join(split)
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(split) - words + 1)
+    spans = zip(starts[:n].tolist(), ends[min(words, len(split)) - 1 :].tolist(), strict=True)
+    two = np.frombuffer(b"".join([xxh3_128_digest(joined[a:b]) for a, b in spans]), np.uint64).reshape(-1, 2)
+    third = (two[:, 0] ^ (two[:, 1] >> np.uint64(31))) * _MIX[0]
+    third = (third ^ (third >> np.uint64(33)) ^ two[:, 1]) * _MIX[1]
+    hashes = np.concatenate([two, (third ^ (third >> np.uint64(29)))[:, None]], 1)
+    votes = np.zeros(64 * WIDTH, np.int64)
+    for i in range(0, n, 1 << 15):
+        votes += np.unpackbits(np.ascontiguousarray(hashes[i : i + (1 << 15)]).view(np.uint8).reshape(-1, 8 * WIDTH), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(votes * 2 > n).view(">i8").tolist()
+
+
+def star_links(pairs: np.ndarray) -> np.ndarray:
+    """(node, least node reachable) for the nodes of (u, v) pairs that are not the least."""
+    nodes, index = np.unique(pairs, return_inverse=True)
+    u, v = index.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return np.stack([nodes[moved], nodes[label[moved]]], 1)
+
+
+def _near_in_buckets(rows: np.ndarray, most: int) -> np.ndarray:
+    """(u, v) of rows (bucket, node, parts of the fingerprint) of one bucket, which stand
+    together, that differ in at most ``most`` bits: every row is compared with the one d
+    places on, for each d."""
+    bucket, node, parts = rows[:, 0], rows[:, 1], [np.ascontiguousarray(x).view(np.uint64) for x in rows[:, 2:].T]
+    found = []
+    at = np.arange(len(node) - 1)
+    d = 1
+    while len(at):
+        at = at[at + d < len(node)]
+        at = at[bucket[at] == bucket[at + d]]
+        differ = sum((np.bitwise_count(x[at] ^ x[at + d]).astype(np.int16) for x in parts), np.zeros(len(at), np.int16))
+        near = at[differ <= most]
+        found.append(np.stack([node[near], node[near + d]], 1))
+        if len(found) > 64:
+            found = [star_links(np.concatenate(found))]
+        d += 1
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, most: int = MOST_BITS, large: int = LARGE) -> DataFrame:
+    """(doc_id, component_id) of every row with a ``doc_id``: the least ``doc_id`` reachable
+    through texts alike to about 0.8 in their shingles."""
+    fields = [f"p{i}" for i in range(WIDTH)]
+    schema = pa.schema([("doc_id", pa.int64()), *((f, pa.int64()) for f in fields)])
+
+    def columns(batch: pa.RecordBatch) -> dict[str, object]:
+        found = [wide_fingerprint(t, words) for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id")} | {f: [x[i] for x in found] for i, f in enumerate(fields)}
+
+    rows = common.keyed_texts(docs).where("doc_id is not null").mapInArrow(common.map_columns(columns, schema), "doc_id long, " + ", ".join(f"{f} long" for f in fields))
+    prints = common.written(rows, "wide-fingerprints")
+    distinct = prints.groupBy(*fields).agg(F.min("doc_id").alias("node"))
+    low = F.lit((1 << BLOCK_BITS) - 1)
+    blocks = [x for f in fields for x in (F.shiftrightunsigned(f, 32), F.col(f).bitwiseAND(low))]
+    tables = masks(BLOCK_RADIUS, BLOCK_BITS)
+    keys = [F.lit((i * len(tables) + j) << BLOCK_BITS).bitwiseOR(x.bitwiseAND(F.lit(m))) for i, x in enumerate(blocks) for j, m in enumerate(tables)]
+    keyed = distinct.select("node", *fields, F.explode(F.array(*keys)).alias("key"))
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large)
+    links_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def out(pairs: np.ndarray) -> pa.RecordBatch:
+        stars = star_links(pairs) if len(pairs) else pairs
+        return pa.RecordBatch.from_pydict({"u": stars[:, 0], "v": stars[:, 1]}, schema=links_schema)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; a bucket that goes on in the next batch waits for it."""
+        rest = np.empty((0, 2 + WIDTH), np.int64)
+        for batch in batches:
+            now = np.concatenate([rest, np.stack([np.asarray(batch.column(c)) for c in ("key", "node", *fields)], 1)])
+            if len(now):
+                cut = int(np.searchsorted(now[:, 0], now[-1, 0]))
+                rest, now = now[cut:], now[:cut]
+                yield out(_near_in_buckets(now, most))
+        yield out(_near_in_buckets(rest, most))
+
+    cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    found = cold.select("key", "node", *fields).mapInArrow(link, "u long, v long")
+
+    # A bucket of over ``large``: its rows in parts, every two parts together in one task.
+    parts = F.ceil(F.col("n") * 2 / large).cast("int")
+    split = keyed.join(hot, "key").withColumn("part", F.pmod(F.xxhash64(*fields), parts).cast("int"))
+    pairs = split.select("key", "node", *fields, "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    grouped = pairs.groupBy("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.collect_list(F.struct("key", "node", *fields)).alias("rows"))
+
+    def link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("rows"):
+                yield out(_near_in_buckets(np.stack([np.asarray(x.values.field(i)) for i in range(2 + WIDTH)], 1), most))
+
+    found = found.unionByName(grouped.select("rows").mapInArrow(link_parts, "u long, v long"))
+    named = distinct.join(components(found.distinct(), "wide-links"), "node", "left").select(*fields, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, fields).select("doc_id", "component_id")
+
+
 def hexed(name: str = "fp"):
     """16 lowercase hex digits of a signed 64-bit column."""
     return F.lower(F.lpad(F.hex(F.col(name)), 16, "0"))

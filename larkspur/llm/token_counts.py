@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import common
 
 CHUNK = 1 << 16
-REMEMBERED, STATES = 400_000, 1_500_000
+REMEMBERED, STATES = 400_000, 1_200_000
 
 #: White space of the pre-token pattern, and the pattern itself.
 WIDE_SPACE = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -62,7 +62,7 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: dict[int, int] = {}  # state * 256 + byte: following state
         self.count, self.last = [0], [b""]
 
     def encode(self, data: bytes) -> list[bytes]:
@@ -91,7 +91,7 @@ class Transducer:
             self.reset()
         state, path = 0, [0]
         for i, byte in enumerate(word):
-            follow = self.next[state].get(byte)
+            follow = self.next.get(state << 8 | byte)
             if follow is None:
                 follow = self._extend(state, path, word, i)
             state = follow
@@ -107,8 +107,7 @@ class Transducer:
                     break
         else:
             raise ValueError(f"no token ends {word[: i + 1]!r}")
-        new = self.next[state][word[i]] = len(self.count)
-        self.next.append({})
+        new = self.next[state << 8 | word[i]] = len(self.count)
         self.count.append(self.count[origin] + 1)
         self.last.append(token)
         return new

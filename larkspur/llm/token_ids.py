@@ -9,11 +9,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
 
+#: ASCII punctuation but the apostrophe, which starts contractions.
+PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+PIECES = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -39,7 +45,7 @@ def _grown(x: np.ndarray, size: int) -> np.ndarray:
 class WordEncoder:
     """Ids of whole texts as uint32 arrays; about ``limit`` words are remembered."""
 
-    JOINED = 64
+    JOINED = 128
     SPECIAL = b"<|"
 
     def __init__(self, path: str, limit: int = 900_000):
@@ -57,7 +63,9 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.numbers = _Numbering()
+        self.pieces: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
+        self.piece_starts, self.piece_counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.known = self.used = 0
 
@@ -65,18 +73,26 @@ class WordEncoder:
         """One run of letters that stays one run when normalised."""
         return word.isalpha() and max(word) < "ɐ" and "İ" not in word
 
-    def learn(self) -> None:
-        """Ask the library for the new words: plain ones many at a time, as each
-        ends with its only end-of-word id, the others one by one."""
-        words = [w.decode() for w in self.numbers.new]
-        self.numbers.new.clear()
-        plain = [i for i, w in enumerate(words) if self._plain(w)]
+    def _cut(self, word: str) -> list[str]:
+        """A word as pieces that the pre-tokenizer separates in any case: runs of plain
+        letters and of ASCII punctuation without apostrophes; else the word as it is."""
+        if self._plain(word) or "<|" in word:
+            return [word]
+        parts = PIECES.findall(word)
+        if len(parts) > 1 and sum(map(len, parts)) == len(word) and all(p[0] in PUNCTUATION or self._plain(p) for p in parts):
+            return parts
+        return [word]
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Ask the library for pieces: plain ones many at a time, as each ends with its
+        only end-of-word id, the others one by one."""
+        plain = [i for i, w in enumerate(new) if self._plain(w)]
         groups = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
-        taken = set()
+        taken: set[int] = set()
         parts: list[np.ndarray] = []
         order: list[int] = []
         sizes: list[np.ndarray] = []
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join([new[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
@@ -84,19 +100,47 @@ class WordEncoder:
                 sizes.append(np.diff(ends, prepend=0))
                 order += group
                 taken.update(group)
-        rest = [i for i in range(len(words)) if i not in taken]
-        for i, found in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+        rest = [i for i in range(len(new)) if i not in taken]
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False), strict=True):
             parts.append(np.array(found.ids, np.uint32))
             sizes.append(np.array([len(found.ids)]))
             order.append(i)
         flat, counts = np.concatenate(parts), np.concatenate(sizes)
-        m = self.known + len(words)
-        self.starts, self.counts, self.ids = _grown(self.starts, m), _grown(self.counts, m), _grown(self.ids, self.used + len(flat))
-        at = self.known + np.array(order)
-        self.counts[at] = counts
-        self.starts[at] = self.used + np.cumsum(counts) - counts
+        before = len(self.pieces)
+        self.pieces.update(zip(new, range(before, before + len(new)), strict=True))
+        m = len(self.pieces)
+        self.piece_starts, self.piece_counts, self.ids = _grown(self.piece_starts, m), _grown(self.piece_counts, m), _grown(self.ids, self.used + len(flat))
+        at = before + np.array(order)
+        self.piece_counts[at] = counts
+        self.piece_starts[at] = self.used + np.cumsum(counts) - counts
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+
+    def learn(self) -> None:
+        """Take up the new words.  A word of one piece shares the piece's ids; one of
+        several pieces gets a run of its own."""
+        cut = [self._cut(w.decode()) for w in self.numbers.new]
+        self.numbers.new.clear()
+        if new := list(dict.fromkeys(p for parts in cut for p in parts if p not in self.pieces)):
+            self._learn_pieces(new)
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        no = np.fromiter((self.pieces[p] for parts in cut for p in parts), np.int64, int(sizes.sum()))
+        first = np.cumsum(sizes) - sizes
+        counts = np.add.reduceat(self.piece_counts[no], first)
+        m = self.known + len(cut)
+        self.starts, self.counts = _grown(self.starts, m), _grown(self.counts, m)
+        self.counts[self.known : m] = counts
+        starts = self.piece_starts[no[first]]
+        many = np.repeat(sizes > 1, sizes)
+        part_counts = self.piece_counts[no[many]]
+        total = int(part_counts.sum())
+        self.ids = _grown(self.ids, self.used + total)
+        ends = np.cumsum(part_counts)
+        self.ids[self.used : self.used + total] = self.ids[np.repeat(self.piece_starts[no[many]] - (ends - part_counts), part_counts) + np.arange(total)]
+        own = np.cumsum(counts[sizes > 1])
+        starts[sizes > 1] = self.used + own - counts[sizes > 1]
+        self.starts[self.known : m] = starts
+        self.used += total
         self.known = m
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

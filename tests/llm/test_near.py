@@ -112,3 +112,30 @@ def test_block_tables_find_all(spark):
     queries = [x.fp for x in df.limit(20).collect()]
     mask = (1 << 64) - 1
     assert got == {(q, f) for q in queries for f in fps if ((q ^ f) & mask).bit_count() <= 3}
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("large", [8192, 3])
+def test_similar_documents(spark, large):
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts, of = [], []
+    for g in range(40):
+        base = list(r.choice(words, 300))
+        for edits in (0, 0, 1, 3, 5):
+            t = list(base)
+            for i in r.choice(300, edits, replace=False):
+                t[i] = str(r.choice(words))
+            texts.append(" ".join(t))
+            of.append(g)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x"), (900, None), (901, "")], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in covering.similar_documents(df, large=large).collect()}
+    assert len(got) == len(texts) + 2 and got[901] == got[900] == 900
+    for i, g in enumerate(of):
+        assert of[got[i]] == g  # unlike texts stay apart
+    missed = sum(got[i] != 5 * of[i] for i in range(len(texts)) if jaccard(texts[i], texts[5 * of[i]]) >= 0.85)
+    assert missed <= 4
