@@ -100,4 +100,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_huffman_ids, op3_token_counts, op4_packing, op5_near_duplicates, op6_decontamination, op7_toxicity, op8_interleaved_shards, op9_repeated_substrings, op10_fingerprints, pipeline)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Where SQL can express a query; the others are tested against brute force, round trips or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS phrase FROM b, range(1, 100000) t(i) WHERE len(w) > 0 AND i <= greatest(1, len(w) - 9)),
+sizes AS (SELECT DISTINCT size FROM p),
+x AS (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+m AS (SELECT DISTINCT r, i, x.size, item FROM x JOIN p ON x.phrase = p.phrase AND x.size = p.size),
+h AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + size)) AS place FROM m) GROUP BY r),
+n AS (SELECT r, count(DISTINCT item) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN n ON d.r = n.r""",
+}
