@@ -363,7 +363,7 @@ def fuzzy_entities(spark, d):
 
 _SKILLS = ["ai", "rag", "src3"]
 _MEAN = "(SELECT list(x ORDER BY i) FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM vectors) GROUP BY i))"
-_SCORE = f"0.30::DOUBLE * importance + 0.25::DOUBLE * exp(-greatest(age_days, 0) / 30) + 0.25::DOUBLE * CASE WHEN is_pinned THEN 1 ELSE 0 END + 0.10::DOUBLE * coalesce(greatest(0, least(1, list_cosine_similarity(vector, mean))), 0) + 0.10::DOUBLE * CASE WHEN list_has_any(list_concat({_TOPICS}, [platform]), ['ai', 'rag', 'src3']) THEN 1 ELSE 0 END"
+_SCORE = f"0.30::DOUBLE * importance + 0.25::DOUBLE * exp(-greatest(age_days, 0) / 30) + 0.25::DOUBLE * CASE WHEN is_pinned THEN 1 ELSE 0 END + 0.10::DOUBLE * CASE WHEN vector IS NULL THEN 0 ELSE greatest(0, least(1, list_cosine_similarity(vector, mean))) END + 0.10::DOUBLE * CASE WHEN list_has_any(list_concat({_TOPICS}, [platform]), ['ai', 'rag', 'src3']) THEN 1 ELSE 0 END"
 _SCORED = f"{MV}, scored AS (SELECT m.id, is_pinned, created_minute, {_SCORE.replace('platform]', 'm.platform]')} AS score FROM (SELECT * FROM memories WHERE status = 'active') m LEFT JOIN vectors v ON m.id = v.id, (SELECT {_MEAN} AS mean))"
 
 
