@@ -1,63 +1,58 @@
 """Similarity joins on vectors: near-duplicates, corroboration, contradiction, merging.
 
-Pairs above a threshold come from blocks of vectors: the smaller side is cut into
-blocks of bounded size that tasks read one after the other, and each task multiplies
-its rows with a block as matrices.  No pair below the threshold leaves a task.
+Pairs above a threshold come from blocks of vectors: both sides are cut into blocks of
+bounded size by a hash of the id, and a task multiplies one block of each as matrices.
+No vector passes through the driver, and no pair below the threshold leaves a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 8192
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
     rows = [np.asarray(x, np.float64) for x in column.to_pylist()]
     m = np.stack(rows) if rows else np.zeros((0, 1))
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, score) with a from ``left``, b from ``right``, a <> b and cosine >= threshold."""
-    clean = right.where("id is not null and vector is not null").select("id", "vector")
-    n = clean.count()
-    blocks = max(1, -(-n // block_rows))
-    out = None
-    for i in range(blocks):
-        part = clean.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else clean
-        pdf = part.toPandas()
-        ids = pdf["id"].to_numpy(np.int64)
-        matrix = _matrix(pa.array(pdf["vector"].tolist())) if len(pdf) else np.zeros((0, 1))
-        found = left.where("id is not null and vector is not null").select("id", "vector").mapInArrow(_against(ids, matrix, threshold), "a long, b long, score double")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _against(ids: np.ndarray, matrix: np.ndarray, threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
-                own = np.array(part.column("id").to_pylist(), np.int64)
-                if not len(ids) or not len(own):
-                    continue
-                scores = _matrix(part.column("vector")) @ matrix.T
-                i, j = np.nonzero(scores >= threshold)
-                keep = own[i] != ids[j]
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_pydict({"a": own[i], "b": ids[j], "score": scores[i, j]}, schema=schema)
+def _blocks(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+    """Rows with their block, once for every block of the other side."""
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own)
+    return df.select(F.col("id").alias(f"id_{own}"), F.col("vector").alias(f"vector_{own}"), block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
-    return run
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, score) with a from ``left``, b from ``right``, a <> b and cosine >= threshold.
+    Rows with a null id or vector are left out; vectors must be of one length."""
+    left, right = (df.where("id is not null and vector is not null").select("id", "vector") for df in (left, right))
+    n, m = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return PAIRS.empty_table()
+        ids, others = x.column("id_l").to_numpy(), y.column("id_r").to_numpy()
+        matrix, found = _unit(y.column("vector_r")).T, []
+        rows = _unit(x.column("vector_l"))
+        for start in range(0, len(ids), 512):
+            scores = rows[start : start + 512] @ matrix
+            i, j = np.nonzero(scores >= threshold)
+            keep = ids[start + i] != others[j]
+            i, j = i[keep], j[keep]
+            found.append(pa.Table.from_pydict({"a": ids[start + i], "b": others[j], "score": scores[i, j]}, schema=PAIRS))
+        return pa.concat_tables(found)
+
+    a = _blocks(left, "l", n, "r", m).groupBy("l", "r")
+    b = _blocks(right, "r", m, "l", n).groupBy("l", "r")
+    return a.cogroup(b).applyInArrow(compare, "a long, b long, score double")
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
