@@ -34,12 +34,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/larkspur/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps reuse the
     files, and a lost executor costs none of them."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,5 +77,19 @@ def map_columns(make: Callable[[pa.RecordBatch], dict[str, object]], schema: pa.
     return run
 
 
-def partitions_for(total_bytes: int, each: int, least: int = 1) -> int:
-    return max(least, -(-int(total_bytes) // each))
+_held: tuple[object, object] | None = None
+
+
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """The one object that a worker process keeps between tasks: what another operator
+    kept is let go first, so that caches of several operators never add up."""
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None
+        _held = (key, make())
+    return _held[1]
+
+
+def drop_worker_cache() -> None:
+    global _held
+    _held = None

@@ -23,7 +23,7 @@ from larkspur.llm import common
 from larkspur.llm.token_ids import id_table, unpacked
 
 STEP = 256
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 17
 BLOCK_SCHEMA = "part long, block long, first long, n_ids long, doc_ids array<long>, doc_sizes array<long>, offsets binary, bits binary"
 
 
@@ -67,6 +67,9 @@ class Code:
         ends = np.cumsum(spans)
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[order] = (ends - spans) >> (self.limit - self.lengths[order])
+        #: Code at the top, length below.
+        self.entries = (self.codes << (64 - self.lengths).astype(np.uint64) if len(lengths) else self.codes) | self.lengths.astype(np.uint64)
+        self.entries[lengths == 0] = 0
         self.ids = np.zeros(1 << self.limit, np.uint32)
         self.sizes = np.ones(1 << self.limit, np.int64)
         self.ids[: ends[-1] if len(ends) else 0] = np.repeat(order, spans)
@@ -76,15 +79,17 @@ class Code:
         """(bit offsets of every STEP-th id, bits)."""
         if not len(ids):
             return b"", b""
-        sizes = self.lengths[ids]
+        value = self.entries[ids]
+        sizes = (value & np.uint64(63)).view(np.int64)
+        value &= ~np.uint64(63)
         ends = np.cumsum(sizes)
         at = ends - sizes
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        value = self.codes[ids] << (64 - sizes).astype(np.uint64)
+        word, low = at >> 6, at & 63
+        shift = low.view(np.uint64)
         out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[starts]] = np.bitwise_or.reduceat(value >> shift, starts)
-        over = np.flatnonzero((at & 63) + sizes > 64)
+        over = np.flatnonzero(low + sizes > 64)
         out[word[over] + 1] |= value[over] << (np.uint64(64) - shift[over])
         return at[::STEP].astype("<i8").tobytes(), out.astype(">u8").tobytes()
 
@@ -108,11 +113,8 @@ def id_counts(ids: DataFrame, vocab: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)
-        for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                total += np.bincount(unpacked(x), minlength=vocab) if len(x) > 100_000 else 0
-                if len(x) <= 100_000:
-                    np.add.at(total, unpacked(x), 1)
+        for batch in common.small_batches(batches, "ids", 1 << 19):
+            total += np.bincount(np.concatenate([unpacked(x) for x in batch.column("ids").to_pylist()]), minlength=vocab)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": used, "n": total[used]}, schema=schema)
 

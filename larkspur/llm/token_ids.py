@@ -10,14 +10,19 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from larkspur.llm import common
 
 
 #: ASCII punctuation but the apostrophe, which starts contractions.
 PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 PIECES = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+")
+#: The common shape of a word: letters of Latin-1, then perhaps such punctuation.
+SHAPE = re.compile(r"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,7 +53,7 @@ class WordEncoder:
     JOINED = 128
     SPECIAL = b"<|"
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -83,6 +88,26 @@ class WordEncoder:
             return parts
         return [word]
 
+    def _cut_all(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """The pieces of all words in turn, and how many each has."""
+        pieces: list[str] = []
+        sizes: list[int] = []
+        shape = SHAPE.fullmatch
+        for w in words:
+            if m := shape(w):
+                core, tail = m.groups()
+                pieces.append(core)
+                if tail:
+                    pieces.append(tail)
+                    sizes.append(2)
+                else:
+                    sizes.append(1)
+            else:
+                parts = self._cut(w)
+                pieces += parts
+                sizes.append(len(parts))
+        return pieces, sizes
+
     def _learn_pieces(self, new: list[str]) -> None:
         """Ask the library for pieces: plain ones many at a time, as each ends with its
         only end-of-word id, the others one by one."""
@@ -119,15 +144,16 @@ class WordEncoder:
     def learn(self) -> None:
         """Take up the new words.  A word of one piece shares the piece's ids; one of
         several pieces gets a run of its own."""
-        cut = [self._cut(w.decode()) for w in self.numbers.new]
+        pieces, counted = self._cut_all(b"\n".join(self.numbers.new).decode().split("\n"))
         self.numbers.new.clear()
-        if new := list(dict.fromkeys(p for parts in cut for p in parts if p not in self.pieces)):
+        known = self.pieces
+        if new := list(dict.fromkeys([p for p in pieces if p not in known])):
             self._learn_pieces(new)
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        no = np.fromiter((self.pieces[p] for parts in cut for p in parts), np.int64, int(sizes.sum()))
+        sizes = np.array(counted, np.int64)
+        no = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         first = np.cumsum(sizes) - sizes
         counts = np.add.reduceat(self.piece_counts[no], first)
-        m = self.known + len(cut)
+        m = self.known + len(sizes)
         self.starts, self.counts = _grown(self.starts, m), _grown(self.counts, m)
         self.counts[self.known : m] = counts
         starts = self.piece_starts[no[first]]
@@ -148,23 +174,23 @@ class WordEncoder:
         if self.known > self.limit:
             self.forget()
         lower = [t if self.SPECIAL in t else t.lower() for t in texts]  # ASCII letters; the normaliser does the same
-        split = [t.split() for t in lower]
-        words = [w for ws in split for w in ws]
-        no = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        split = pc.ascii_split_whitespace(pa.array(lower, pa.large_string()))
+        words = split.flatten().dictionary_encode()  # Arrow hashes every word, the numbering sees each once a batch
+        distinct = np.fromiter(map(self.numbers.__getitem__, words.dictionary.cast(pa.large_binary()).to_pylist()), np.int64, len(words.dictionary))
+        no = distinct[words.indices.to_numpy()]
         if self.numbers.new:
             self.learn()
         counts = self.counts[no]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(self.starts[no] - (ends - counts), counts) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         return ids, np.diff(bounds)
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for a worker process, which Spark reuses for many tasks."""
-    return WordEncoder(path)
+    return common.worker_cache(("words", path), lambda: WordEncoder(path))
 
 
 def encode_with_end(path: str, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +208,7 @@ def packed(ids: np.ndarray) -> bytes:
     import zstandard
 
     wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
-    return (b"4" if wide else b"2") + zstandard.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
+    return (b"4" if wide else b"2") + zstandard.compress(ids.astype("<u4" if wide else "<u2"), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -193,9 +219,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def id_table(docs, path: str, end_id: int):
     """(doc_id, n_tokens, ids) of every text, in the shared folder; ids are ``packed``."""
-    import pyarrow as pa
 
-    from larkspur.llm import common
+
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
@@ -204,5 +229,5 @@ def id_table(docs, path: str, end_id: int):
         ends = np.cumsum(counts)
         return {"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids": [packed(ids[e - n : e]) for e, n in zip(ends, counts, strict=True)]}
 
-    encoded = common.keyed_texts(docs).mapInArrow(common.map_columns(columns, schema), "doc_id long, n_tokens long, ids binary")
-    return common.written(encoded, "ids")
+    encoded = common.keyed_texts(docs).mapInArrow(common.map_columns(columns, schema, limit=1 << 23), "doc_id long, n_tokens long, ids binary")
+    return common.written(encoded, "ids", "none")
