@@ -44,15 +44,17 @@ def sentence_end_ids(tokenizer_path: str) -> np.ndarray:
 def boundaries(ids: np.ndarray, doc_ends: np.ndarray, closes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending cut positions (0 and the end among them) and the cost of each."""
     n = len(ids)
-    sentence = np.flatnonzero(closes[np.minimum(ids, len(closes) - 1)] & (ids < len(closes))) + 1
-    cuts = np.unique(np.concatenate([[0, n], doc_ends, sentence]))
+    at_doc, at_sentence = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    at_doc[doc_ends] = True
+    at_sentence[1:] = closes[np.minimum(ids, len(closes) - 1)] & (ids < len(closes))
+    any_ = at_doc | at_sentence
+    any_[[0, n]] = True
+    cuts = np.flatnonzero(any_)
     gaps = np.diff(cuts)
     if len(gaps) and gaps.max() > size:
         wide = np.flatnonzero(gaps > size)
         cuts = np.unique(np.concatenate([cuts, *(np.arange(cuts[i] + size, cuts[i + 1], size) for i in wide)]))
-    cost = np.full(len(cuts), HARD_COST)
-    cost[np.isin(cuts, sentence)] = SENTENCE_COST
-    cost[np.isin(cuts, doc_ends)] = 0
+    cost = np.where(at_doc[cuts], 0, np.where(at_sentence[cuts], SENTENCE_COST, HARD_COST))
     cost[[0, -1]] = 0
     return cuts, cost
 
