@@ -8,6 +8,9 @@ and sorts first.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -85,11 +88,16 @@ def worker_cache(key: object, make: Callable[[], object]) -> object:
     kept is let go first, so that caches of several operators never add up."""
     global _held
     if _held is None or _held[0] != key:
-        _held = None
+        drop_worker_cache()
         _held = (key, make())
     return _held[1]
 
 
 def drop_worker_cache() -> None:
+    """Let go of what is kept and give its memory back to the system."""
     global _held
-    _held = None
+    if _held is not None:
+        _held = None
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)

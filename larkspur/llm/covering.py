@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def columns(batch: pa.RecordBatch) -> dict[str, object]:
+        common.drop_worker_cache()
         found = [majority(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "fp": np.array(found, np.uint64).view(np.int64)}
 
@@ -228,17 +229,20 @@ def similar_documents(docs: DataFrame, words: int = 5, most: int = MOST_BITS, la
     schema = pa.schema([("doc_id", pa.int64()), *((f, pa.int64()) for f in fields)])
 
     def columns(batch: pa.RecordBatch) -> dict[str, object]:
+        common.drop_worker_cache()
         found = [wide_fingerprint(t, words) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id")} | {f: [x[i] for x in found] for i, f in enumerate(fields)}
 
     rows = common.keyed_texts(docs).where("doc_id is not null").mapInArrow(common.map_columns(columns, schema), "doc_id long, " + ", ".join(f"{f} long" for f in fields))
     prints = common.written(rows, "wide-fingerprints")
-    distinct = prints.groupBy(*fields).agg(F.min("doc_id").alias("node"))
+    distinct = common.written(prints.groupBy(*fields).agg(F.min("doc_id").alias("node")), "wide-distinct")
+    # Each row makes one row for every table, so the few files are spread over all tasks first.
+    spread = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     low = F.lit((1 << BLOCK_BITS) - 1)
     blocks = [x for f in fields for x in (F.shiftrightunsigned(f, 32), F.col(f).bitwiseAND(low))]
     tables = masks(BLOCK_RADIUS, BLOCK_BITS)
     keys = [F.lit((i * len(tables) + j) << BLOCK_BITS).bitwiseOR(x.bitwiseAND(F.lit(m))) for i, x in enumerate(blocks) for j, m in enumerate(tables)]
-    keyed = distinct.select("node", *fields, F.explode(F.array(*keys)).alias("key"))
+    keyed = spread.select("node", *fields, F.explode(F.array(*keys)).alias("key"))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large)
     links_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 

@@ -170,6 +170,7 @@ def _against(rows: DataFrame, items: list[tuple[str, bytes]], width: int, names:
     out = "row long, doc_id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_worker_cache()
         windows = Windows(items, width)
         for batch in common.small_batches(batches, "text", SHARD_BYTES):
             texts = [words_of(t) for t in batch.column("text").to_pylist()]

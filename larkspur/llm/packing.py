@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
-from larkspur.llm.token_ids import id_table, unpacked
+from larkspur.llm.token_ids import REMEMBERED, id_table, unpacked
 
 SENTENCE_COST, HARD_COST = 6, 64
 STREAM_IDS = 1 << 21
@@ -152,5 +152,5 @@ def pack(ids: DataFrame, closes: np.ndarray, size: int = 4096) -> DataFrame:
     return pieces.join(streams, ["part", "stream"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("sequence")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096) -> DataFrame:
-    return pack(id_table(docs, tokenizer, end_id), sentence_end_ids(tokenizer), size)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, remembered: int = REMEMBERED) -> DataFrame:
+    return pack(id_table(docs, tokenizer, end_id, remembered), sentence_end_ids(tokenizer), size)

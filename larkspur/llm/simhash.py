@@ -26,28 +26,30 @@ from larkspur.llm import common
 SHORT = 8
 REMEMBERED = 300_000
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_word_hash: dict[bytes, int] = {}
 
 
-def _hash(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
+class _Hashes(dict):
+    """Hashes of words, which a worker keeps between tasks."""
 
-    if len(_word_hash) > REMEMBERED:
-        _word_hash.clear()
-    h = _word_hash[word] = xxh64_intdigest(word, 1)
-    return h
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > REMEMBERED:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word, 1)
+        return h
 
 
 def term_hashes(text: str) -> np.ndarray:
     words = text.encode().lower().split()
-    get = _word_hash.get
-    one = np.array([get(w) or _hash(w) for w in words], np.uint64)
+    hashed = common.worker_cache("word hashes", _Hashes).__getitem__
+    one = np.array([hashed(w) for w in words], np.uint64)
     mixed = (one[:-1] * _LEFT) ^ ((one[1:] ^ (one[1:] >> np.uint64(29))) * _RIGHT)
     mixed ^= mixed >> np.uint64(32)
     pairs = mixed * _LEFT
     if len(words) >= SHORT:
         return pairs
-    triples = np.array([_hash(text[i : i + 3].encode()) for i in range(max(1, len(text) - 2))] if text else [], np.uint64)
+    triples = np.array([hashed(text[i : i + 3].encode()) for i in range(max(1, len(text) - 2))] if text else [], np.uint64)
     return np.concatenate([one, pairs, triples])
 
 

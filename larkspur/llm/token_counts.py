@@ -22,7 +22,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -196,10 +195,9 @@ class Counter:
 Map = tuple[bytes, int, bytes | None]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     """One compiled tokenizer for a worker process, which Spark reuses for many tasks."""
-    return Counter(path)
+    return common.worker_cache(("counts", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from larkspur.llm import common
 
 
+REMEMBERED = 800_000
 #: ASCII punctuation but the apostrophe, which starts contractions.
 PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 PIECES = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+")
@@ -53,7 +54,7 @@ class WordEncoder:
     JOINED = 128
     SPECIAL = b"<|"
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -188,14 +189,14 @@ class WordEncoder:
         return ids, np.diff(bounds)
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, limit: int) -> WordEncoder:
     """One encoder for a worker process, which Spark reuses for many tasks."""
-    return common.worker_cache(("words", path), lambda: WordEncoder(path))
+    return common.worker_cache(("words", path, limit), lambda: WordEncoder(path, limit))
 
 
-def encode_with_end(path: str, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_with_end(path: str, texts: list[bytes], end_id: int, remembered: int) -> tuple[np.ndarray, np.ndarray]:
     """As ``encode``, with ``end_id`` after each text."""
-    ids, counts = word_encoder(path).encode(texts)
+    ids, counts = word_encoder(path, remembered).encode(texts)
     out = np.full(len(ids) + len(texts), end_id, np.uint32)
     mask = np.ones(len(out), bool)
     mask[np.cumsum(counts) + np.arange(len(texts))] = False
@@ -217,17 +218,18 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[:1].decode()}").astype(np.uint32)
 
 
-def id_table(docs, path: str, end_id: int):
-    """(doc_id, n_tokens, ids) of every text, in the shared folder; ids are ``packed``."""
+def id_table(docs, path: str, end_id: int, remembered: int = REMEMBERED):
+    """(doc_id, n_tokens, ids) of every text, in the shared folder; ids are ``packed``.
+    A worker remembers ``remembered`` words, some 300 bytes each."""
 
 
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def columns(batch):
-        ids, counts = encode_with_end(path, batch.column("text").to_pylist(), end_id)
+        ids, counts = encode_with_end(path, batch.column("text").to_pylist(), end_id, remembered)
         ends = np.cumsum(counts)
         return {"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids": [packed(ids[e - n : e]) for e, n in zip(ends, counts, strict=True)]}
 
-    encoded = common.keyed_texts(docs).mapInArrow(common.map_columns(columns, schema, limit=1 << 23), "doc_id long, n_tokens long, ids binary")
+    encoded = common.keyed_texts(docs).mapInArrow(common.map_columns(columns, schema, limit=1 << (23 if remembered >= REMEMBERED else 21)), "doc_id long, n_tokens long, ids binary")
     return common.written(encoded, "ids", "none")

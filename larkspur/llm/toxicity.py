@@ -127,6 +127,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Da
     schema = pa.schema([("least", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("toxic", pa.int32())])
 
     def least_shingle(batch: pa.RecordBatch) -> dict[str, object]:
+        common.drop_worker_cache()
         least = [shingle_hashes(t, 5).min(initial=(1 << 64) - 1) for t in batch.column("text").to_pylist()]
         return {"least": np.array(least, np.uint64).view(np.int64)} | {c: batch.column(c) for c in ("doc_id", "text", "toxic")}
 
@@ -141,6 +142,7 @@ def mine(sample: DataFrame, features: int = FEATURES) -> tuple[dict[bytes, int],
     schema = pa.schema([("feature", pa.binary()), ("n", pa.int64()), ("toxic", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_worker_cache()
         both = (Counter(), Counter())
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -219,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, features:
     schema = pa.schema([("toxic", pa.int64()), ("votes", pa.list_(pa.int64())), ("found", pa.list_(pa.int64()))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_worker_cache()
         for batch in batches:
             out: dict[str, list] = {"toxic": [], "votes": [], "found": []}
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -247,6 +250,7 @@ def scores(docs: DataFrame, labels: DataFrame, keep: list[str] = (), most: int =
     out = "doc_id long, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_worker_cache()
         size = len(model.vocabulary)
         for batch in batches:
             found = []

@@ -57,3 +57,20 @@ def test_empty(spark, no_docs, sf_dir):
     for name, f in pipeline.STAGES:
         docs = pipeline.written(f(spark, docs, sf_dir), name)
     assert docs.count() == 0
+
+
+def test_decisions_take_effect(spark, tmp_path):
+    passage = " ".join(f"secret{i}" for i in range(12))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    words = " ".join(f"plain{i}" for i in range(60))
+    docs = spark.createDataFrame(
+        [(1, words, "en", "a", 1), (2, words, "en", "a", 1), (3, f"Before. {passage}, after mail a.b@example.com", "en", "a", 1), (4, None, "en", None, None), (5, "nothing to see", None, "a", 14)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    kept = pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
+    cut = {r.doc_id: r for r in pipeline.cut_benchmark(spark, docs, str(tmp_path)).collect()}
+    assert cut[3].text == "Before. , after mail a.b@example.com" and cut[3].n_chars == len(cut[3].text)
+    assert cut[1].text == words and cut[4].text is None and cut[4].n_chars is None and cut[5].text == "nothing to see"
+    masked = {r.doc_id: r.text for r in pipeline.mask_personal_data(spark, docs, str(tmp_path)).collect()}
+    assert masked[3] == f"Before. {passage}, after mail <EMAIL>" and masked[1] == words and masked[4] is None
