@@ -20,12 +20,12 @@ the least ``doc_id`` reachable (null if there is none).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
@@ -148,136 +148,96 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, large: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Similarity beyond a few bits ------------------------------------------------------
+# Similarity of shingle sets ----------------------------------------------------------
 #
-# Texts that share 0.8 of their five-word shingles differ in about 0.15 of their
-# fingerprint bits, too many for one covering of 64.  So a fingerprint of 192 bits is
-# cut into six blocks, each covered with radius 3: two such texts agree to within 3
-# bits in some block with probability 0.85 (0.96 at similarity 0.85, 0.99 at 0.9), and
-# of those that meet, the ones that differ in at most ``MOST_BITS`` of all bits are
-# linked.  The keys have 17 bits and a table number, so compared pairs grow with the
-# square of the rows in a bucket; wider blocks of a larger radius lengthen them.
+# Candidates come from bands of least hashes: two sets of similarity s agree in a band of
+# ``BAND_ROWS`` with probability s ** 5, so a pair at 0.8 misses all ``BANDS`` with
+# probability 7e-6, and one at 0.85 with 5e-8.  A candidate is linked only if the exact
+# similarity of its sets of distinct shingles is at least ``LEAST_ALIKE``.
 
-WIDTH, BLOCK_BITS, BLOCK_RADIUS, MOST_BITS = 3, 32, 3, 33
-_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+BANDS, BAND_ROWS, LEAST_ALIKE = 30, 5, (4, 5)
+_RANDOM = np.random.default_rng(1)
+_FLIP, _TIMES = (_RANDOM.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1) for _ in range(2))
 
 
-def wide_fingerprint(text: bytes, words: int) -> list[int]:
-    """Three signed 64-bit parts voted by the hashes of all shingles."""
-    from xxhash import xxh3_128_digest
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of the set, none for an empty set."""
+    from xxhash import xxh3_64_digest
 
-    split = text.lower().split()
-    if not split:
-        return [0] * WIDTH
-    joined = b" ".join(split)
-    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(split) - words + 1)
-    spans = zip(starts[:n].tolist(), ends[min(words, len(split)) - 1 :].tolist(), strict=True)
-    two = np.frombuffer(b"".join([xxh3_128_digest(joined[a:b]) for a, b in spans]), np.uint64).reshape(-1, 2)
-    third = (two[:, 0] ^ (two[:, 1] >> np.uint64(31))) * _MIX[0]
-    third = (third ^ (third >> np.uint64(33)) ^ two[:, 1]) * _MIX[1]
-    hashes = np.concatenate([two, (third ^ (third >> np.uint64(29)))[:, None]], 1)
-    votes = np.zeros(64 * WIDTH, np.int64)
-    for i in range(0, n, 1 << 15):
-        votes += np.unpackbits(np.ascontiguousarray(hashes[i : i + (1 << 15)]).view(np.uint8).reshape(-1, 8 * WIDTH), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(votes * 2 > n).view(">i8").tolist()
-
-
-def star_links(pairs: np.ndarray) -> np.ndarray:
-    """(node, least node reachable) for the nodes of (u, v) pairs that are not the least."""
-    nodes, index = np.unique(pairs, return_inverse=True)
-    u, v = index.reshape(-1, 2).T
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, least)
-        np.minimum.at(new, v, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return np.stack([nodes[moved], nodes[label[moved]]], 1)
-
-
-def _near_in_buckets(rows: np.ndarray, most: int) -> np.ndarray:
-    """(u, v) of rows (bucket, node, parts of the fingerprint) of one bucket, which stand
-    together, that differ in at most ``most`` bits: every row is compared with the one d
-    places on, for each d."""
-    bucket, node, parts = rows[:, 0], rows[:, 1], [np.ascontiguousarray(x).view(np.uint64) for x in rows[:, 2:].T]
-    found = []
-    at = np.arange(len(node) - 1)
-    d = 1
-    while len(at):
-        at = at[at + d < len(node)]
-        at = at[bucket[at] == bucket[at + d]]
-        differ = sum((np.bitwise_count(x[at] ^ x[at + d]).astype(np.int16) for x in parts), np.zeros(len(at), np.int16))
-        near = at[differ <= most]
-        found.append(np.stack([node[near], node[near + d]], 1))
-        if len(found) > 64:
-            found = [star_links(np.concatenate(found))]
-        d += 1
-    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
-
-
-def similar_documents(docs: DataFrame, words: int = 5, most: int = MOST_BITS, large: int = LARGE) -> DataFrame:
-    """(doc_id, component_id) of every row with a ``doc_id``: the least ``doc_id`` reachable
-    through texts alike to about 0.8 in their shingles."""
-    fields = [f"p{i}" for i in range(WIDTH)]
-    schema = pa.schema([("doc_id", pa.int64()), *((f, pa.int64()) for f in fields)])
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        np.minimum(least, ((shingles[None, i : i + 1024] ^ _FLIP) * _TIMES).min(1), out=least)
+    keys = b"".join(xxh3_64_digest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS)))
+    return np.frombuffer(keys, np.int64).tolist()
+
+
+def _sets(texts: DataFrame, words: int, of: dict[str, Callable[[np.ndarray], object]], types: str) -> DataFrame:
+    """(doc_id, node, what ``of`` makes of the distinct shingles): equal sets have one ``node``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = f"doc_id long, node long, {types}"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def columns(batch: pa.RecordBatch) -> dict[str, object]:
+        from xxhash import xxh3_64_digest
+
         common.drop_worker_cache()
-        found = [wide_fingerprint(t, words) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id")} | {f: [x[i] for x in found] for i, f in enumerate(fields)}
-
-    rows = common.keyed_texts(docs).where("doc_id is not null").mapInArrow(common.map_columns(columns, schema), "doc_id long, " + ", ".join(f"{f} long" for f in fields))
-    prints = common.written(rows, "wide-fingerprints")
-    distinct = common.written(prints.groupBy(*fields).agg(F.min("doc_id").alias("node")), "wide-distinct")
-    # Each row makes one row for every table, so the few files are spread over all tasks first.
-    spread = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    low = F.lit((1 << BLOCK_BITS) - 1)
-    blocks = [x for f in fields for x in (F.shiftrightunsigned(f, 32), F.col(f).bitwiseAND(low))]
-    tables = masks(BLOCK_RADIUS, BLOCK_BITS)
-    keys = [F.lit((i * len(tables) + j) << BLOCK_BITS).bitwiseOR(x.bitwiseAND(F.lit(m))) for i, x in enumerate(blocks) for j, m in enumerate(tables)]
-    keyed = spread.select("node", *fields, F.explode(F.array(*keys)).alias("key"))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large)
-    links_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def out(pairs: np.ndarray) -> pa.RecordBatch:
-        stars = star_links(pairs) if len(pairs) else pairs
-        return pa.RecordBatch.from_pydict({"u": stars[:, 0], "v": stars[:, 1]}, schema=links_schema)
+        sets = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+        nodes = np.frombuffer(b"".join(xxh3_64_digest(x.tobytes()) for x in sets), np.int64)
+        return {"doc_id": batch.column("doc_id"), "node": nodes} | {name: [f(x) for x in sets] for name, f in of.items()}
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a bucket that goes on in the next batch waits for it."""
-        rest = np.empty((0, 2 + WIDTH), np.int64)
-        for batch in batches:
-            now = np.concatenate([rest, np.stack([np.asarray(batch.column(c)) for c in ("key", "node", *fields)], 1)])
-            if len(now):
-                cut = int(np.searchsorted(now[:, 0], now[-1, 0]))
-                rest, now = now[cut:], now[:cut]
-                yield out(_near_in_buckets(now, most))
-        yield out(_near_in_buckets(rest, most))
-
-    cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    found = cold.select("key", "node", *fields).mapInArrow(link, "u long, v long")
-
-    # A bucket of over ``large``: its rows in parts, every two parts together in one task.
-    parts = F.ceil(F.col("n") * 2 / large).cast("int")
-    split = keyed.join(hot, "key").withColumn("part", F.pmod(F.xxhash64(*fields), parts).cast("int"))
-    pairs = split.select("key", "node", *fields, "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    grouped = pairs.groupBy("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.collect_list(F.struct("key", "node", *fields)).alias("rows"))
-
-    def link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("rows"):
-                yield out(_near_in_buckets(np.stack([np.asarray(x.values.field(i)) for i in range(2 + WIDTH)], 1), most))
+    return texts.mapInArrow(common.map_columns(columns, schema), ddl)
 
-    found = found.unionByName(grouped.select("rows").mapInArrow(link_parts, "u long, v long"))
-    named = distinct.join(components(found.distinct(), "wide-links"), "node", "left").select(*fields, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, fields).select("doc_id", "component_id")
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The rows (u, v) of ``pairs`` whose ``shingles`` in ``sets`` (node) are alike to ``least``."""
+    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("u", "v"))
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    return pairs.join(x, "u").join(y, "v").where(both * sum(least) >= (F.size("of_u") + F.size("of_v")) * least[0]).select("u", "v")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST_ALIKE, large: int = LARGE) -> DataFrame:
+    """(doc_id, component_id) of every row with a ``doc_id``: the least ``doc_id`` reachable
+    through texts whose sets of shingles are alike to ``least`` (numerator, denominator)."""
+    from_texts = common.keyed_texts(docs).where("doc_id is not null")
+    rows = common.written(_sets(from_texts, words, {"n": len, "bands": band_keys}, "n long, bands array<long>"), "bands")
+    # Equal sets are one node.  A bucket holds the nodes that agree in a band.
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    bucket = Window.partitionBy("key")
+    keyed = nodes.select("node", "doc_id", "n", F.explode("bands").alias("key"))
+    buckets = common.written(keyed.select("*", F.count("*").over(bucket).alias("size"), F.min(F.struct("node", "n")).over(bucket).alias("head")).where("size > 1"), "buckets")
+    wanted = common.written(buckets.select("node", "doc_id").distinct(), "candidates")
+    again = _sets(from_texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), words, {"shingles": lambda x: x.view(np.int64)}, "shingles array<long>")
+    sets = common.written(again.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "candidate-sets")
+
+    def as_long(a: str, b: str):
+        """Sets of very unequal sizes cannot be alike."""
+        return F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
+
+    # Each node with the first of its bucket: most groups are joined by that, and what they
+    # join needs no further comparison.
+    first = common.written(buckets.where((F.col("node") != F.col("head.node")) & as_long("n", "head.n")).select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), "first-pairs")
+    linked = common.written(_alike(first, sets, least), "first-links")
+    joined = components(linked, "first-groups").withColumnRenamed("component", "label")
+    labelled = buckets.select("key", "node", "n", "size").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.select("*", (F.min("label").over(bucket) != F.max("label").over(bucket)).alias("mixed")).where("mixed")
+
+    # Then all others of different groups; of a bucket of over ``large`` every two parts are one key.
+    parts = F.ceil(F.col("size") * 2 / large).cast("int")
+    split = mixed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    spread = split.select("key", "node", "n", "label", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    halves = common.written(spread.select("key", "node", "n", "label", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")), "mixed-buckets")
+    x, y = (halves.select("key", "p", "q", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label", "part")]) for s in ("u", "v"))
+    across = x.join(y, ["key", "p", "q"]).where("node_u > node_v and label_u <> label_v and (p = q or part_u <> part_v)").where(as_long("n_u", "n_v"))
+    others = across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    links = linked.unionByName(_alike(common.written(others, "other-pairs"), sets, least))
+
+    groups = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(components(links, "set-links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def hexed(name: str = "fp"):

@@ -139,3 +139,21 @@ def test_similar_documents(spark, large):
         assert of[got[i]] == g  # unlike texts stay apart
     missed = sum(got[i] != 5 * of[i] for i in range(len(texts)) if jaccard(texts[i], texts[5 * of[i]]) >= 0.85)
     assert missed <= 4
+
+
+def test_isolated_pairs_are_found_from_the_bound_up(spark):
+    """Groups of two, of similarity just over 0.8, and pairs just under it."""
+    r = np.random.default_rng(9)
+    rows, want = [], {}
+    for g in range(600):
+        base = [f"w{x}" for x in r.integers(0, 1 << 30, 400)]
+        # e edits cost 5 e of 396 shingles: 8 edits are 0.816, 9 are 0.795
+        copy = list(base)
+        for e in range(8 if g % 2 else 9):
+            copy[20 + 40 * e] = f"x{g}-{e}"
+        a, b = " ".join(base), " ".join(copy)
+        assert (jaccard(a, b) >= 0.8) == bool(g % 2)
+        rows += [(2 * g, a), (2 * g + 1, b)]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g if g % 2 else 2 * g + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in covering.similar_documents(df).collect()} == want
