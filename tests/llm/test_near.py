@@ -157,3 +157,13 @@ def test_isolated_pairs_are_found_from_the_bound_up(spark):
         want |= {2 * g: 2 * g, 2 * g + 1: 2 * g if g % 2 else 2 * g + 1}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id: x.component_id for x in covering.similar_documents(df).collect()} == want
+
+
+def test_repeated_lines_and_templates_link_nothing(spark):
+    """One line that stands twenty times in unlike texts, and long shared passages."""
+    r = np.random.default_rng(10)
+    fresh = lambda n: [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+    line, passage = fresh(14), fresh(140)
+    texts = [" ".join(fresh(204) + line * 20) for _ in range(50)] + [" ".join(passage + fresh(40)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(x.doc_id == x.component_id for x in covering.similar_documents(df).collect())
