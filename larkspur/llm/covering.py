@@ -174,11 +174,11 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _sets(texts: DataFrame, words: int, of: dict[str, Callable[[np.ndarray], object]], types: str) -> DataFrame:
-    """(doc_id, node, what ``of`` makes of the distinct shingles): equal sets have one ``node``."""
+    """(doc_id, text_key, node, what ``of`` makes of the distinct shingles): equal sets have one ``node``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    ddl = f"doc_id long, node long, {types}"
+    ddl = f"doc_id long, text_key string, node long, {types}"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def columns(batch: pa.RecordBatch) -> dict[str, object]:
@@ -187,7 +187,7 @@ def _sets(texts: DataFrame, words: int, of: dict[str, Callable[[np.ndarray], obj
         common.drop_worker_cache()
         sets = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
         nodes = np.frombuffer(b"".join(xxh3_64_digest(x.tobytes()) for x in sets), np.int64)
-        return {"doc_id": batch.column("doc_id"), "node": nodes} | {name: [f(x) for x in sets] for name, f in of.items()}
+        return {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "node": nodes} | {name: [f(x) for x in sets] for name, f in of.items()}
 
     return texts.mapInArrow(common.map_columns(columns, schema), ddl)
 
@@ -199,18 +199,29 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFra
     return pairs.join(x, "u").join(y, "v").where(both * sum(least) >= (F.size("of_u") + F.size("of_v")) * least[0]).select("u", "v")
 
 
+def text_key(name: str = "text"):
+    """What tells texts of one ``doc_id`` apart."""
+    return F.md5(common.text_bytes(name))
+
+
 def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST_ALIKE, large: int = LARGE) -> DataFrame:
     """(doc_id, component_id) of every row with a ``doc_id``: the least ``doc_id`` reachable
     through texts whose sets of shingles are alike to ``least`` (numerator, denominator)."""
-    from_texts = common.keyed_texts(docs).where("doc_id is not null")
+    return similar_rows(docs.where("doc_id is not null"), words, least, large).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def similar_rows(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST_ALIKE, large: int = LARGE) -> DataFrame:
+    """(doc_id, text_key, first) of every row: ``first`` (absent, doc_id, text_key) is the
+    least such row that is linked to it, rows without a ``doc_id`` after all others."""
+    from_texts = common.keyed_texts(docs).withColumn("text_key", F.md5("text"))
     rows = common.written(_sets(from_texts, words, {"n": len, "bands": band_keys}, "n long, bands array<long>"), "bands")
     # Equal sets are one node.  A bucket holds the nodes that agree in a band.
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     bucket = Window.partitionBy("key")
-    keyed = nodes.select("node", "doc_id", "n", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", "text_key", "n", F.explode("bands").alias("key"))
     buckets = common.written(keyed.select("*", F.count("*").over(bucket).alias("size"), F.min(F.struct("node", "n")).over(bucket).alias("head")).where("size > 1"), "buckets")
-    wanted = common.written(buckets.select("node", "doc_id").distinct(), "candidates")
-    again = _sets(from_texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), words, {"shingles": lambda x: x.view(np.int64)}, "shingles array<long>")
+    wanted = common.written(buckets.select("node", "text_key").distinct(), "candidates")
+    again = _sets(from_texts.join(wanted.select("text_key"), "text_key", "left_semi"), words, {"shingles": lambda x: x.view(np.int64)}, "shingles array<long>")
     sets = common.written(again.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "candidate-sets")
 
     def as_long(a: str, b: str):
@@ -235,9 +246,10 @@ def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] =
     others = across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     links = linked.unionByName(_alike(common.written(others, "other-pairs"), sets, least))
 
-    groups = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(components(links, "set-links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    row = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
+    groups = rows.groupBy("node").agg(F.min(row).alias("first")).join(components(links, "set-links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = groups.select("node", "component").join(groups.groupBy("component").agg(F.min("first").alias("first")), "component").select("node", "first")
+    return rows.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "first")
 
 
 def hexed(name: str = "fp"):

@@ -74,3 +74,12 @@ def test_decisions_take_effect(spark, tmp_path):
     assert cut[1].text == words and cut[4].text is None and cut[4].n_chars is None and cut[5].text == "nothing to see"
     masked = {r.doc_id: r.text for r in pipeline.mask_personal_data(spark, docs, str(tmp_path)).collect()}
     assert masked[3] == f"Before. {passage}, after mail <EMAIL>" and masked[1] == words and masked[4] is None
+
+
+def test_rows_that_share_or_lack_an_id(spark, tmp_path):
+    text = {c: " ".join(f"{c}{i}" for i in range(200)) for c in "abcd"}
+    near = text["a"] + " and a few more words"
+    rows = [(1, text["a"]), (2, text["a"]), (2, text["b"]), (None, near), (None, text["c"]), (None, text["c"] + " end"), (3, text["d"]), (3, text["d"])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text[0]) for r in pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a"), (2, "b"), (None, "c"), (3, "d")], key=str)
