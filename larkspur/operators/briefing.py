@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import fixed
+from larkspur.operators.dedup import nearest
+from larkspur.operators.search import cosine
 
 MOST_CANDIDATES = 300
 
@@ -33,26 +33,42 @@ def pool(memories: DataFrame, cap: int) -> DataFrame:
 
 
 def select_diverse(candidates: DataFrame, k: int, balance: float = 0.5) -> DataFrame:
-    """(id, score) by maximal marginal relevance over at most ``MOST_CANDIDATES`` rows
-    (id, score, is_pinned, vector): pinned ones always stay, ties go to the earlier id."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        unit = [None if v is None or not np.linalg.norm(v) else np.asarray(v, float) / np.linalg.norm(v) for v in pdf["vector"]]
-        taken = list(np.flatnonzero(pdf["is_pinned"]))
-        rest = [i for i in range(len(pdf)) if i not in set(taken)]
-
-        def alike(i: int) -> float:
-            return max([0.0, *(float(unit[i] @ unit[j]) for j in taken if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]))])
-
-        while rest and len(taken) < k:
-            i = max(rest, key=lambda i: (balance * pdf["score"][i] - (1 - balance) * alike(i), -i))
-            taken.append(i)
-            rest.remove(i)
-        return pdf.loc[taken, ["id", "score"]]
-
-    top = candidates.orderBy(F.desc("is_pinned"), F.desc("score"), "id").limit(MOST_CANDIDATES)
-    return top.groupBy(F.lit(0).alias("_g")).applyInPandas(choose, "id long, score double")
+    """(id, score) by maximal marginal relevance over all rows (id, score, is_pinned,
+    vector): pinned ones always stay, ties go to the higher score, then the earlier id.
+
+    Each of at most ``k`` steps takes the best row that is not pinned; what is kept of a
+    row between steps is the greatest likeness to the rows taken.  Likeness to pinned rows
+    comes from blocks of both sides in tasks.
+    """
+    from larkspur.llm.common import written  # that subpackage may be absent
+
+    if k <= 0:
+        return candidates.select("id", "score").limit(0)
+    rows = written(candidates.select("id", "score", F.coalesce("is_pinned", F.lit(False)).alias("is_pinned"), "vector"), "diverse")
+    pinned = rows.where("is_pinned").select("id", "score")
+    steps = k - pinned.limit(k).count()
+    if steps <= 0:
+        return pinned
+    sized = rows.where("vector is not null").select("id", "vector", "is_pinned", F.size("vector").alias("size"))
+    alike = None
+    for n in sorted(r["size"] for r in sized.where("is_pinned").select("size").distinct().collect() if r["size"]):
+        near = nearest(*(sized.where((F.col("is_pinned") == p) & (F.col("size") == n)) for p in (False, True)))
+        alike = near if alike is None else alike.unionByName(near)
+    rest = rows.where("not is_pinned").select("id", "score", "vector")
+    if alike is None:
+        rest = rest.withColumn("alike", F.lit(0.0))
+    else:
+        rest = rest.join(alike, "id", "left").withColumn("alike", F.greatest(F.coalesce("alike", F.lit(0.0)), F.lit(0.0)))
+    rest = written(rest, "diverse-rest")
+    taken: list[tuple[int, float]] = []
+    for _ in range(steps):
+        best = rest.orderBy(F.desc(F.lit(balance) * F.col("score") - F.lit(1 - balance) * F.col("alike")), F.desc("score"), "id").first()
+        if best is None:
+            break
+        taken.append((best.id, best.score))
+        vector = F.lit(None).cast("array<double>") if best.vector is None else F.array(*[F.lit(float(x)) for x in best.vector]).cast("array<double>")
+        rest = written(rest.where(F.col("id") != best.id).withColumn("alike", F.greatest("alike", cosine(F.col("vector"), vector))), "diverse-rest")
+    return pinned.unionByName(rows.sparkSession.createDataFrame(taken, pinned.schema)) if taken else pinned
 
 
 def budget(context_tokens: Column) -> tuple[Column, Column]:

@@ -55,6 +55,23 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_row
     return a.cogroup(b).applyInArrow(compare, "a long, b long, score double")
 
 
+def nearest(left: DataFrame, right: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, alike) of every row of ``left``: its greatest cosine to a row of ``right``.
+    A task gives one row for each of its left rows; vectors must be of one length."""
+    n, m = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+    schema = pa.schema([("id", pa.int64()), ("alike", pa.float64())])
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return schema.empty_table()
+        rows, matrix = _unit(x.column("vector_l")), _unit(y.column("vector_r")).T
+        most = np.concatenate([(rows[i : i + 512] @ matrix).max(1) for i in range(0, len(rows), 512)])
+        return pa.Table.from_arrays([x.column("id_l").cast(pa.int64()), pa.array(most)], schema=schema)
+
+    a, b = _blocks(left, "l", n, "r", m).groupBy("l", "r"), _blocks(right, "r", m, "l", n).groupBy("l", "r")
+    return a.cogroup(b).applyInArrow(compare, "id long, alike double").groupBy("id").agg(F.max("alike").alias("alike"))
+
+
 def best(pairs: DataFrame, k: int) -> DataFrame:
     """The k best partners of each ``a``, ties to the lower id."""
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")

@@ -31,6 +31,19 @@ def test_diverse_selection_keeps_pins_and_avoids_likeness(spark):
     assert {r.id for r in briefing.select_diverse(df, 3).collect()} == {1, 3, 4}
 
 
+@pytest.mark.parametrize("pins", [3, 320])
+def test_diverse_selection_over_all_rows(spark, pins):
+    """More pins than 300, and a row far down the scores that only diversity brings in."""
+    r = np.random.default_rng(3)
+    rows = [(i, 0.1, True, r.normal(size=4).tolist() + [0.0]) for i in range(pins)]
+    rows += [(1000 + i, 0.9 - i / 1e5, False, rows[0][3]) for i in range(400)] + [(5000, 0.5, False, [0.0] * 4 + [1.0]), (5001, 0.0, False, None)]
+    df = spark.createDataFrame(rows, "id long, score double, is_pinned boolean, vector array<double>")
+    want = set(range(pins)) | {5000}
+    got = [x.id for x in briefing.select_diverse(df, pins + 1).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {x.id for x in briefing.select_diverse(df, 2).collect()} == set(range(pins))
+
+
 def test_metrics(spark):
     recall, mrr, precision = briefing.metrics(F.col("f"), F.col("g"), 3)
     df = spark.createDataFrame([(["x", "a", "a"], ["a"]), (["x"], []), ([], ["a"])], "f array<string>, g array<string>")
