@@ -87,7 +87,11 @@ def recomputed_importance(age_days: Column, accesses: Column, half_life: float)
 def greedy_merges(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(kept, gone) by walking each platform's rows from newest to oldest: of a pair the
     less confident goes (the current row stays on ties), and what is gone is skipped.
-    A platform's linked rows form one group; rows without a link never reach it."""
+    A group is one connected component of a platform's pairs, which the walk never leaves;
+    a component is walked by one task, however large it is."""
+    from larkspur.llm.common import written  # that subpackage may be absent
+    from larkspur.llm.components import components
+
     info = rows.select("id", "platform", "confidence", "created_minute")
     a, b = (info.select(*[F.col(c).alias(f"{s}_{c}") for c in info.columns]) for s in ("a", "b"))
     full = pairs.join(a, pairs["a"] == F.col("a_id")).join(b, pairs["b"] == F.col("b_id")).where("a_platform = b_platform")
@@ -107,4 +111,6 @@ def greedy_merges(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 out.append((kept, lost))
         return pd.DataFrame(out, columns=["kept", "gone"])
 
-    return full.select("a", "b", "score", "a_platform", "a_confidence", "b_confidence", "a_created_minute").groupBy("a_platform").applyInPandas(walk, "kept long, gone long")
+    linked = written(full.select("a", "b", "score", "a_confidence", "b_confidence", "a_created_minute"), "merge-pairs")
+    named = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "merge-groups")
+    return linked.join(named, linked["a"] == named["node"]).drop("node").groupBy("component").applyInPandas(walk, "kept long, gone long")

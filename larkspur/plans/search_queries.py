@@ -191,7 +191,7 @@ def importance(spark, d):
 
 @query("d7_greedy_merges")
 def greedy_merges(spark, d):
-    rows = vectors(spark, d).select("id", F.lit("one").alias("platform"), "confidence", F.col("id").alias("created_minute"))
+    rows = vectors(spark, d).select("id", "platform", "confidence", F.col("id").alias("created_minute"))
     return dedup.greedy_merges(_pairs(spark, d), rows)
 
 

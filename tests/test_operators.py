@@ -25,6 +25,15 @@ def test_greedy_merges(spark):
     assert {(r.kept, r.gone) for r in dedup.greedy_merges(pairs, rows).collect()} == {(3, 2)}
 
 
+def test_greedy_merges_stay_in_their_platform(spark, sf_dir):
+    from larkspur.plans import catalog, views
+
+    platform = {r.id: r.platform for r in views.vectors(spark, sf_dir).select("id", "platform").collect()}
+    found = catalog.QUERIES["d7_greedy_merges"](spark, sf_dir).collect()
+    assert found and all(platform[r.kept] == platform[r.gone] for r in found)
+    assert len({r.gone for r in found}) == len(found)
+
+
 def test_diverse_selection_keeps_pins_and_avoids_likeness(spark):
     rows = [(1, 1.0, False, [1.0, 0.0]), (2, 0.9, False, [1.0, 0.0]), (3, 0.5, False, [0.0, 1.0]), (4, 0.1, True, None)]
     df = spark.createDataFrame(rows, "id long, score double, is_pinned boolean, vector array<double>")
