@@ -21,29 +21,62 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark cuts the Arrow batches it hands to Python at so many bytes, whatever the columns
+#: hold, so that long texts and long lists never meet by the ten thousand.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, which all executors share.
+def small_arrow(spark: SparkSession) -> None:
+    """Bound what Spark puts into one Arrow batch by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def scratch_base(spark: SparkSession) -> str:
+    """The folder under ``spark.checkpoint.dir`` of this application's intermediate tables.
 
-    Only where that setting is absent (tests, one machine) a local folder is used.
+    Where that setting is absent, a local folder is used if all executors are this process
+    (tests); on a cluster, whose executors would not see it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), f"larkspur-{os.getuid()}")
-    return f"{base.rstrip('/')}/larkspur/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/larkspur/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``scratch_base``."""
+    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application: results that are not yet
+    written can no longer be read afterwards."""
+    discard(spark, scratch_base(spark))
+
+
+def written_at(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` to ``path`` and read it back."""
+    small_arrow(df.sparkSession)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps reuse the
     files, and a lost executor costs none of them."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_at(df, scratch_path(df.sparkSession, name), compression)
 
 
 def text_bytes(name: str = "text") -> Column:
@@ -52,9 +85,43 @@ def text_bytes(name: str = "text") -> Column:
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
+    small_arrow(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
 
 
+def texts_kept(docs: DataFrame, keep: list[str] | tuple[str, ...]) -> DataFrame:
+    """(doc_id, text as it is, ``_<name>`` of every other column named in ``keep``)."""
+    small_arrow(docs.sparkSession)
+    others = [F.col(c).alias(f"_{c}") for c in keep if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+
+
+def kept_ddl(rows: DataFrame, keep: list[str] | tuple[str, ...]) -> str:
+    """The columns that ``kept_columns`` adds, for a schema."""
+    types = {f"_{f.name}" if f.name == "text" else f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return "".join(f", `_{c}` {types[f'_{c}']}" for c in keep)
+
+
+def kept_columns(made: pa.RecordBatch, batch: pa.RecordBatch, keep: list[str] | tuple[str, ...], text: pa.Array | None = None) -> pa.RecordBatch:
+    """``made`` with the columns named in ``keep`` of the batch it was made from, as
+    ``_<name>``; ``text`` takes the place of the text."""
+    for c in keep:
+        column = batch.column(f"_{c}") if c != "text" else batch.column("text") if text is None else text
+        made = made.append_column(f"_{c}", column)
+    return made
+
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    """The bytes of a batch's texts, null as empty."""
+    return pc.fill_null(batch.column("text").cast(pa.binary()), b"").to_pylist()
+
+
+def row_key() -> Column:
+    """What stands for a row in several readings of one table: a 128-bit hash of its
+    ``doc_id`` and ``text``.  Rows that agree in both are alike in every result."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"), F.lit(b"\x00"), text_bytes())))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], size: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the bytes of the column ``size`` stay near ``limit``
     (one row may exceed it)."""
