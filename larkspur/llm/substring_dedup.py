@@ -15,9 +15,10 @@ documents:
 4. A group of over ``LARGE`` bytes is not given to one task: its windows are counted
    by hash instead, each window a row.
 
-Rules: null text counts as empty; texts under ``length`` bytes hold no window; a row's
-identity is its place in the input, so null or repeated ``doc_id`` values are separate
-documents.  The input is read three times and must be a stored table.
+Rules: null text counts as empty; texts under ``length`` bytes hold no window; rows that
+repeat a ``doc_id`` are separate documents, and so are those without one.  The input is
+read three times; a row is known again by a hash of its ``doc_id`` and text, as files may
+be divided otherwise when executors come or go, and rows alike in both have one result.
 """
 
 from __future__ import annotations
@@ -137,12 +138,12 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist(), strict=True))
 
 
-SPANS = pa.schema([("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+SPANS = pa.schema([("row", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _shard_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; whole groups are gathered up to about ``SHARD`` bytes."""
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[bytes, int, bytes]] = []
     size, anchor = 0, None
 
     def out() -> pa.RecordBatch:
@@ -163,20 +164,20 @@ def _shard_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, candidates, spans): every row with its number; the texts that may hold
+    """(rows, candidates, spans): every row with its key; the texts that may hold
     repeats; the repeated byte spans (row, a, b) of those, perhaps overlapping."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
+    rows = docs.select(common.row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
     names = ("start", "windows", "anchor", "content", "repeats")
-    schema = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("repeats", pa.bool_())])
+    schema = pa.schema([("row", pa.binary()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("repeats", pa.bool_())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "text", 1 << 20):
             found = stretches(batch.column("text").to_pylist(), length, gram)
-            row = np.array(batch.column("row"))[found["text"]] if len(found["text"]) else []
+            row = batch.column("row").take(pa.array(found["text"]))
             yield pa.RecordBatch.from_pydict({"row": row} | {n: found[n] for n in names}, schema=schema)
 
     long_texts = rows.select("row", "text").where(F.octet_length("text") >= length)
-    places = common.written(long_texts.mapInArrow(cut, "row long, start long, windows int, anchor long, content long, repeats boolean"), "stretches")
+    places = common.written(long_texts.mapInArrow(cut, "row binary, start long, windows int, anchor long, content long, repeats boolean"), "stretches")
     anchors = places.groupBy("anchor").agg(F.count("*").alias("n"), F.max("repeats").alias("r")).where("n > 1 or r").select("anchor")
     maybe = common.written(places.join(anchors, "anchor"), "repeated-stretches")
 
@@ -189,9 +190,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("d"), F.sum(F.col("x.windows") + length - 1).alias("size"), F.max("x.repeats").alias("r")).where("d > 1 or r")
     wanted = distinct.join(groups, "anchor").select("anchor", "x.row", "x.start", "x.windows", (F.col("size") > large).alias("hot"))
     per_row = maybe.select("row").distinct().join(wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "hot")).alias("wanted")), "row", "left")
-    candidates = common.written(rows.select("row", "text").join(per_row, "row"), "candidates")
+    candidates = common.written(rows.select("row", "text").join(per_row, "row").dropDuplicates(["row"]), "candidates")
 
-    content_schema = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("hot", pa.bool_()), ("content", pa.binary())])
+    content_schema = pa.schema([("anchor", pa.int64()), ("row", pa.binary()), ("start", pa.int64()), ("hot", pa.bool_()), ("content", pa.binary())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "text", 1 << 20):
@@ -202,20 +203,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=content_schema)
 
-    contents = candidates.where("wanted is not null").mapInArrow(fetch, "anchor long, row long, start long, hot boolean, content binary")
+    contents = candidates.where("wanted is not null").mapInArrow(fetch, "anchor long, row binary, start long, hot boolean, content binary")
     sharded = contents.where("not hot").select("anchor", "row", "start", "content").repartition("anchor").sortWithinPartitions("anchor")
-    shared = sharded.mapInArrow(lambda batches: _shard_spans(batches, length), "row long, a long, b long")
+    shared = sharded.mapInArrow(lambda batches: _shard_spans(batches, length), "row binary, a long, b long")
 
-    hot_schema = pa.schema([("h", pa.int64()), ("i", pa.int64()), ("row", pa.int64()), ("a", pa.int64())])
+    hot_schema = pa.schema([("h", pa.int64()), ("i", pa.int64()), ("row", pa.binary()), ("a", pa.int64())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, start, content in zip(*(batch.column(c).to_pylist() for c in ("row", "start", "content")), strict=True):
                 data = np.frombuffer(content, np.uint8)
                 h, i = gram_hashes(data, length, 0), gram_hashes(data, length, 1)
-                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "i": i.view(np.int64), "row": np.full(len(h), row), "a": start + np.arange(len(h))}, schema=hot_schema)
+                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "i": i.view(np.int64), "row": [row] * len(h), "a": start + np.arange(len(h))}, schema=hot_schema)
 
-    single = contents.where("hot").select("row", "start", "content").mapInArrow(windows, "h long, i long, row long, a long")
+    single = contents.where("hot").select("row", "start", "content").mapInArrow(windows, "h long, i long, row binary, a long")
     twice = single.groupBy("h", "i").agg(F.count("*").alias("n")).where("n > 1").select("h", "i")
     counted = single.join(twice, ["h", "i"]).select("row", "a", (F.col("a") + length).alias("b"))
     return rows, candidates, equal.unionByName(shared).unionByName(counted)
@@ -236,7 +237,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large:
     the bytes left, as ``kept``."""
     rows, candidates, spans = repeated_spans(docs, length, gram, large)
     by_row = spans.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    schema = pa.schema([("row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    schema = pa.schema([("row", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "text", 1 << 22):
@@ -247,7 +248,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large:
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    touched = candidates.select("row", "text").join(by_row, "row").mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    touched = candidates.select("row", "text").join(by_row, "row").mapInArrow(cut, "row binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     touched = common.written(touched, "cut")
     whole = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text")] if with_text else []))
     joined = whole.join(touched, "row", "left")
