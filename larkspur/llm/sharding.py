@@ -30,18 +30,25 @@ def _placed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return common.written(ordered, name)
 
 
-def interleave(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """(doc_id, size, text_crc32, source, position): ``position`` numbers all rows from 0."""
+def _by_source(docs: DataFrame, seed: int, keep: list[str] = ()) -> DataFrame:
+    """What is needed of every row, placed by source and seeded hash, with the columns in
+    ``keep`` as ``_kept_<name>``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.col("source").alias("source"),
+        *[F.col(c).alias(f"_kept_{c}") for c in keep],
     ).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32"))
-    rows = _placed(rows, ["source", "_h", "doc_id", "text_crc32"], "by-source")
+    return _placed(rows, ["source", "_h", "doc_id", "text_crc32"], "by-source")
+
+
+def _interleaved(placed: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, source, row, position): ``row`` (partition and place) is
+    the row's own in ``placed``, ``position`` numbers all rows from 0."""
     # Per partition and source: a row for each source, and one more for each partition at most.
-    held = rows.groupBy("source", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    held = placed.groupBy("source", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
     of_source = Window.partitionBy("source")
     held = held.select(
         F.col("source").alias("_s"),
@@ -49,26 +56,40 @@ def interleave(docs: DataFrame, seed: int = 17) -> DataFrame:
         (F.sum("_n").over(of_source.orderBy("_part")) - F.col("_n") - F.col("_from")).alias("_base"),
         F.sum("_n").over(of_source).alias("_all"),
     )
-    rows = rows.join(held, (F.col("source").eqNullSafe(F.col("_s"))) & (F.col("_part") == F.col("_p")))
-    rows = rows.withColumn("_f", (F.col("_base") + F.col("_at") + 0.5) / F.col("_all"))
-    rows = _placed(rows.select("doc_id", "size", "text_crc32", "source", "_h", "_f"), ["_f", "source", "_h", "doc_id", "text_crc32"], "interleaved")
+    rows = placed.join(held, (F.col("source").eqNullSafe(F.col("_s"))) & (F.col("_part") == F.col("_p")))
+    rows = rows.withColumn("_f", (F.col("_base") + F.col("_at") + 0.5) / F.col("_all")).withColumn("row", _row())
+    rows = _placed(rows.select("doc_id", "size", "text_crc32", "source", "row", "_h", "_f"), ["_f", "source", "_h", "doc_id", "text_crc32"], "interleaved")
     parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return rows.join(parts, "_part").select("doc_id", "size", "text_crc32", "source", (F.col("_before") + F.col("_at")).alias("position"))
+    return rows.join(parts, "_part").select("doc_id", "size", "text_crc32", "source", "row", (F.col("_before") + F.col("_at")).alias("position"))
 
 
-def assign(docs: DataFrame, shards: int, seed: int = 17) -> DataFrame:
-    """(doc_id, size, text_crc32, source, shard, slot); shard counts differ by one at most."""
-    rows = interleave(docs, seed)
-    total = docs.count()
+def _row():
+    return F.shiftleft("_part", PART_BITS) + F.col("_at")
+
+
+def interleave(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """(doc_id, size, text_crc32, source, position): ``position`` numbers all rows from 0."""
+    return _interleaved(_by_source(docs, seed)).drop("row")
+
+
+def _assigned(rows: DataFrame, shards: int, total: int) -> DataFrame:
+    """``rows``, ``total`` of them, with their shard and slot in place of their position."""
     shard = F.expr(f"position * {shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return rows.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("position") - first).drop("position")
 
 
+def assign(docs: DataFrame, shards: int, seed: int = 17) -> DataFrame:
+    """(doc_id, size, text_crc32, source, shard, slot); shard counts differ by one at most."""
+    return _assigned(interleave(docs, seed), shards, docs.count())
+
+
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 17) -> None:
-    """Write ``docs`` to ``path``, one folder per shard, rows in slot order within files."""
-    named = assign(docs, shards, seed).select(F.col("doc_id").alias("_d"), F.col("text_crc32").alias("_c"), "shard", "slot").dropDuplicates(["_d", "_c"])
-    text = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.join(named, (F.col("doc_id").eqNullSafe(F.col("_d"))) & (text == F.col("_c"))).drop("_d", "_c")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write every row of ``docs`` to ``path``, one folder per shard, rows in slot order
+    within files; repeated rows are written each to its own slot, kept as ``slot``."""
+    placed = _by_source(docs, seed, docs.columns)
+    named = _assigned(_interleaved(placed), shards, placed.count()).select("row", "shard", "slot")
+    rows = placed.select(_row().alias("row"), *[F.col(f"_kept_{c}").alias(f"_kept_{c}") for c in docs.columns]).join(named, "row")
+    rows = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select("shard", "slot", *[F.col(f"_kept_{c}").alias(c) for c in docs.columns if c not in ("shard", "slot")]).write.partitionBy("shard").parquet(path)

@@ -129,3 +129,13 @@ def test_packing_covers_every_id_once(which, request):
                 assert start == at and check == crc(ids[start : start + length])
                 at += length
         assert at == len(ids)
+
+
+def test_written_shards_hold_every_row_once(spark, edge_docs, tmp_path):
+    rows = [(i % 5, "same text", f"s{i % 2}") for i in range(9)] + [(None, "same text", "s0")] * 4 + [(7, "other", "s1"), (8, None, None), (9, "", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sharding.write_shards(docs, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in back), key=repr) == sorted(rows, key=repr)
+    for shard in range(4):
+        assert sorted(r.slot for r in back if r.shard == shard) == list(range(4))
