@@ -29,10 +29,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: long), where component
     is its least reachable node.  Nulls and self-loops are ignored."""
     ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current = common.written(ordered, name)
+    spark = edges.sparkSession
+    before = common.scratch_path(spark, name)
+    current = common.written_at(ordered, before)
     state = None
     while True:
-        current = common.written(_star(_star(current, True), False), name)
+        path = common.scratch_path(spark, name)
+        current = common.written_at(_star(_star(current, True), False), path)
+        common.discard(spark, before)
+        before = path
         row = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == state:
             break

@@ -8,7 +8,7 @@ spans merged.
 
 The benchmark is read in blocks of at most ``BLOCK_WORDS`` words; each block is
 shipped to the tasks and run against all documents, so its size is bounded
-whatever the size of the benchmark.
+whatever the size of the benchmark; a longer item is divided.
 
 Rules: null texts have no words; an item without words has no window; null item
 ids are ignored; rows that repeat an item id form one item.
@@ -20,9 +20,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
@@ -108,16 +107,28 @@ def find(texts: list[list[bytes]], windows: Windows) -> tuple[list[list[tuple[in
     return spans, [sorted(x) for x in items]
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of bounded size, streamed through the driver; an item stays whole."""
+def parts_of(text: bytes, width: int, most: int) -> Iterator[bytes]:
+    """A text in parts of about ``most`` words that hold all its windows."""
+    words = words_of(text) if len(text) > most else []
+    if len(words) <= most:
+        yield text
+    else:
+        for i in range(0, len(words) - width + 1, most):
+            yield b" ".join(words[i : i + most + width - 1])
+
+
+def benchmark_blocks(benchmark: DataFrame, width: int = 10, most: int | None = None) -> Iterator[list[tuple[str, bytes]]]:
+    """Items in blocks of bounded size, streamed through the driver; a longer item is divided."""
+    most = max(most or BLOCK_WORDS, width)
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     block, held = [], 0
     for r in rows.toLocalIterator():
-        block.append((r.item, bytes(r.text)))
-        held += len(r.text) // 4 + 1
-        if held > BLOCK_WORDS:
-            yield block
-            block, held = [], 0
+        for part in parts_of(bytes(r.text), width, most):
+            block.append((r.item, part))
+            held += len(part) // 4 + 1
+            if held > most:
+                yield block
+                block, held = [], 0
     if block:
         yield block
 
@@ -132,55 +143,75 @@ def merge_spans(spans: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: list[str] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: list[str] = (), block_words: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans (array of start, end in words),
     items, and the columns of ``docs`` named in ``keep`` as ``_<name>``."""
-    kept = [F.col(c).alias(f"_{c}") for c in keep]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"), *kept)
-    names = [f"_{c}" for c in keep]
-    blocks = benchmark_blocks(benchmark)
+    return _searched(docs, benchmark, width, list(keep), block_words, False)
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: list[str] = (), block_words: int | None = None) -> DataFrame:
+    """As ``contamination``, the kept text without the words of its spans and what stands
+    between them; null texts stay null."""
+    return _searched(docs, benchmark, width, list(keep), block_words, True)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, width: int, keep: list[str], block_words: int | None, cut: bool) -> DataFrame:
+    rows = common.texts_kept(docs, keep)
+    blocks = benchmark_blocks(benchmark, width, block_words)
     first, more = next(blocks, []), next(blocks, None)
     if more is None:
-        return _against(rows, first, width, names)
-    parts, block = [_against(rows.drop(*names), first, width, [])], more
+        return _against(rows, first, width, keep, cut)
+    # Several blocks: each reads all texts; what it finds is joined by the rows' keys.
+    keyed = rows.withColumn("_row_key", common.row_key())
+    every, block = common.written(_against(keyed, first, width, ["row_key"], False), "contamination"), more
     while block is not None:
-        parts.append(_against(rows.drop(*names), block, width, []))
+        every = every.unionByName(common.written(_against(keyed, block, width, ["row_key"], False), "contamination"))
         block = next(blocks, None)
-    every = common.written(parts[0], "contamination")
-    for part in parts[1:]:
-        every = every.unionByName(common.written(part, "contamination"))
-    merged = every.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = merged.withColumn("spans", _merged("spans"))
-    return merged.join(rows.select("row", *names), "row") if names else merged
+    found = every.groupBy("_row_key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = keyed.join(found, "_row_key").drop("_row_key")
+    return joined.mapInArrow(_merging(keep, cut), _ddl(rows, keep))
+
 
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
-def _merged(name: str) -> Column:
-    """The merged spans of a column of spans."""
 
-    @F.pandas_udf("array<struct<a: long, b: long>>")
-    def merged(spans: pd.Series) -> pd.Series:
-        return spans.map(lambda x: [{"a": a, "b": b} for a, b in merge_spans(x)])
+def _ddl(rows: DataFrame, keep: list[str]) -> str:
+    return "doc_id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>" + common.kept_ddl(rows, keep)
+
+
+def _without(batch: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.Array:
+    """The texts of a batch without the words of their spans."""
+    texts = batch.column("text").to_pylist()
+    return pa.array([cut_words(t, s) if t is not None and s else t for t, s in zip(texts, spans, strict=True)], pa.string())
+
+
+def _as_structs(spans: list[list[tuple[int, int]]]) -> list[list[dict[str, int]]]:
+    return [[{"a": a, "b": b} for a, b in s] for s in spans]
+
+
+def _merging(keep: list[str], cut: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches, "text", 1 << 21):
+            spans = [merge_spans(s) for s in batch.column("spans").to_pylist()]
+            made = pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "spans": _as_structs(spans), "items": batch.column("items")}, schema=_SCHEMA)
+            yield common.kept_columns(made, batch, keep, _without(batch, spans) if cut else None)
 
-    return merged(F.col(name))
+    return run
 
 
-def _against(rows: DataFrame, items: list[tuple[str, bytes]], width: int, names: list[str]) -> DataFrame:
+def _against(rows: DataFrame, items: list[tuple[str, bytes]], width: int, keep: list[str], cut: bool) -> DataFrame:
     """The search of one block of items."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
-    out = "row long, doc_id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+    block = hashlib.md5(repr((items, width)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.drop_worker_cache()
-        windows = Windows(items, width)
+        windows = common.worker_cache(("windows", block), lambda: Windows(items, width))
         for batch in common.small_batches(batches, "text", SHARD_BYTES):
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
+            texts = [words_of(t) for t in common.texts_of(batch)]
             spans, found = find(texts, windows)
-            made = pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_words": [len(t) for t in texts], "spans": [[{"a": a, "b": b} for a, b in s] for s in spans], "items": found}, schema=schema)
-            for c in names:
-                made = made.append_column(c, batch.column(c))
-            yield made
+            made = pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": [len(t) for t in texts], "spans": _as_structs(spans), "items": found}, schema=_SCHEMA)
+            yield common.kept_columns(made, batch, keep, _without(batch, spans) if cut else None)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, _ddl(rows, keep))
 
 
 def digest(items: list[str]) -> str:

@@ -6,7 +6,7 @@ a block holds its bits as big-endian 64-bit words and a bit offset for every
 ``STEP`` ids, from which its runs are decoded side by side through one table.
 
 Rules: null text counts as empty; null ``doc_id`` comes first; rows that repeat a
-``doc_id`` follow one another in order of their packed ids.
+``doc_id`` follow one another in order of a hash of their ids.
 """
 
 from __future__ import annotations
@@ -154,8 +154,8 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
             yield out()
 
     (
-        ids.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "ids")
+        ids.withColumn("h", F.xxhash64("ids")).repartitionByRange("doc_id", "h")
+        .sortWithinPartitions("doc_id", "h", "ids")
         .select("doc_id", "ids")
         .mapInArrow(code_partition, BLOCK_SCHEMA)
         .write.option("compression", "none")

@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,27 +236,42 @@ def find(texts: list[str], model: dict[str, np.ndarray]) -> tuple[list, list]:
     return base, [_ordered(b + a) for b, a in zip(base, more, strict=True)]
 
 
-def spans_of(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """(doc_id, base, spans: arrays of start, end, kind; the columns named in ``keep`` as ``_<name>``)."""
+def _found(docs: DataFrame, keep: list[str], mask: bool) -> DataFrame:
+    """(doc_id, base, spans: arrays of start, end, kind; the columns named in ``keep`` as
+    ``_<name>``); with ``mask`` the text is kept with its spans masked."""
     model = trained()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"), *[F.col(c).alias(f"_{c}") for c in keep])
-    names = [f"_{c}" for c in keep]
+    rows = common.texts_kept(docs, keep)
     span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.string())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("base", span), ("spans", span)])
     kind = "array<struct<a: long, b: long, kind: string>>"
-    out = f"doc_id long, base {kind}, spans {kind}" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+    schema, out = ([("doc_id", pa.int64())], "doc_id long") if mask else ([("doc_id", pa.int64()), ("base", span), ("spans", span)], f"doc_id long, base {kind}, spans {kind}")
+    schema = pa.schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.drop_worker_cache()
         for batch in common.small_batches(batches, "text", 1 << 21):
-            base, spans = find([t.decode() for t in batch.column("text").to_pylist()], model)
-            as_rows = lambda x: [[{"a": a, "b": b, "kind": k} for a, b, k in s] for s in x]
-            made = pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "base": as_rows(base), "spans": as_rows(spans)}, schema=schema)
-            for c in names:
-                made = made.append_column(c, batch.column(c))
-            yield made
-
-    return rows.mapInArrow(run, out)
+            texts = [t.decode() for t in common.texts_of(batch)]
+            base, spans = find(texts, model)
+            made, text = {"doc_id": batch.column("doc_id")}, None
+            if mask:
+                new = pa.array([masked(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
+                text = pc.if_else(batch.column("text").is_valid(), new, pa.scalar(None, pa.string()))
+            else:
+                as_rows = lambda x: [[{"a": a, "b": b, "kind": k} for a, b, k in s] for s in x]
+                made |= {"base": as_rows(base), "spans": as_rows(spans)}
+            yield common.kept_columns(pa.RecordBatch.from_pydict(made, schema=schema), batch, keep, text)
+
+    return rows.mapInArrow(run, out + common.kept_ddl(rows, keep))
+
+
+def spans_of(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, base, spans: arrays of start, end, kind; the columns named in ``keep`` as ``_<name>``)."""
+    return _found(docs, list(keep), False)
+
+
+def masked_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(doc_id, the columns named in ``keep`` as ``_<name>``), every span of the text
+    replaced by its kind; null texts stay null."""
+    return _found(docs, list(keep), True)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.toxicity import scores, train_split
 
     scored = scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (~train_split(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~train_split(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.substring_dedup import deduplicate
 
-    return deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate(table(spark, sf_dir, "documents")).withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

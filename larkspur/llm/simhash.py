@@ -7,7 +7,7 @@ ones; a positive sum sets the bit.
 
 Rules: a null text counts as empty and has fingerprint zero; a null ``doc_id``
 comes last in the descending order; rows that repeat a ``doc_id`` follow in the
-order of their texts.
+order of a hash of their texts.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def fingerprints_with_next(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(schema.names, (part, held[0], *[None] * 6, None, held[1]), strict=True)}, schema=schema)
 
-    ordered = common.keyed_texts(docs).repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
+    ordered = common.keyed_texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(F.desc("doc_id"), "h").sortWithinPartitions(F.desc("doc_id"), "h", "text").drop("h")
     rows = common.written(ordered.mapInArrow(run, ROW + ", first_text string, last_text string"), "fingerprints")
     # Only the ends of partitions remain: one text at each end.
     parts = rows.where("first_text is not null").select("part")
