@@ -1,13 +1,15 @@
 """Personal data: exact base patterns, and spans added by a trained character tagger.
 
 The tagger (``tagger``) is trained on generated, labelled windows: the four kinds in
-their base form and in forms the patterns miss (bracketed "at" and "dot", phone
+their base form and in forms the patterns miss (bracketed or bare "at" and "dot", phone
 numbers without a plus sign, spaced addresses, dotted cards), among words and among
-numbers that are none of these.  A text is read in overlapping windows around every
-character group that can belong to personal data; scores of overlapping windows are
+numbers that are none of these.  ``python -m larkspur.llm.pii`` trains it and writes
+the weights beside this module.  A text is read in overlapping windows around every
+character group that an added span must hold; scores of overlapping windows are
 averaged with weights that fall towards the window's edge, and one Viterbi pass
-decodes the whole region.  An added span must pass its kind's check (digits, parts,
-Luhn) and must not touch a base span.
+decodes the whole region.  Of a region of over ``MOST`` characters, stretches of so many
+are decoded with a margin, and a span belongs to the stretch in which it starts.  An
+added span must pass its kind's check (digits, parts, Luhn) and must not touch a base span.
 
 Rules: null text counts as empty; positions are code points, end exclusive; rows are
 judged each, so null or repeated ``doc_id`` values need no care.
@@ -15,7 +17,7 @@ judged each, so null or repeated ``doc_id`` values need no care.
 
 from __future__ import annotations
 
-import hashlib
+import os
 import random
 import re
 from collections.abc import Iterator
@@ -35,10 +37,15 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What may belong to personal data: a digit, an at sign, a spelled "at" or "dot".
-TRIGGER = re.compile(r"[0-9@]+|[\[({<]\s?(?:at|AT)\s?[\])}>]|\b(?:dot|DOT)\b")
+#: What every added span holds: a digit, an at sign, a spelled "at" in brackets or before a
+#: word with a dot, a spelled "dot".
+TRIGGER = re.compile(r"[0-9@]+|[\[({<]\s?at\s?[\])}>]|\bat\s(?=\s?[\w-]+\s?\.\s?\w)|\bdot\b", re.IGNORECASE)
 
 WINDOW, STEP, AROUND = 96, 48, 40
+#: Of a word that the edge of a region cuts, so many more characters are read; so long may a
+#: stretch of a region be, and so many characters are decoded together.
+WORD, MOST, MARGIN, TOGETHER = 64, 1 << 15, 192, 1 << 15
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "tagger_weights.npz")
 EXAMPLES, SEED = 2400, 11
 
 
@@ -108,7 +115,7 @@ def _entity(r: random.Random) -> tuple[str, str]:
     if kind == "email":
         local = _name(r) + r.choice(["", f".{_name(r)}", f".{_digits(r, 2)}", f"_{_name(r)}"])
         host = [r.choice(["mail", "post", "web"]) + r.choice(["", _digits(r, 1)]), "example", r.choice(["com", "org", "net", "de"])][r.randint(0, 1) :]
-        at, dot = r.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " dot "), ("[at]", "[dot]"), (" at ", " dot ")])
+        at, dot = r.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " dot "), ("[at]", "[dot]"), (" at ", " dot "), (" at ", "."), (" AT ", " DOT "), (" (At) ", " Dot ")])
         return local + at + dot.join(host), kind
     if kind == "ip":
         parts = [str(r.randint(0, 255)) for _ in range(4)]
@@ -150,32 +157,53 @@ def example(r: random.Random) -> tuple[str, np.ndarray]:
     return text[first : first + WINDOW], tags[first : first + WINDOW]
 
 
-@lru_cache(maxsize=1)
-def trained(seed: int = SEED, examples: int = EXAMPLES) -> dict[str, np.ndarray]:
+def train(seed: int = SEED, examples: int = EXAMPLES) -> dict[str, np.ndarray]:
     r = random.Random(seed)
     texts, tags = zip(*(example(r) for _ in range(examples)), strict=True)
     return tagger.train(np.stack([tagger.symbols(t) for t in texts]), np.stack(tags), seed)
 
 
+@lru_cache(maxsize=1)
+def trained() -> dict[str, np.ndarray]:
+    """The weights that ``train`` gave; the driver reads them and ships them to the tasks."""
+    with np.load(WEIGHTS) as stored:
+        return {k: stored[k] for k in stored.files}
+
+
 # Reading --------------------------------------------------------------------
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Merged stretches of text around every trigger."""
+    """Merged stretches of text around every trigger, to the ends of words."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
+        if out and m.end() <= out[-1][1] - AROUND:
+            continue
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        least, most = max(0, a - WORD), min(len(text), b + WORD)
+        while a > least and not text[a - 1].isspace():
+            a -= 1
+        while b < most and not text[b].isspace():
+            b += 1
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+def stretches(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(from, to, first, last): what to decode, and where the spans that count start."""
+    for a, b in regions(text):
+        for x in range(a, b, MOST):
+            y = min(x + MOST, b)
+            yield max(a, x - MARGIN) if x > a else a, min(b, y + MARGIN), x, y
+
+
 def _plausible(kind: str, value: str) -> bool:
     digits = re.sub("[^0-9]", "", value)
     if kind == "email":
-        return re.fullmatch(r"[\w.%+-]+\s?(?:@|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:at|AT)\s)\s?[\w-]+(?:\s?(?:\.|[\[({<]?\s?\b(?:dot|DOT)\b\s?[\])}>]?)\s?[\w-]+)+", value) is not None
+        return re.fullmatch(r"[\w.%+-]+\s?(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s)\s?[\w-]+(?:\s?(?:\.|[\[({<]?\s?\bdot\b\s?[\])}>]?)\s?[\w-]+)+", value, re.IGNORECASE) is not None
     if kind == "ip":
         parts = re.split(r"\s?\[?\.\]?\s?", value)
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and _byte(p) for p in parts)
@@ -184,13 +212,10 @@ def _plausible(kind: str, value: str) -> bool:
     return re.fullmatch(r"[0-9 ().+-]+", value) is not None and 10 <= len(digits) <= 15 and re.search(r"[0-9][ ().-]+[0-9]", value) is not None and re.fullmatch(r"[0-9]+(?:\.[0-9]+)?", value) is None and re.search(r"[0-9]{9}", value) is None
 
 
-def added_spans(texts: list[str], model: dict[str, np.ndarray], base: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
-    """Spans that the tagger adds to the base spans of each text."""
-    found = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
-    windows: list[tuple[int, int]] = []  # (region, offset)
-    codes = [tagger.symbols(texts[i][a:b]) for i, a, b in found]
-    for k, c in enumerate(codes):
-        windows += [(k, o) for o in range(0, max(1, len(c) - WINDOW + STEP), STEP)]
+def _tagged(pieces: list[str], model: dict[str, np.ndarray]) -> list[list[tuple[int, int, str]]]:
+    """The tagger's spans of some pieces of text."""
+    codes = [tagger.symbols(t) for t in pieces]
+    windows = [(k, o) for k, c in enumerate(codes) for o in range(0, max(1, len(c) - WINDOW + STEP), STEP)]
     scores = [np.zeros((len(c), tagger.TAGS)) for c in codes]
     weights = [np.zeros((len(c), 1)) for c in codes]
     hat = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)[:, None]
@@ -204,20 +229,39 @@ def added_spans(texts: list[str], model: dict[str, np.ndarray], base: list[list[
             n = min(WINDOW, len(codes[k]) - o)
             scores[k][o : o + n] += e[:n] * hat[:n]
             weights[k][o : o + n] += hat[:n]
+    return [tagger.spans(tagger.viterbi(s / w, model["trans"])) for s, w in zip(scores, weights, strict=True)]
+
+
+def added_spans(texts: list[str], model: dict[str, np.ndarray], base: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
+    """Spans that the tagger adds to the base spans of each text."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (i, a, _), s, w in zip(found, scores, weights, strict=True):
-        if not s.argmax(1).any():
-            continue
-        for x, y, kind in tagger.spans(tagger.viterbi(s / w, model["trans"])):
-            value = texts[i][a + x : a + y]
-            x, y = a + x + len(value) - len(value.lstrip()), a + y - (len(value) - len(value.rstrip()))
-            value = value.strip().rstrip(".,;:!?")
-            y = x + len(value)
-            if _plausible(kind, value) and not any(x < e and s_ < y for s_, e, _ in base[i]):
-                # Not a part of a longer number or word.
-                before, after = texts[i][x - 1 : x], texts[i][y : y + 1]
-                if not (before.isalnum() or before in ("+", "@")) and not after.isalnum():
-                    out[i].append((x, y, kind))
+    held: list[tuple[int, int, int, int, int]] = []
+
+    def decode() -> None:
+        for (i, a, _, first, last), found in zip(held, _tagged([texts[i][a:b] for i, a, b, _, _ in held], model), strict=True):
+            for x, y, kind in found:
+                if not first <= a + x < last:
+                    continue
+                value = texts[i][a + x : a + y]
+                start = a + x + len(value) - len(value.lstrip())
+                value = value.strip().rstrip(".,;:!?")
+                end = start + len(value)
+                if _plausible(kind, value) and not any(start < e and s < end for s, e, _ in base[i]):
+                    # Not a part of a longer number or word.
+                    before, after = texts[i][start - 1 : start] if start else "", texts[i][end : end + 1]
+                    if not (before.isalnum() or before in ("+", "@")) and not after.isalnum():
+                        out[i].append((start, end, kind))
+        held.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        for piece in stretches(text):
+            held.append((i, *piece))
+            size += piece[1] - piece[0]
+            if size > TOGETHER:
+                decode()
+                size = 0
+    decode()
     return out
 
 
@@ -293,3 +337,7 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
         out += [text[at : max(a, at)], f"<{kind.upper()}>" if a >= at else ""]
         at = b
     return "".join([*out, text[at:]])
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **train())

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from larkspur.llm import pii, tagger
+from pii_sentences import SENTENCES
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -104,3 +105,38 @@ def test_added_forms(model):
 def test_masking():
     assert pii.masked("ab a@b.cd 12", [(3, 9, "email")]) == "ab <EMAIL> 12"
     assert pii.masked("abcdef", [(0, 3, "ip"), (2, 5, "card")]) == "<IP>f"
+
+
+def accuracy(model):
+    _, found = pii.find([t for t, _ in SENTENCES], model)
+    hit = wrong = missed = 0
+    for (text, want), spans in zip(SENTENCES, found, strict=True):
+        got = {(text[a:b], k) for a, b, k in spans}
+        hit, wrong, missed = hit + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
+    return hit, wrong, missed
+
+
+def test_sentences_that_the_generator_did_not_make(model):
+    hit, wrong, missed = accuracy(model)
+    assert hit / (hit + wrong) >= 0.85 and hit / (hit + missed) >= 0.75, (hit, wrong, missed)
+
+
+def test_long_regions_are_decoded_in_stretches_alike(model, monkeypatch):
+    text = " ".join(f"row {i} call (743) 555-{1000 + i} or 12 34" for i in range(400))
+    whole = pii.find([text], model)[1]
+    monkeypatch.setattr(pii, "MOST", 512)
+    assert pii.find([text], model)[1] == whole and len(whole[0]) > 300
+
+
+def test_spans_lie_in_regions(model):
+    """What reading whole texts finds beyond the regions, over texts without any change."""
+    texts = [t for t, _ in SENTENCES]
+    whole = pii.find(texts, model)[1]
+    found = [[(t[a:b], k) for a, b, k in s] for t, s in zip(texts, whole, strict=True)]
+    original = pii.regions
+    try:
+        pii.regions = lambda text: [(0, len(text))] if text else []
+        all_of = [[(t[a:b], k) for a, b, k in s] for t, s in zip(texts, pii.find(texts, model)[1], strict=True)]
+    finally:
+        pii.regions = original
+    assert sum(len(set(a) - set(b)) for a, b in zip(all_of, found, strict=True)) <= 1

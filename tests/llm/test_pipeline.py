@@ -2,6 +2,7 @@ import corpus_pipeline as pipeline
 import pytest
 
 from larkspur.llm import pii
+from larkspur.llm.common import written
 
 
 @pytest.fixture(scope="module")
@@ -9,7 +10,7 @@ def stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = [docs]
     for name, f in pipeline.STAGES:
-        out.append(pipeline.written(f(spark, out[-1], sf_dir), name))
+        out.append(written(f(spark, out[-1], sf_dir), name))
     return out
 
 
@@ -48,14 +49,14 @@ def test_pieces_cover_what_was_kept(stages):
 def test_edges(spark, edge_docs, sf_dir):
     docs = edge_docs.select(*pipeline.COLUMNS)
     for name, f in pipeline.STAGES:
-        docs = pipeline.written(f(spark, docs, sf_dir), name)
+        docs = written(f(spark, docs, sf_dir), name)
     assert docs.count() > 0
 
 
 def test_empty(spark, no_docs, sf_dir):
     docs = no_docs
     for name, f in pipeline.STAGES:
-        docs = pipeline.written(f(spark, docs, sf_dir), name)
+        docs = written(f(spark, docs, sf_dir), name)
     assert docs.count() == 0
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from larkspur.llm import huffman, packing
+from larkspur.llm import huffman, packing, sharding
 from larkspur.llm.common import scratch_path
 from larkspur.llm.token_ids import WordEncoder, tokenizer_path
 
