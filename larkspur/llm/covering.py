@@ -152,33 +152,38 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, large: int
 #
 # Candidates come from bands of least hashes: two sets of similarity s agree in a band of
 # ``BAND_ROWS`` with probability s ** 5, so a pair at 0.8 misses all ``BANDS`` with
-# probability 7e-6, and one at 0.85 with 5e-8.  A candidate is linked only if the exact
-# similarity of its sets of distinct shingles is at least ``LEAST_ALIKE``.
-
-BANDS, BAND_ROWS, LEAST_ALIKE = 30, 5, (4, 5)
+# probability 7e-6, and one at 0.85 with 5e-8.  A candidate goes on only if its sketches,
+# the low bytes of all 150 least hashes, agree in ``LEAST_SAME``: fewer have a probability of
+# 1e-8 at 0.8.  What sketches join is a cluster; inside it a pair is linked only if the exact
+# similarity of its sets of distinct shingles is at least ``LEAST_ALIKE``.  Tasks keep one link
+# for each newly joined pair of groups, so no step makes more rows than the buckets hold.
+
+BANDS, BAND_ROWS, LEAST_ALIKE, LEAST_SAME = 30, 5, (4, 5), 93
+#: Shingles of a cluster that one task compares, in bytes.
+PART_BYTES = 1 << 24
 _RANDOM = np.random.default_rng(1)
 _FLIP, _TIMES = (_RANDOM.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1) for _ in range(2))
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band of the set, none for an empty set."""
+def band_keys(shingles: np.ndarray) -> tuple[list[int], bytes]:
+    """A signed 64-bit key for each band of the set, none for an empty set, and its sketch."""
     from xxhash import xxh3_64_digest
 
     if not len(shingles):
-        return []
+        return [], b""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 1024):
         np.minimum(least, ((shingles[None, i : i + 1024] ^ _FLIP) * _TIMES).min(1), out=least)
     keys = b"".join(xxh3_64_digest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS)))
-    return np.frombuffer(keys, np.int64).tolist()
+    return np.frombuffer(keys, np.int64).tolist(), least.astype(np.uint8).tobytes()
 
 
-def _sets(texts: DataFrame, words: int, of: dict[str, Callable[[np.ndarray], object]], types: str) -> DataFrame:
+def _sets(texts: DataFrame, words: int, of: Callable[[np.ndarray], tuple], types: str) -> DataFrame:
     """(doc_id, text_key, node, what ``of`` makes of the distinct shingles): equal sets have one ``node``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    ddl = f"doc_id long, text_key string, node long, {types}"
+    ddl = f"doc_id long, text_key binary, node long, {types}"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def columns(batch: pa.RecordBatch) -> dict[str, object]:
@@ -187,21 +192,87 @@ def _sets(texts: DataFrame, words: int, of: dict[str, Callable[[np.ndarray], obj
         common.drop_worker_cache()
         sets = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
         nodes = np.frombuffer(b"".join(xxh3_64_digest(x.tobytes()) for x in sets), np.int64)
-        return {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "node": nodes} | {name: [f(x) for x in sets] for name, f in of.items()}
+        made = zip(*map(of, sets), strict=True)
+        return {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "node": nodes} | dict(zip(schema.names[3:], made, strict=True))
 
     return texts.mapInArrow(common.map_columns(columns, schema), ddl)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The rows (u, v) of ``pairs`` whose ``shingles`` in ``sets`` (node) are alike to ``least``."""
-    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("u", "v"))
-    both = F.size(F.array_intersect("of_u", "of_v"))
-    return pairs.join(x, "u").join(y, "v").where(both * sum(least) >= (F.size("of_u") + F.size("of_v")) * least[0]).select("u", "v")
+def sketch(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint8)
+
+
+def like_forest(rows: list[tuple], least: tuple[int, int], same: int, one: bool) -> list[tuple[int, int]]:
+    """Links that join all rows (node, n, part, sketch[, shingles]) reachable through pairs of
+    similar size whose sketches agree in ``same`` bytes and, where they have shingles, whose
+    sets are alike to ``least``: at most one link fewer than rows.  Unless ``one``, only rows
+    of different parts are compared."""
+    node, n, part = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    sketches = sketch(b"".join(r[3] for r in rows)).reshape(len(rows), -1)
+    exact = len(rows[0]) > 4
+    if exact:  # shingles as numbers from 0, of all rows in turn
+        _, ids = np.unique(np.frombuffer(b"".join(r[4] for r in rows), np.int64), return_inverse=True)
+        ends = np.cumsum(n)
+        mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    root, found = np.arange(len(rows)), []
+    for u in range(len(rows) - 1):
+        small, large = np.minimum(n[u + 1 :], n[u]), np.maximum(n[u + 1 :], n[u])
+        could = (root[u + 1 :] != root[u]) & (small * least[1] >= large * least[0])
+        if not one:
+            could &= part[u + 1 :] != part[u]
+        at = np.flatnonzero(could) + u + 1
+        at = at[(sketches[at] == sketches[u]).sum(1) >= same]
+        if exact and len(at):
+            own = ids[ends[u] - n[u] : ends[u]]
+            mark[own] = True
+            sizes = n[at]
+            stop = np.cumsum(sizes)
+            hit = mark[ids[np.repeat(ends[at] - stop, sizes) + np.arange(stop[-1])]]
+            both = np.add.reduceat(hit, stop - sizes, dtype=np.int64)
+            mark[own] = False
+            at = at[both * sum(least) >= (n[u] + sizes) * least[0]]
+        for v in at.tolist():
+            if root[v] != root[u]:
+                found.append((int(node[u]), int(node[v])))
+                root[root == root[v]] = root[u]
+    return found
+
+
+def _forests(dealt: DataFrame, keys: list[str], columns: list[str], least: tuple[int, int], same: int) -> DataFrame:
+    """The links (u, v) of every group of ``keys``, of which the last two are the parts that meet."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        group: tuple | None = None
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            named = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+            for key, row in zip(named, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+                if key != group:
+                    if len(held) > 1:
+                        found += like_forest(held, least, same, group[-1] == group[-2])
+                    held, group = [], key
+                held.append(row)
+            yield pa.RecordBatch.from_pydict({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=schema)
+            found = []
+        if len(held) > 1:
+            found = like_forest(held, least, same, group[-1] == group[-2])
+        yield pa.RecordBatch.from_pydict({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=schema)
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *columns).mapInArrow(run, "u long, v long").distinct()
+
+
+def _in_parts(rows: DataFrame, parts) -> DataFrame:
+    """``rows`` with their ``part`` of ``parts`` and, once for each other part that they meet, p and q."""
+    numbered = rows.withColumn("_parts", F.greatest(parts, F.lit(1)).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    met = numbered.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return met.withColumn("p", F.least("part", "_other")).withColumn("q", F.greatest("part", "_other"))
 
 
 def text_key(name: str = "text"):
     """What tells texts of one ``doc_id`` apart."""
-    return F.md5(common.text_bytes(name))
+    return F.unhex(F.md5(common.text_bytes(name)))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST_ALIKE, large: int = LARGE) -> DataFrame:
@@ -213,38 +284,26 @@ def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] =
 def similar_rows(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST_ALIKE, large: int = LARGE) -> DataFrame:
     """(doc_id, text_key, first) of every row: ``first`` (absent, doc_id, text_key) is the
     least such row that is linked to it, rows without a ``doc_id`` after all others."""
-    from_texts = common.keyed_texts(docs).withColumn("text_key", F.md5("text"))
-    rows = common.written(_sets(from_texts, words, {"n": len, "bands": band_keys}, "n long, bands array<long>"), "bands")
-    # Equal sets are one node.  A bucket holds the nodes that agree in a band.
-    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    bucket = Window.partitionBy("key")
-    keyed = nodes.select("node", "text_key", "n", F.explode("bands").alias("key"))
-    buckets = common.written(keyed.select("*", F.count("*").over(bucket).alias("size"), F.min(F.struct("node", "n")).over(bucket).alias("head")).where("size > 1"), "buckets")
-    wanted = common.written(buckets.select("node", "text_key").distinct(), "candidates")
-    again = _sets(from_texts.join(wanted.select("text_key"), "text_key", "left_semi"), words, {"shingles": lambda x: x.view(np.int64)}, "shingles array<long>")
-    sets = common.written(again.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "candidate-sets")
-
-    def as_long(a: str, b: str):
-        """Sets of very unequal sizes cannot be alike."""
-        return F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
-
-    # Each node with the first of its bucket: most groups are joined by that, and what they
-    # join needs no further comparison.
-    first = common.written(buckets.where((F.col("node") != F.col("head.node")) & as_long("n", "head.n")).select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), "first-pairs")
-    linked = common.written(_alike(first, sets, least), "first-links")
-    joined = components(linked, "first-groups").withColumnRenamed("component", "label")
-    labelled = buckets.select("key", "node", "n", "size").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.select("*", (F.min("label").over(bucket) != F.max("label").over(bucket)).alias("mixed")).where("mixed")
-
-    # Then all others of different groups; of a bucket of over ``large`` every two parts are one key.
-    parts = F.ceil(F.col("size") * 2 / large).cast("int")
-    split = mixed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    spread = split.select("key", "node", "n", "label", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    halves = common.written(spread.select("key", "node", "n", "label", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")), "mixed-buckets")
-    x, y = (halves.select("key", "p", "q", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label", "part")]) for s in ("u", "v"))
-    across = x.join(y, ["key", "p", "q"]).where("node_u > node_v and label_u <> label_v and (p = q or part_u <> part_v)").where(as_long("n_u", "n_v"))
-    others = across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    links = linked.unionByName(_alike(common.written(others, "other-pairs"), sets, least))
+    from_texts = common.keyed_texts(docs).withColumn("text_key", F.unhex(F.md5("text")))
+    rows = common.written(_sets(from_texts, words, lambda x: (len(x), *band_keys(x)), "n long, bands array<long>, sketch binary"), "bands")
+    # Equal sets are one node.  A bucket holds the nodes that agree in a band; its members are
+    # compared by their sketches inside tasks, which join them to clusters.
+    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = common.written(keyed.select("*", F.count("*").over(Window.partitionBy("key")).alias("size")).where("size > 1"), "buckets")
+    told = nodes.select("node", "text_key", "n", "sketch").join(buckets.select("node").distinct(), "node", "left_semi")
+    told = common.written(told, "candidates")
+    dealt = _in_parts(buckets, F.ceil(F.col("size") * 2 / large)).join(told.select("node", "sketch"), "node")
+    edges = _forests(dealt, ["key", "p", "q"], ["node", "n", "part", "sketch"], least, LEAST_SAME)
+    cluster = common.written(components(edges, "clusters").withColumnRenamed("component", "cluster"), "cluster-nodes")
+
+    # Within a cluster the sets themselves are compared, in parts of bounded size.
+    wanted = common.written(told.join(cluster, "node"), "wanted")
+    again = _sets(from_texts.join(wanted.select("text_key"), "text_key", "left_semi"), words, lambda x: (x.tobytes(),), "shingles binary")
+    sets = again.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sizes = wanted.groupBy("cluster").agg(F.sum(F.col("n") * 8).alias("bytes"))
+    held = _in_parts(wanted.join(sizes, "cluster"), F.ceil(F.col("bytes") * 2 / PART_BYTES)).join(sets, "node")
+    links = _forests(held, ["cluster", "p", "q"], ["node", "n", "part", "sketch", "shingles"], least, LEAST_SAME)
 
     row = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
     groups = rows.groupBy("node").agg(F.min(row).alias("first")).join(components(links, "set-links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
