@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import fixed
 from larkspur.operators.dedup import nearest
+from larkspur.operators.scratch import written
 from larkspur.operators.search import cosine
 
 MOST_CANDIDATES = 300
@@ -40,8 +41,6 @@ def select_diverse(candidates: DataFrame, k: int, balance: float = 0.5) -> DataF
     row between steps is the greatest likeness to the rows taken.  Likeness to pinned rows
     comes from blocks of both sides in tasks.
     """
-    from larkspur.llm.common import written  # that subpackage may be absent
-
     if k <= 0:
         return candidates.select("id", "score").limit(0)
     rows = written(candidates.select("id", "score", F.coalesce("is_pinned", F.lit(False)).alias("is_pinned"), "vector"), "diverse")

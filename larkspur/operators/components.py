@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm import common
+from larkspur.operators import scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,13 +30,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     is its least reachable node.  Nulls and self-loops are ignored."""
     ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     spark = edges.sparkSession
-    before = common.scratch_path(spark, name)
-    current = common.written_at(ordered, before)
+    before = scratch.scratch_path(spark, name)
+    current = scratch.written_at(ordered, before)
     state = None
     while True:
-        path = common.scratch_path(spark, name)
-        current = common.written_at(_star(_star(current, True), False), path)
-        common.discard(spark, before)
+        path = scratch.scratch_path(spark, name)
+        current = scratch.written_at(_star(_star(current, True), False), path)
+        scratch.discard(spark, before)
         before = path
         row = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == state:

@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.components import components
+from larkspur.operators.scratch import written
+
 BLOCK_ROWS = 8192
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
 
@@ -72,6 +75,33 @@ def nearest(left: DataFrame, right: DataFrame, block_rows: int = BLOCK_ROWS) ->
     return a.cogroup(b).applyInArrow(compare, "id long, alike double").groupBy("id").agg(F.max("alike").alias("alike"))
 
 
+def nearest_k(left: DataFrame, right: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, score, rank): the ``k`` rows of ``right`` nearest to each row of ``left``, itself
+    left out, ties to the lower id.  A task keeps the ``k`` best of its block for each of its
+    left rows, so what is shuffled does not grow with the pairs."""
+    left, right = (df.where("id is not null and vector is not null").select("id", "vector") for df in (left, right))
+    n, m = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return PAIRS.empty_table()
+        y = y.sort_by("id_r")
+        ids, others = x.column("id_l").to_numpy(), y.column("id_r").to_numpy()
+        rows, matrix, found = _unit(x.column("vector_l")), _unit(y.column("vector_r")).T, []
+        for start in range(0, len(ids), 512):
+            scores = rows[start : start + 512] @ matrix
+            own = ids[start : start + 512]
+            scores[own[:, None] == others[None]] = -np.inf
+            top = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(scores, top, 1)
+            keep = np.isfinite(value)
+            found.append(pa.Table.from_pydict({"a": np.repeat(own, top.shape[1])[keep.ravel()], "b": others[top][keep], "score": value[keep]}, schema=PAIRS))
+        return pa.concat_tables(found)
+
+    a, b = _blocks(left, "l", n, "r", m).groupBy("l", "r"), _blocks(right, "r", m, "l", n).groupBy("l", "r")
+    return best(a.cogroup(b).applyInArrow(compare, "a long, b long, score double"), k)
+
+
 def best(pairs: DataFrame, k: int) -> DataFrame:
     """The k best partners of each ``a``, ties to the lower id."""
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
@@ -89,9 +119,6 @@ def greedy_merges(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     less confident goes (the current row stays on ties), and what is gone is skipped.
     A group is one connected component of a platform's pairs, which the walk never leaves;
     a component is walked by one task, however large it is."""
-    from larkspur.llm.common import written  # that subpackage may be absent
-    from larkspur.llm.components import components
-
     info = rows.select("id", "platform", "confidence", "created_minute")
     a, b = (info.select(*[F.col(c).alias(f"{s}_{c}") for c in info.columns]) for s in ("a", "b"))
     full = pairs.join(a, pairs["a"] == F.col("a_id")).join(b, pairs["b"] == F.col("b_id")).where("a_platform = b_platform")
