@@ -5,6 +5,8 @@ All of it stays in the JVM; every function takes a Column and returns one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def hits(text: Column, words: list[str]) -> Column:
     return sum((F.when(F.contains(text, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def scrub(text: Column) -> Column:
     """Credentials replaced, pattern by pattern."""
     for _, pattern, replacement in fixed.CREDENTIALS:
@@ -53,29 +60,25 @@ def has_credentials(text: Column) -> Column:
 def is_noise(text: Column) -> Column:
     """Empty or tiny texts, short acknowledgements, dumps with few letters, output lines.
     Null counts as noise."""
-    stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
-    polite = F.lit(False)
-    for p in fixed.ACKNOWLEDGEMENTS:
-        polite = polite | stripped.rlike(p)
-    letters = F.length(F.regexp_replace(stripped, r"[^\p{L}]", ""))
-    lines = F.split(stripped, "\n")
-    output = F.size(F.filter(lines, lambda x: x.rlike(fixed.OUTPUT_LINE)))
-    return (
-        F.when(text.isNull() | (F.length(stripped) < 8), True)
-        .when((F.length(stripped) < 100) & polite, True)
-        .when((F.length(stripped) > 200) & (letters / F.length(stripped) < 0.3), True)
-        .when((F.size(lines) > 5) & (output / F.size(lines) > 0.6), True)
-        .otherwise(False)
-    )
+    letters = lambda s: F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
+
+    def judged(s: Column) -> Column:
+        polite = F.lit(False)
+        for p in fixed.ACKNOWLEDGEMENTS:
+            polite = polite | s.rlike(p)
+        output = let(F.split(s, "\n"), lambda lines: (F.size(lines) > 5) & (F.size(F.filter(lines, lambda x: x.rlike(fixed.OUTPUT_LINE))) / F.size(lines) > 0.6))
+        return F.when(F.length(s) < 8, True).when((F.length(s) < 100) & polite, True).when((F.length(s) > 200) & (letters(s) / F.length(s) < 0.3), True).when(output, True).otherwise(False)
+
+    return F.when(text.isNull(), True).otherwise(let(F.regexp_replace(text, r"^\s+|\s+$", ""), judged))
 
 
 def classify(text: Column) -> tuple[Column, Column]:
     """(type, confidence): the type with most keywords, earlier types winning ties."""
-    lower = F.lower(text)
-    scores = [F.struct(hits(lower, words).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(fixed.TYPE_KEYWORDS.items())]
-    best = F.array_max(F.array(*scores))
-    kind = F.when(best["score"] > 0, best["name"]).otherwise("raw_exchange")
-    return kind, F.when(best["score"] >= 2, 0.85).when(best["score"] == 1, 0.7).otherwise(0.5)
+    def best(lower: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(hits(lower, words).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(fixed.TYPE_KEYWORDS.items())]))
+
+    found = let(let(F.lower(text), best), lambda b: F.struct(F.when(b["score"] > 0, b["name"]).otherwise("raw_exchange").alias("kind"), F.when(b["score"] >= 2, 0.85).when(b["score"] == 1, 0.7).otherwise(0.5).alias("confidence")))
+    return found["kind"], found["confidence"]
 
 
 def rule_type(text: Column) -> Column:
@@ -88,8 +91,8 @@ def rule_type(text: Column) -> Column:
 
 def topics(text: Column, most: int = 10) -> Column:
     """Topic keywords in the text, alphabetically, the first ``most``."""
-    lower = F.lower(text)
-    return F.slice(F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(w)), F.lit(w)) for w in fixed.TOPICS])), 1, most)
+    found = let(F.lower(text), lambda lower: F.filter(F.array(*[F.lit(w) for w in fixed.TOPICS]), lambda w: F.contains(lower, w)))
+    return F.slice(found, 1, most)
 
 
 def distinct_ignoring_case(items: Column) -> Column:
@@ -111,8 +114,11 @@ def word_set(text: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Jaccard likeness of the word sets; 0 if one is empty."""
-    x, y = word_set(a), word_set(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    def likeness(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+    return let(F.struct(word_set(a).alias("x"), word_set(b).alias("y")), likeness)
 
 
 def sentences(text: Column) -> Column:

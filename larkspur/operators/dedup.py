@@ -30,7 +30,8 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
 def _blocks(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
     """Rows with their block, once for every block of the other side."""
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own)
-    return df.select(F.col("id").alias(f"id_{own}"), F.col("vector").alias(f"vector_{own}"), block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+    more = [F.col("key").alias(f"key_{own}")] if "key" in df.columns else []
+    return df.select(F.col("id").alias(f"id_{own}"), F.col("vector").alias(f"vector_{own}"), *more, block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -75,23 +76,25 @@ def nearest(left: DataFrame, right: DataFrame, block_rows: int = BLOCK_ROWS) ->
     return a.cogroup(b).applyInArrow(compare, "id long, alike double").groupBy("id").agg(F.max("alike").alias("alike"))
 
 
-def nearest_k(left: DataFrame, right: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_k(left: DataFrame, right: DataFrame, k: int, within: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, score, rank): the ``k`` rows of ``right`` nearest to each row of ``left``, itself
-    left out, ties to the lower id.  A task keeps the ``k`` best of its block for each of its
+    left out, ties to the lower id; with ``within`` only rows alike in that column.  A task keeps the ``k`` best of its block for each of its
     left rows, so what is shuffled does not grow with the pairs."""
-    left, right = (df.where("id is not null and vector is not null").select("id", "vector") for df in (left, right))
+    key = F.lit("") if within is None else F.col(within).cast("string")
+    left, right = (df.where("id is not null and vector is not null").select("id", "vector", key.alias("key")) for df in (left, right))
     n, m = (max(1, -(-df.count() // block_rows)) for df in (left, right))
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return PAIRS.empty_table()
         y = y.sort_by("id_r")
+        of_x, of_y = (np.array(t.column(c).to_pylist(), object) for t, c in ((x, "key_l"), (y, "key_r")))
         ids, others = x.column("id_l").to_numpy(), y.column("id_r").to_numpy()
         rows, matrix, found = _unit(x.column("vector_l")), _unit(y.column("vector_r")).T, []
         for start in range(0, len(ids), 512):
             scores = rows[start : start + 512] @ matrix
             own = ids[start : start + 512]
-            scores[own[:, None] == others[None]] = -np.inf
+            scores[(own[:, None] == others[None]) | (of_x[start : start + 512, None] != of_y[None])] = -np.inf
             top = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
             value = np.take_along_axis(scores, top, 1)
             keep = np.isfinite(value)
@@ -104,7 +107,7 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, block_rows: int = BLOCK
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
     """The k best partners of each ``a``, ties to the lower id."""
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    order = Window.partitionBy("a").orderBy(F.desc(F.round("score", 12)), "b")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -141,3 +144,45 @@ def greedy_merges(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     linked = written(full.select("a", "b", "score", "a_confidence", "b_confidence", "a_created_minute"), "merge-pairs")
     named = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "merge-groups")
     return linked.join(named, linked["a"] == named["node"]).drop("node").groupBy("component").applyInPandas(walk, "kept long, gone long")
+
+
+def without_near(new: DataFrame, near: DataFrame, overlap: Column, score: float, least_overlap: float) -> DataFrame:
+    """Rows of ``new`` that have, among their neighbours in ``near`` (a, b, score, columns that
+    ``overlap`` names), none above both bounds."""
+    same = near.where((F.col("score") > score) & (overlap > least_overlap)).select(F.col("a").alias("id")).distinct()
+    return new.join(same, "id", "left_anti")
+
+
+def watcher_decisions(new: DataFrame, store: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(id, reason, score, matched) of new rows (id, vector, platform, session) from their
+    nearest row of the store on the same platform: only near duplicates are skipped."""
+    usable = F.col("vector").isNotNull() & (F.size("vector") == size)
+    near = nearest_k(new.where(usable), store, 1, "platform").join(store.select(F.col("id").alias("b"), F.col("session").alias("_s")), "b")
+    rows = new.join(near.select(F.col("a").alias("id"), "b", "score", "_s"), "id", "left")
+    reason = (
+        F.when(F.col("vector").isNull(), "embed_failed")
+        .when(F.size("vector") != size, "search_failed")
+        .when(F.col("b").isNull(), "no_match")
+        .when(F.col("_s") != F.col("session"), "different_session")
+        .when(F.col("score") >= threshold, "near_duplicate")
+        .otherwise("below_threshold")
+    )
+    return rows.select("id", reason.alias("reason"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), F.when(reason == "near_duplicate", F.col("b")).alias("matched"))
+
+
+def corroborated(store: DataFrame, near: DataFrame, boost: float = 0.1) -> DataFrame:
+    """(id, confidence, corroborated_by) of the store: rows that are near (b) a new row of
+    another ``platform`` gain ``boost`` once, and those platforms."""
+    by = near.groupBy(F.col("b").alias("id")).agg(F.array_sort(F.collect_set("platform")).alias("_by"))
+    rows = store.join(by, "id", "left")
+    grown = F.when(F.col("_by").isNotNull(), F.least(F.lit(1.0), F.col("confidence") + boost)).otherwise(F.col("confidence"))
+    return rows.select("id", grown.alias("confidence"), F.coalesce("_by", F.array().cast("array<string>")).alias("corroborated_by"))
+
+
+def superseding(rows: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """(id, status, supersedes): of ``contradictions`` (a: new, b: active) the first new row
+    supersedes b, which is then no longer active for others."""
+    first = contradictions.groupBy("b").agg(F.min("a").alias("a"))
+    lists = first.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_list("b")).alias("supersedes"))
+    out = rows.join(first.select(F.col("b").alias("id"), F.lit(True).alias("_gone")), "id", "left").join(lists, "id", "left")
+    return out.select("id", F.when(F.col("_gone"), "superseded").otherwise(F.col("status")).alias("status"), F.coalesce("supersedes", F.array().cast("array<bigint>")).alias("supersedes"))

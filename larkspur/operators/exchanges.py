@@ -40,3 +40,30 @@ def summaries(chunks: DataFrame, topics: Column, least: int = 3, first: int = 5)
     )
     kept = grouped.where(F.col("n") >= least)
     return kept.select("conv_id", "n", F.array_join(F.transform(F.slice("heads", 1, first), lambda x: x["head"]), "\n").alias("summary"), "topics", F.lit(0.85).alias("confidence"))
+
+
+def extractive_summaries(turns: DataFrame, keywords: list[str]) -> DataFrame:
+    """(conv_id, summary): of the first 20 sentences of at least five words, the third, three
+    to five of them, that score best by place and share of ``keywords``, in their order.
+    One turn alone is cut to 200 characters; with under two sentences the first three turns
+    stand in; with no text, the count of turns."""
+    grouped = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    grouped = grouped.select("conv_id", "n", F.transform("t", lambda x: x["text"]).alias("texts"))
+    stripped = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
+    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    parts = F.split(F.regexp_replace(F.array_join("texts", " "), r"([.!?])\s+", "$1\u0001"), "\u0001")
+    sentences = F.filter(F.transform(parts, stripped), lambda s: F.size(words(s)) >= 5)
+    rows = grouped.select("conv_id", "n", F.slice("texts", 1, 3).alias("texts"), F.slice(sentences, 1, 20).alias("first"))
+    known = F.array(*[F.lit(k) for k in keywords])
+
+    def scored(s: Column, i: Column) -> Column:
+        own = words(F.lower(s))
+        density = F.size(F.filter(own, lambda w: F.array_contains(known, w))) / F.greatest(F.size(own), F.lit(1))
+        return F.struct((-F.round(1 / (1 + 0.1 * i) + 2 * density, 9)).alias("score"), (-i).alias("i"), s.alias("s"))
+
+    best = F.slice(F.array_sort(F.transform("first", scored)), F.lit(1), F.least(F.lit(5), F.greatest(F.lit(3), F.floor(F.size("first") / 3).cast("int"))))
+    in_order = F.array_sort(F.transform(best, lambda x: F.struct((-x["i"]).alias("i"), x["s"].alias("s"))))
+    listed = lambda items: F.concat(F.lit("Key points: "), F.array_join(F.transform(items, lambda s: F.rtrim(s, F.lit("."))), ". "), F.lit("."))
+    heads = F.filter(F.transform("texts", lambda t: stripped(F.substring(t, 1, 150))), lambda t: t != "")
+    out = F.when(F.col("n") < 2, F.substring(F.col("texts")[0], 1, 200)).when(F.size("first") >= 2, listed(F.transform(in_order, lambda x: x["s"])))
+    return rows.select("conv_id", out.when(F.size(heads) > 0, listed(heads)).otherwise(F.concat(F.lit("Conversation with "), F.col("n").cast("string"), F.lit(" exchanges."))).alias("summary"))

@@ -63,3 +63,11 @@ def entities_merged(base: DataFrame, new: DataFrame) -> DataFrame:
     old, add = F.coalesce("properties", no_map), F.coalesce("_properties", no_map)
     kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(F.coalesce("_properties", no_map), k))
     return j.select("id", F.coalesce("type", "_type").alias("type"), F.array_union(F.coalesce("aliases", none), F.coalesce("_aliases", none)).alias("aliases"), F.map_concat(kept, add).alias("properties"))
+
+
+def edited(triples: DataFrame, identity: Column, replaced: dict[str, Column], patch: Column, patched: dict[str, Column]) -> DataFrame:
+    """Where ``identity`` holds the fact goes and one with the ``replaced`` values and status
+    edited stands in; where ``patch`` holds the ``patched`` values are set."""
+    kept = triples.where(~identity).withColumns({k: F.when(patch, v).otherwise(F.col(k)) for k, v in patched.items()})
+    new = triples.where(identity).withColumns({**replaced, "status": F.lit("edited")})
+    return kept.unionByName(new)

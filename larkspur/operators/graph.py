@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,24 @@ def neighbours(edges_: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         frontier = step.join(reached, "name", "left_anti")
         reached = reached.unionByName(frontier.select("name", F.lit(d).alias("depth")))
     return reached.where("depth > 0")
+
+
+def found_neighbours(edges_: DataFrame, nodes_: DataFrame, start: str, depth: int) -> DataFrame:
+    """(start, name, depth, n, place, found): what is reached from one name, most frequent
+    first; one row that is not found where the graph does not hold the name."""
+    spark = edges_.sparkSession
+    one = spark.createDataFrame([(start,)], "name string")
+    reached = neighbours(edges_, one, depth).join(nodes_.select("name", "n"), "name")
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "name")).cast("long")
+    rows = reached.select(F.lit(start).alias("start"), "name", F.col("depth").cast("int").alias("depth"), "n", place.alias("place"), F.lit(True).alias("found"))
+    absent = one.join(nodes_.select("name"), "name", "left_anti")
+    blank = absent.select(F.col("name").alias("start"), *[F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("depth", "int"), ("n", "bigint"), ("place", "bigint"))], F.lit(False).alias("found"))
+    return rows.unionByName(blank)
+
+
+def near_memories(memories: DataFrame, terms: list[str]) -> DataFrame:
+    """Ids of memories that hold a direct neighbour of one of the terms."""
+    pairs = edges(memories)
+    both = pairs.select(F.col("a").alias("term"), F.col("b").alias("name")).unionByName(pairs.select(F.col("b").alias("term"), F.col("a").alias("name")))
+    names = both.where(F.col("term").isin(terms)).select("name").distinct()
+    return items(memories).join(names, "name", "left_semi").select("id").distinct()

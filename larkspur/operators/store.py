@@ -91,3 +91,11 @@ def facet(df: DataFrame, column: str) -> DataFrame:
 
 def topic_facet(df: DataFrame, topics: Column) -> DataFrame:
     return df.select(F.explode(topics).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+def imported(items: DataFrame, types: list[str], known: Column) -> DataFrame:
+    """(id, content_type, platform) of items (id, text, kind, place): a type that is not in
+    ``types`` becomes a fact, a place not ``known`` is unknown, an item without text an error."""
+    good = F.coalesce(F.trim("text") != "", F.lit(False))
+    kind = F.when(~good, "error").when(F.col("kind").isin(types), F.col("kind")).otherwise("fact")
+    return items.select("id", kind.alias("content_type"), F.when(known, F.col("place")).otherwise("unknown").alias("platform"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, text
 from larkspur.operators import briefing, dedup, facts, graph, search
+from larkspur.operators.scratch import written
 from larkspur.operators.store import active
 from larkspur.plans.registry import query
 from larkspur.plans.views import MEMORIES, TRIPLES, VECTORS, memories, table, triples, vectors
@@ -76,12 +77,12 @@ def _hybrid(spark, d, with_graph: bool):
     m = active(memories(spark, d))
     semantic = search.vector_top_k(active(vectors(spark, d)), _query_vector(spark, d), 20)
     words = search.keyword(m, ["the"], "all").select("id", F.round("score", 6).alias("score"))
-    near = m.where("id % 97 = 3").select("id") if with_graph else m.where("false").select("id")
+    near = graph.near_memories(_tagged(spark, d), ["llm", "nothing", "rag"]).join(m.select("id"), "id", "left_semi") if with_graph else m.where("false").select("id")
     return search.hybrid(m, semantic, words, near, 10)
 
 
-def _hybrid_sql(graph: str) -> str:
-    return f"""{MV}, {_bm25(['the'], 'all')},
+def _hybrid_sql(graph: str, before: str = MV) -> str:
+    return f"""{before}, {_bm25(['the'], 'all')},
 sem AS (SELECT id, {_COS.format('vector', _Q0)} AS score FROM vectors WHERE status = 'active' ORDER BY score DESC, id LIMIT 20),
 kw AS (SELECT id, round(score, 6) AS score FROM hits ORDER BY 2 DESC, id LIMIT 20),
 legs AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sem UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM kw UNION ALL SELECT id, 1 FROM memories WHERE {graph}),
@@ -95,11 +96,6 @@ def hybrid(spark, d):
     return _hybrid(spark, d, False)
 
 
-@query("r4_hybrid_with_graph", _hybrid_sql("status = 'active' AND id % 97 = 3"))
-def hybrid_with_graph(spark, d):
-    return _hybrid(spark, d, True)
-
-
 @query("r6_decay", M + "SELECT id, round(importance * pow(0.5::DOUBLE, age_days / 90), 6) AS weight, round(importance * pow(0.5::DOUBLE, age_days / 7), 6) AS fast FROM memories")
 def decayed(spark, d):
     return memories(spark, d).select("id", F.round(F.col("importance") * search.decay(F.col("age_days")), 6).alias("weight"), F.round(F.col("importance") * search.decay(F.col("age_days"), 7.0), 6).alias("fast"))
@@ -139,35 +135,56 @@ def similar_pairs(spark, d):
     return _pairs(spark, d).where("a < b").select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query("d2_new_rows", f"{MV}, {_PAIRS}, best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM pairs) SELECT v.id FROM vectors v WHERE id NOT IN (SELECT a FROM best WHERE rank <= 3 AND a % 2 = 1 AND b % 2 = 0) AND v.id % 2 = 1")
+_NEAR = f"near AS (SELECT a.id AS a, b.id AS b, {_COS.format('a.vector', 'b.vector')} AS score, row_number() OVER (PARTITION BY a.id ORDER BY round({_COS.format('a.vector', 'b.vector')}, 12) DESC, b.id) AS rank FROM vectors a JOIN vectors b ON a.id % 2 = 1 AND b.id % 2 = 0)"
+_SET = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
+_OVERLAP = f"CAST(len(list_intersect({_SET.format('x.content')}, {_SET.format('y.content')})) AS DOUBLE) / greatest(1, len(list_distinct(list_concat({_SET.format('x.content')}, {_SET.format('y.content')}))))"
+
+
+def _new_and_store(spark, d):
+    """New vectors are those with odd ids, the store those with even ids."""
+    v = vectors(spark, d)
+    return v.where("id % 2 = 1"), v.where("id % 2 = 0")
+
+
+def _neighbours(spark, d, k: int):
+    """(a, b, score, rank) and the memory rows of both, as x_ and y_ columns."""
+    m = memories(spark, d).select("id", "content", "platform", "status")
+    x = m.select(*[F.col(c).alias(f"x_{c}") for c in m.columns])
+    y = m.select(*[F.col(c).alias(f"y_{c}") for c in m.columns])
+    near = dedup.nearest_k(*_new_and_store(spark, d), k)
+    return near.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id"))
+
+
+@query("d2_new_rows", f"{MV}, {_NEAR} SELECT v.id FROM vectors v WHERE v.id % 2 = 1 AND v.id NOT IN (SELECT a FROM near JOIN memories x ON a = x.id JOIN memories y ON b = y.id WHERE rank <= 3 AND score > 0.3 AND {_OVERLAP} > 0.02)")
 def new_rows(spark, d):
-    """New vectors (odd ids) without a near one in the store (even ids)."""
-    v = vectors(spark, d).select("id", "vector")
-    new = v.where("id % 2 = 1")
-    near = dedup.similar_pairs(new, v.where("id % 2 = 0"), THRESHOLD)
-    return new.select("id").join(near.select(F.col("a").alias("id")), "id", "left_anti")
+    """New rows without a like one among their three nearest in the store."""
+    return dedup.without_near(_new_and_store(spark, d)[0].select("id"), _neighbours(spark, d, 3), text.overlap(F.col("x_content"), F.col("y_content")), 0.3, 0.02)
 
 
-@query("d3_watcher_reasons", f"WITH {VECTORS}, {_PAIRS}, near AS (SELECT a, max(score) AS score FROM pairs JOIN vectors x ON a = x.id JOIN vectors y ON b = y.id WHERE x.platform = y.platform GROUP BY a) SELECT id, CASE WHEN score IS NULL THEN 'no_match' WHEN score >= 0.45 THEN 'near_duplicate' ELSE 'below_threshold' END AS reason FROM vectors LEFT JOIN near ON id = a")
+@query("d3_watcher_reasons", f"""WITH {VECTORS}, s AS (SELECT id, vector, platform, id // 100 AS session FROM vectors), t AS (SELECT a.id, b.id AS b, a.session <> b.session AS other, {_COS.format('a.vector', 'b.vector')} AS score, row_number() OVER (PARTITION BY a.id ORDER BY round({_COS.format('a.vector', 'b.vector')}, 12) DESC, b.id) AS rank FROM s a JOIN s b ON a.id % 40 >= 20 AND b.id % 40 < 20 AND a.platform = b.platform WHERE a.id % 31 <> 0 AND a.id % 37 <> 0)
+SELECT s.id, CASE WHEN s.id % 31 = 0 THEN 'embed_failed' WHEN s.id % 37 = 0 THEN 'search_failed' WHEN b IS NULL THEN 'no_match' WHEN other THEN 'different_session' WHEN score >= 0.1 THEN 'near_duplicate' ELSE 'below_threshold' END AS reason, round(coalesce(score, 0), 6) AS score, CASE WHEN NOT other AND score >= 0.1 THEN b END AS matched FROM s LEFT JOIN (SELECT * FROM t WHERE rank = 1) n ON s.id = n.id WHERE s.id % 40 >= 20""")
 def watcher_reasons(spark, d):
-    v = vectors(spark, d)
-    p = v.select("id", "platform")
-    same = _pairs(spark, d).join(p.withColumnRenamed("platform", "_x"), F.col("a") == F.col("id")).drop("id").join(p, F.col("b") == F.col("id")).where("_x = platform").groupBy("a").agg(F.max("score").alias("score"))
-    reason = F.when(F.col("score").isNull(), "no_match").when(F.col("score") >= 0.45, "near_duplicate").otherwise("below_threshold")
-    return p.join(same, F.col("id") == F.col("a"), "left").select("id", reason.alias("reason"))
+    """Rows without a vector, and with one of another length, are among the new ones."""
+    rows = vectors(spark, d).select("id", "vector", "platform", F.floor(F.col("id") / 100).alias("session"))
+    broken = F.when(F.col("id") % 31 == 0, F.lit(None)).when(F.col("id") % 37 == 0, F.slice("vector", 1, 8)).otherwise(F.col("vector"))
+    return dedup.watcher_decisions(rows.where("id % 40 >= 20").withColumn("vector", broken), rows.where("id % 40 < 20"), 0.1, 64)
 
 
-@query("d4_corroboration", f"WITH {VECTORS}, {_PAIRS}, c AS (SELECT a, count(*) AS n, string_agg(DISTINCT y.platform, ',' ORDER BY y.platform) AS by FROM pairs JOIN vectors x ON a = x.id JOIN vectors y ON b = y.id WHERE x.platform <> y.platform GROUP BY a) SELECT id, round(least(1, confidence + 0.1::DOUBLE * n), 6) AS confidence, c.by AS corroborated_by FROM vectors JOIN c ON id = a")
+@query("d4_corroboration", f"WITH {VECTORS}, {_NEAR}, c AS (SELECT b, string_agg(DISTINCT x.platform, ',' ORDER BY x.platform) AS by FROM near JOIN vectors x ON a = x.id JOIN vectors y ON b = y.id WHERE rank <= 5 AND score >= 0.3 AND x.platform <> y.platform GROUP BY b) SELECT id, round(CASE WHEN c.by IS NULL THEN confidence ELSE least(1, confidence + 0.1::DOUBLE) END, 6) AS confidence, coalesce(c.by, '') AS corroborated_by FROM vectors LEFT JOIN c ON id = b WHERE id % 2 = 0")
 def corroboration(spark, d):
-    v = vectors(spark, d).select("id", "platform", "confidence")
-    other = v.select(F.col("id").alias("b"), F.col("platform").alias("other"))
-    j = _pairs(spark, d).join(v, F.col("a") == F.col("id")).join(other, "b").where("platform <> other")
-    g = j.groupBy("id", "confidence").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("other")), ",").alias("corroborated_by"))
-    return g.select("id", F.round(F.least(F.lit(1.0), F.col("confidence") + 0.1 * F.col("n")), 6).alias("confidence"), "corroborated_by")
+    """Rows of the store near one of the five nearest of a new row of another platform."""
+    new, store_ = _new_and_store(spark, d)
+    own = store_.select(F.col("id").alias("b"), F.col("platform").alias("_own"))
+    near = dedup.nearest_k(new, store_, 5).where("score >= 0.3").join(new.select(F.col("id").alias("a"), "platform"), "a").join(own, "b").where("platform <> _own")
+    grown = dedup.corroborated(store_.select("id", "confidence"), near)
+    return grown.select("id", F.round("confidence", 6).alias("confidence"), F.array_join("corroborated_by", ",").alias("corroborated_by"))
 
 
-_SET = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
-_OVERLAP = f"CAST(len(list_intersect({_SET.format('x.content')}, {_SET.format('y.content')})) AS DOUBLE) / greatest(1, len(list_distinct(list_concat({_SET.format('x.content')}, {_SET.format('y.content')}))))"
+@query("d5_contradictions", f"{MV}, {_NEAR}, c AS (SELECT b, min(a) AS a FROM near JOIN memories x ON a = x.id JOIN memories y ON b = y.id WHERE rank <= 5 AND score >= 0.3 AND y.status = 'active' AND {_OVERLAP} < 0.3 GROUP BY b) SELECT m.id, CASE WHEN c.b IS NOT NULL THEN 'superseded' ELSE m.status END AS status, coalesce(s.l, '') AS supersedes FROM memories m LEFT JOIN c ON m.id = c.b LEFT JOIN (SELECT a, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS l FROM c GROUP BY a) s ON m.id = s.a")
+def contradictions(spark, d):
+    found = _neighbours(spark, d, 5).where("score >= 0.3 AND y_status = 'active'").where(text.overlap(F.col("x_content"), F.col("y_content")) < 0.3)
+    out = dedup.superseding(memories(spark, d).select("id", "status"), found.select("a", "b"))
+    return out.select("id", "status", F.array_join(F.transform("supersedes", lambda x: x.cast("string")), ",").alias("supersedes"))
 
 
 def _contradictions(spark, d):
@@ -178,11 +195,6 @@ def _contradictions(spark, d):
     return near.where(text.overlap(F.col("x_content"), F.col("y_content")) < 0.3)
 
 
-@query("d5_contradictions", f"{MV}, {_PAIRS} SELECT b AS superseded, count(*) AS by_n, min(a) AS by_first FROM pairs JOIN memories x ON a = x.id JOIN memories y ON b = y.id WHERE y.status = 'active' AND {_OVERLAP} < 0.3 GROUP BY b")
-def contradictions(spark, d):
-    return _contradictions(spark, d).where("y_status = 'active'").groupBy(F.col("b").alias("superseded")).agg(F.count("*").alias("by_n"), F.min("a").alias("by_first"))
-
-
 @query("d6_importance", M + "SELECT id, round(least(exp(-floor(age_days) / 90) * (1 + 0.1::DOUBLE * ln(1 + access_count)), 1), 4) AS importance, abs(round(least(exp(-floor(age_days) / 90) * (1 + 0.1::DOUBLE * ln(1 + access_count)), 1), 4) - importance) > 0.001 AS changed FROM memories")
 def importance(spark, d):
     new = dedup.recomputed_importance(F.col("age_days"), F.col("access_count"), 90.0)
@@ -192,7 +204,8 @@ def importance(spark, d):
 @query("d7_greedy_merges")
 def greedy_merges(spark, d):
     rows = vectors(spark, d).select("id", "platform", "confidence", F.col("id").alias("created_minute"))
-    return dedup.greedy_merges(_pairs(spark, d), rows)
+    near = dedup.nearest_k(vectors(spark, d), vectors(spark, d), 5).where(F.col("score") >= THRESHOLD)
+    return dedup.greedy_merges(near.select("a", "b", "score"), rows)
 
 
 @query("d8_cross_platform_flags", f"{MV}, {_PAIRS} SELECT a, b FROM pairs JOIN memories x ON a = x.id JOIN memories y ON b = y.id WHERE a < b AND x.platform <> y.platform AND {_OVERLAP} < 0.3")
@@ -200,11 +213,13 @@ def cross_platform_flags(spark, d):
     return _contradictions(spark, d).where("a < b AND x_platform <> y_platform").select("a", "b")
 
 
-@query("d9_report", f"{MV}, {_PAIRS} SELECT (SELECT count(*) FROM memories) AS examined, (SELECT count(*) FROM pairs WHERE a < b) AS pairs, (SELECT count(*) FROM memories WHERE abs(round(least(exp(-floor(age_days) / 90) * (1 + 0.1::DOUBLE * ln(1 + access_count)), 1), 4) - importance) > 0.001) AS updated")
+@query("d9_report")
 def report(spark, d):
-    examined = memories(spark, d).agg(F.count("*").alias("examined"))
-    pairs = _pairs(spark, d).where("a < b").agg(F.count("*").alias("pairs"))
-    return examined.join(pairs).join(importance(spark, d).agg(F.count_if("changed").alias("updated")))
+    """One row: merged, flagged, updated, errors.  Merging is greedy and has no SQL form."""
+    merged = greedy_merges(spark, d).agg(F.count("*").alias("merged"))
+    flagged = cross_platform_flags(spark, d).agg(F.count("*").alias("flagged"))
+    updated = importance(spark, d).agg(F.count_if("changed").alias("updated"), F.count_if(F.col("importance").isNull()).alias("errors"))
+    return merged.join(flagged).join(updated)
 
 
 @query("a10_centroid", "SELECT i, round(avg(x), 6) AS x FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label = 1) GROUP BY i")
@@ -221,33 +236,40 @@ _EDGES = f"{_ITEMS}, edges AS (SELECT p.name AS a, q.name AS b, count(*) AS weig
 
 
 def _tagged(spark, d):
+    """Topics and entities of every memory, kept in the shared folder, as graph queries read them more than once."""
+    return written(_tags(spark, d), "tags")
+
+
+def _tags(spark, d):
     return memories(spark, d).select("id", "created_minute", text.topics(F.col("content")).alias("topics"), F.array("platform").alias("entities"))
 
 
 @query("g1_nodes", f"WITH {_ITEMS} SELECT name, count(*) AS n, arg_min(type, created_minute) AS type, min(created_minute) AS first_seen, max(created_minute) AS last_seen FROM items GROUP BY name")
 def nodes(spark, d):
-    return graph.nodes(graph.items(_tagged(spark, d)))
+    return graph.nodes(graph.items(_tags(spark, d)))
 
 
 @query("g2_edges", f"WITH {_EDGES} SELECT * FROM edges")
 def edges(spark, d):
-    return graph.edges(_tagged(spark, d))
+    return graph.edges(_tags(spark, d))
 
 
 @query("g3_memories_of_node", f"WITH {_ITEMS} SELECT DISTINCT id FROM items WHERE name = 'llm'")
 def memories_of_node(spark, d):
-    return graph.items(_tagged(spark, d)).where("name = 'llm'").select("id").distinct()
+    return graph.items(_tags(spark, d)).where("name = 'llm'").select("id").distinct()
 
 
-@query("g4_neighbours", f"WITH RECURSIVE {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), walk AS (SELECT 'llm' AS name, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN both_ways ON name = a WHERE depth < 2) SELECT name, min(depth) AS depth FROM walk GROUP BY name HAVING min(depth) > 0")
+@query("g4_neighbours", f"WITH RECURSIVE {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), walk AS (SELECT 'llm' AS name, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN both_ways ON name = a WHERE depth < 2), r AS (SELECT name, min(depth) AS depth FROM walk GROUP BY name HAVING min(depth) > 0), c AS (SELECT name, count(*) AS n FROM items GROUP BY name) SELECT 'llm' AS start, r.name, depth, n, row_number() OVER (ORDER BY n DESC, r.name) AS place, true AS found FROM r JOIN c ON r.name = c.name UNION ALL SELECT 'no such name', NULL, NULL, NULL, NULL, false")
 def neighbours(spark, d):
-    start = spark.createDataFrame([("llm",)], "name string")
-    return graph.neighbours(graph.edges(_tagged(spark, d)), start, 2)
+    tagged = _tagged(spark, d)
+    every = graph.nodes(graph.items(tagged))
+    edges_ = written(graph.edges(tagged), "edges")
+    return graph.found_neighbours(edges_, every, "llm", 2).unionByName(graph.found_neighbours(edges_, every, "no such name", 2))
 
 
 @query("g5_heavy_edges", f"WITH {_EDGES} SELECT a, b, weight FROM edges WHERE weight >= 3")
 def heavy_edges(spark, d):
-    return graph.edges(_tagged(spark, d)).where("weight >= 3")
+    return graph.edges(_tags(spark, d)).where("weight >= 3")
 
 
 @query("g6_graph_size", f"WITH {_EDGES} SELECT (SELECT count(DISTINCT name) FROM items) AS nodes, (SELECT count(*) FROM edges) AS edges")
@@ -258,12 +280,12 @@ def graph_size(spark, d):
 
 @query("r5_graph_leg", f"WITH {_EDGES}, terms AS (SELECT DISTINCT unnest(['llm', 'nothing', 'rag']) AS name), near AS (SELECT b AS name FROM terms JOIN edges ON name = a UNION SELECT a FROM terms JOIN edges ON name = b) SELECT DISTINCT id FROM items WHERE name IN (SELECT name FROM near)")
 def graph_leg(spark, d):
-    t = _tagged(spark, d)
-    terms = spark.createDataFrame([("llm nothing rag",)], "q string").select(F.explode(F.split(F.lower("q"), r"\s+")).alias("name"))
-    near = graph.neighbours(graph.edges(t), terms, 1).select("name").unionByName(terms.limit(0))
-    both = graph.edges(t)
-    touched = terms.join(both, (F.col("name") == F.col("a")) | (F.col("name") == F.col("b"))).select(F.when(F.col("name") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("name"))
-    return graph.items(t).join(near.unionByName(touched).distinct(), "name", "left_semi").select("id").distinct()
+    return graph.near_memories(_tagged(spark, d), ["llm", "nothing", "rag"])
+
+
+@query("r4_hybrid_with_graph", _hybrid_sql("status = 'active' AND id IN (SELECT id FROM items WHERE name IN (SELECT name FROM near_names))", f"WITH {_EDGES}, {VECTORS}, terms AS (SELECT DISTINCT unnest(['llm', 'nothing', 'rag']) AS name), near_names AS (SELECT b AS name FROM terms JOIN edges ON name = a UNION SELECT a FROM terms JOIN edges ON name = b)"))
+def hybrid_with_graph(spark, d):
+    return _hybrid(spark, d, True)
 
 
 # Facts --------------------------------------------------------------------------------
@@ -319,11 +341,12 @@ def decide(spark, d):
     return facts.decided(triples(spark, d), p & (k % 2 == 0), p & (k % 3 == 0)).select("triple", "status", "confidence")
 
 
-@query("g15_edit", T + "SELECT count(*) AS n, count(*) FILTER (WHERE status = 'edited') AS edited FROM (SELECT triple, CASE WHEN triple % 9 = 0 THEN 'edited' ELSE status END AS status FROM triples)")
+@query("g15_edit", T + "SELECT CASE WHEN triple % 9 = 0 THEN triple + 1000000000000 ELSE triple END AS triple, CASE WHEN triple % 9 = 0 THEN 'changed' ELSE object END AS object, CASE WHEN triple % 9 = 0 THEN 'edited' ELSE status END AS status, CASE WHEN triple % 9 <> 0 AND triple % 10 = 0 THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM triples")
 def edit(spark, d):
-    t = triples(spark, d)
-    changed = t.where("triple % 9 = 0").withColumns({"triple": F.col("triple") + 10**12, "status": F.lit("edited"), "object": F.lit("changed")})
-    return t.join(t.where("triple % 9 = 0").select("triple"), "triple", "left_anti").unionByName(changed).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "edited").alias("edited"))
+    """A changed identity replaces the fact by an edited one; other changes are patched in."""
+    identity, patch = F.col("triple") % 9 == 0, (F.col("triple") % 9 != 0) & (F.col("triple") % 10 == 0)
+    edited_ = facts.edited(triples(spark, d), identity, {"triple": F.col("triple") + 10**12, "object": F.lit("changed")}, patch, {"confidence": F.lit(0.5)})
+    return edited_.select("triple", "object", "status", "confidence")
 
 
 @query("g16_search", T + f"SELECT triple FROM triples WHERE predicate = '1-URGENT' AND status = 'accepted' AND {_VALID.format('DATE ' + chr(39) + '1996-01-01' + chr(39))} ORDER BY created DESC, triple LIMIT 50 OFFSET 10")
@@ -337,7 +360,7 @@ def fact_stats(spark, d):
     return triples(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("predicate").alias("predicates"), F.countDistinct("subject").alias("subjects"))
 
 
-@query("g17_extracted_facts")
+@query("g17_extracted_facts", M + ", f AS (SELECT id, unnest(regexp_extract_all('Project' || platform || ' uses Spark. ' || content, '([A-Za-z0-9_]+ uses [A-Za-z0-9_]+)', 1)[1:8]) AS f FROM memories), p AS (SELECT id, lower(split_part(f, ' uses ', 1)) AS subject, lower(split_part(f, ' uses ', 2)) AS object FROM f) SELECT id, substr(sha256(subject || '|uses|' || object || '|'), 1, 32) AS triple, subject, object, CAST(0.7 AS DOUBLE) AS confidence FROM p")
 def extracted_facts(spark, d):
     """``X uses Y`` sentences as proposed facts, at most eight a text."""
     c = F.concat(F.lit("Project"), F.col("platform"), F.lit(" uses Spark. "), F.col("content"))
@@ -419,21 +442,20 @@ def skill_tags(spark, d):
 
 
 def _ranked_lists(spark, d):
-    """For 20 query vectors: the ten nearest others, and which have the same label."""
+    """For every query vector, id divisible by 20: the ten nearest others, and which have the same label."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    q = e.where("id < 20").select(F.col("id").alias("q"), F.col("vector").alias("qv"), F.col("label").alias("ql"))
-    pairs = dedup.similar_pairs(q.select(F.col("q").alias("id"), F.col("qv").alias("vector")), e.select("id", "vector"), -1.0)
-    top = dedup.best(pairs, 10).join(e.select(F.col("id").alias("b"), "label"), "b").join(q.select(F.col("q").alias("a"), "ql"), "a")
+    q = e.where("id % 20 = 0")
+    top = dedup.nearest_k(q, e, 10).join(e.select(F.col("id").alias("b"), "label"), "b").join(q.select(F.col("id").alias("a"), F.col("label").alias("ql")), "a")
     found = top.groupBy(F.col("a").alias("query")).agg(F.array_sort(F.collect_list(F.struct("rank", "b"))).alias("f"), F.collect_set(F.when(F.col("label") == F.col("ql"), F.col("b"))).alias("gold"))
     return found.select("query", F.transform("f", lambda x: x["b"]).alias("found"), "gold")
 
 
-@query("v1_retrieval_metrics", f"WITH r AS (SELECT a.vec_id AS query, b.label = a.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS.format('CAST(a.embedding AS DOUBLE[])', 'CAST(b.embedding AS DOUBLE[])')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20) SELECT query, CASE WHEN bool_or(good AND rank <= 5) THEN 1.0::DOUBLE ELSE 0 END AS recall, round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE good), 0), 6) AS mrr, round(CAST(count(*) FILTER (WHERE good AND rank <= 5) AS DOUBLE) / 5, 6) AS precision FROM r WHERE rank <= 10 GROUP BY query")
+@query("v1_retrieval_metrics", f"WITH r AS (SELECT a.vec_id AS query, b.label = a.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS.format('CAST(a.embedding AS DOUBLE[])', 'CAST(b.embedding AS DOUBLE[])')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query, CASE WHEN bool_or(good AND rank <= 5) THEN 1.0::DOUBLE ELSE 0 END AS recall, round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE good), 0), 6) AS mrr, round(CAST(count(*) FILTER (WHERE good AND rank <= 5) AS DOUBLE) / 5, 6) AS precision FROM r WHERE rank <= 10 GROUP BY query")
 def retrieval_metrics(spark, d):
     recall, mrr, precision = briefing.metrics(F.col("found"), F.col("gold"), 5)
     return _ranked_lists(spark, d).select("query", recall.alias("recall"), F.round(mrr, 6).alias("mrr"), F.round(precision, 6).alias("precision"))
 
 
-@query("v2_evaluation", f"WITH r AS (SELECT a.vec_id AS query, b.label = a.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS.format('CAST(a.embedding AS DOUBLE[])', 'CAST(b.embedding AS DOUBLE[])')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20), s AS (SELECT query, CASE WHEN bool_or(good AND rank <= 5) THEN 1.0::DOUBLE ELSE 0 END AS recall FROM r WHERE rank <= 10 GROUP BY query) SELECT count(*) AS queries, round(avg(recall), 6) AS recall FROM s")
+@query("v2_evaluation", f"WITH r AS (SELECT a.vec_id AS query, b.label = a.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS.format('CAST(a.embedding AS DOUBLE[])', 'CAST(b.embedding AS DOUBLE[])')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), s AS (SELECT query, CASE WHEN bool_or(good AND rank <= 5) THEN 1.0::DOUBLE ELSE 0 END AS recall FROM r WHERE rank <= 10 GROUP BY query) SELECT count(*) AS queries, round(avg(recall), 6) AS recall FROM s")
 def evaluation(spark, d):
     return retrieval_metrics(spark, d).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))

@@ -93,10 +93,11 @@ def topic_filter(spark, d):
     return rows.where(F.exists("topics", lambda t: F.lower(t) == "ai")).select("id")
 
 
-@query("f16_watcher_log", "SELECT user_id AS tool, CAST(sum(CAST(regexp_extract(message, '([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS captured FROM (SELECT user_id, CASE WHEN event_id % 4 = 0 THEN 'skipped ' ELSE 'ingested ' END || CAST(event_id % 90 AS VARCHAR) AS message FROM events) WHERE message LIKE 'ingested %' GROUP BY user_id")
+@query("f16_watcher_log", "SELECT user_id AS tool, CAST(sum(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS captured FROM events WHERE event_type LIKE 'c%' GROUP BY user_id")
 def watcher_log(spark, d):
-    log = table(spark, d, "events").select("user_id", F.concat(F.when(F.col("event_id") % 4 == 0, "skipped ").otherwise("ingested "), (F.col("event_id") % 90).cast("string")).alias("message"))
-    return log.where(F.col("message").like("ingested %")).groupBy(F.col("user_id").alias("tool")).agg(F.sum(F.regexp_extract("message", "([0-9]+)", 1).cast("long")).alias("captured"))
+    """The numbers in the messages of one kind, summed for each tool."""
+    log = table(spark, d, "events").where(F.col("event_type").like("c%"))
+    return log.groupBy(F.col("user_id").alias("tool")).agg(F.sum(F.regexp_extract("props", "([0-9]+)", 1).cast("long")).alias("captured"))
 
 
 def _preview_sql(size: int, least: int) -> str:
@@ -151,17 +152,42 @@ def collection_sizes(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("collection")).join(sizes, "collection", "left").select("collection", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@query("a6_overview", M + "SELECT count(*) AS total, count(DISTINCT platform) AS sources, count(*) FILTER (WHERE is_pinned) AS pinned, (SELECT count(*) FROM nation) AS collections FROM memories WHERE status = 'active'")
+@query("a6_overview", M + f""", {MEMBERS}, a AS (SELECT * FROM memories WHERE status = 'active'), t AS (SELECT unnest({_TOPICS_SQL}) AS topic FROM a)
+SELECT 'total' AS part, '' AS name, (SELECT count(*) FROM a) AS n UNION ALL SELECT 'pinned', '', (SELECT count(*) FROM a WHERE is_pinned)
+UNION ALL SELECT 'source', platform, count(*) FROM a GROUP BY platform
+UNION ALL SELECT 'collection', n_name, (SELECT count(*) FROM members WHERE collection = n_nationkey) FROM nation
+UNION ALL SELECT 'watcher', event_type, count(*) FROM events GROUP BY event_type
+UNION ALL (SELECT 'topic', topic, count(*) AS n FROM t GROUP BY topic ORDER BY n DESC, topic LIMIT 10)""")
 def overview(spark, d):
-    main = active(memories(spark, d)).agg(F.count("*").alias("total"), F.countDistinct("platform").alias("sources"), F.count_if("is_pinned").alias("pinned"))
-    return main.join(table(spark, d, "nation").agg(F.count("*").alias("collections")))
+    """Totals, sources, collection sizes, top topics and watchers, as (part, name, n)."""
+    rows = active(memories(spark, d))
+    part = lambda df, name, column: df.select(F.lit(name).alias("part"), F.col(column).alias("name"), "n")
+    totals = rows.agg(F.count("*").alias("total"), F.count_if("is_pinned").alias("pinned"))
+    totals = totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.lit("").alias("name"), F.col(c).alias("n")) for c in ("total", "pinned")])).alias("x")).select("x.*")
+    sources = rows.groupBy("platform").agg(F.count("*").alias("n"))
+    sizes = members(spark, d).groupBy("collection").agg(F.count("*").alias("n"))
+    collections_ = table(spark, d, "nation").join(sizes, F.col("n_nationkey") == F.col("collection"), "left").select("n_name", F.coalesce("n", F.lit(0)).alias("n"))
+    topics_ = store.topic_facet(rows, text.topics(F.col("content"))).orderBy(F.desc("n"), "topic").limit(10)
+    watchers = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return totals.union(part(sources, "source", "platform")).union(part(collections_, "collection", "n_name")).union(part(topics_, "topic", "topic")).union(part(watchers, "watcher", "event_type"))
+
 
+_RECENT = "w AS (SELECT * FROM memories WHERE status = 'active' AND created_minute > (SELECT max(created_minute) FROM memories) - 48 * 60)"
 
-@query("a7_window_briefing", M + "SELECT platform, count(*) AS n, max(created_minute) AS latest FROM memories WHERE status = 'active' AND created_minute > (SELECT max(created_minute) FROM memories) - 48 * 60 GROUP BY platform")
+
+@query("a7_window_briefing", M + f""", {_RECENT}, t AS (SELECT unnest({_TOPICS_SQL}) AS topic FROM w)
+SELECT 'total' AS part, '' AS name, (SELECT count(*) FROM w) AS n UNION ALL SELECT 'platform', platform, count(*) FROM w GROUP BY platform
+UNION ALL (SELECT 'topic', topic, count(*) AS n FROM t GROUP BY topic ORDER BY n DESC, topic LIMIT 10)
+UNION ALL (SELECT 'latest', CAST(id AS VARCHAR), created_minute FROM w ORDER BY created_minute DESC, id LIMIT 10)""")
 def window_briefing(spark, d):
-    rows = active(memories(spark, d))
+    """The last 48 hours: total, counts by platform, top ten topics, ten latest rows."""
     last = memories(spark, d).agg((F.max("created_minute") - 48 * 60).alias("_from"))
-    return rows.join(F.broadcast(last), F.col("created_minute") > F.col("_from")).groupBy("platform").agg(F.count("*").alias("n"), F.max("created_minute").alias("latest"))
+    rows = active(memories(spark, d)).join(F.broadcast(last), F.col("created_minute") > F.col("_from")).drop("_from")
+    part = lambda df, name, column, n="n": df.select(F.lit(name).alias("part"), F.col(column).cast("string").alias("name"), F.col(n).alias("n"))
+    total = rows.agg(F.count("*").alias("n")).select(F.lit("total").alias("part"), F.lit("").alias("name"), "n")
+    platforms = rows.groupBy("platform").agg(F.count("*").alias("n"))
+    topics_ = store.topic_facet(rows, text.topics(F.col("content"))).orderBy(F.desc("n"), "topic").limit(10)
+    return total.union(part(platforms, "platform", "platform")).union(part(topics_, "topic", "topic")).union(part(newest(rows, 10), "latest", "id", "created_minute"))
 
 
 @query("a9_watcher_totals", "SELECT event_type AS tool, CAST(sum(event_id % 90) AS BIGINT) AS captured, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_captured, count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '2024-01-31') AS today FROM events GROUP BY event_type")
@@ -226,10 +252,14 @@ def batch_status(spark, d):
     return store.patched(rows, F.coalesce("_hit", F.lit(False)), status=F.lit("archived")).select("id", "status", (F.col("is_pinned") | (F.col("id") % 10 == 1)).alias("is_pinned"))
 
 
-@query("m2_soft_delete", M + "SELECT status, count(*) AS n FROM (SELECT CASE WHEN id % 13 = 0 THEN 'archived' ELSE status END AS status FROM memories) GROUP BY status")
+@query("m2_soft_delete", M + "SELECT id, CASE WHEN id % 13 = 0 THEN 'archived' ELSE status END AS status, id % 13 <> 0 AND vec_id IS NOT NULL AS has_vector FROM memories LEFT JOIN embeddings ON id = vec_id")
 def soft_delete(spark, d):
-    rows = store.patched(memories(spark, d).select("id", "status"), F.col("id") % 13 == 0, status=F.lit("archived"))
-    return rows.groupBy("status").agg(F.count("*").alias("n"))
+    """Rows deleted are archived, and their vectors go."""
+    m = memories(spark, d).select("id", "status")
+    gone = m.where("id % 13 = 0").select("id")
+    rows = store.patched(m, F.col("id") % 13 == 0, status=F.lit("archived"))
+    left = store.delete(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), gone)
+    return rows.join(left.withColumn("_v", F.lit(True)), "id", "left").select("id", "status", F.coalesce("_v", F.lit(False)).alias("has_vector"))
 
 
 @query("m3_coalesced_update", "SELECT p_partkey AS skill, coalesce(CASE WHEN p_size > 25 THEN 'renamed ' || p_name END, p_name) AS name FROM part")
@@ -243,11 +273,15 @@ def access_log(spark, d):
     return store.access_counts(memories(spark, d).select("id", "access_count"), log)
 
 
-@query("s18_import", f"SELECT CASE WHEN kind IN ({', '.join(repr(t) for t in fixed.CONTENT_TYPES)}) THEN kind ELSE 'fact' END AS content_type, count(*) AS imported FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'nonsense' ELSE 'decision' END AS kind, text FROM documents) WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY 1")
+@query("s18_import", f"""WITH i AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 4 = 0 THEN 'nonsense' ELSE 'decision' END AS kind, CASE WHEN doc_id % 5 = 0 THEN 'elsewhere' ELSE source END AS place FROM documents),
+ok AS (SELECT *, text IS NOT NULL AND trim(text) <> '' AS good FROM i)
+SELECT id, CASE WHEN NOT good THEN 'error' WHEN kind IN ({', '.join(repr(t) for t in fixed.CONTENT_TYPES)}) THEN kind ELSE 'fact' END AS content_type, CASE WHEN place LIKE 'src%' THEN place ELSE 'unknown' END AS platform, count(*) FILTER (WHERE good) OVER () AS imported, count(*) FILTER (WHERE NOT good) OVER () AS errors, count(*) OVER () AS total FROM ok""")
 def import_rows(spark, d):
-    kind = F.when(F.col("doc_id") % 4 == 0, "nonsense").otherwise("decision")
-    rows = table(spark, d, "documents").where(F.col("text").isNotNull() & (F.trim("text") != ""))
-    return rows.groupBy(F.when(kind.isin(fixed.CONTENT_TYPES), kind).otherwise("fact").alias("content_type")).agg(F.count("*").alias("imported"))
+    """Items with unknown types and platforms set to their defaults, blank ones as errors, and the counts."""
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 4 == 0, "nonsense").otherwise("decision").alias("kind"), F.when(F.col("doc_id") % 5 == 0, "elsewhere").otherwise(F.col("source")).alias("place"))
+    rows = store.imported(items, fixed.CONTENT_TYPES, F.col("place").like("src%"))
+    counts = rows.agg(F.count_if(F.col("content_type") != "error").alias("imported"), F.count_if(F.col("content_type") == "error").alias("errors"), F.count("*").alias("total"))
+    return rows.join(F.broadcast(counts))
 
 
 @query("x_sales_by_segment", "SELECT c_mktsegment AS segment, count(DISTINCT o_orderkey) AS orders, round(sum(CAST(l_extendedprice * (1 - l_discount) AS DOUBLE)), 0) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY c_mktsegment")

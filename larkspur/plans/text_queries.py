@@ -55,10 +55,24 @@ def scrub(spark, d):
     return rows.select("id", F.sha2("s", 256).alias("scrubbed"), (F.col("s") != F.col("t")).alias("changed"))
 
 
-@query("t1_scrub_report")
+def _scrub_steps() -> str:
+    """SQL expressions of the redactions and of the names that fired, pattern by pattern."""
+    counts, names, t = [], [], "t"
+    for name, pattern, replacement in fixed.CREDENTIALS:
+        if name == "aws_secret":
+            pattern, replacement = r"(['\"])[A-Za-z0-9/+=]{40}(['\"])", r"\1[REDACTED:aws_secret]\2"
+        if name == "hex_secret":
+            pattern, replacement = r"(^|[^0-9a-f])[0-9a-f]{64,}($|[^0-9a-f])", r"\1[REDACTED:hex_secret]\2"
+        counts.append(f"len(regexp_extract_all({t}, {_quoted(pattern)}))")
+        names.append(f"CASE WHEN len(regexp_extract_all({t}, {_quoted(pattern)})) > 0 THEN {_quoted(name)} END")
+        t = f"regexp_replace({t}, {_quoted(pattern)}, {_quoted(replacement.replace('$', chr(92)))}, 'g')"
+    return f"{' + '.join(counts)} AS redactions, array_to_string(list_filter([{', '.join(names)}], lambda n: n IS NOT NULL), ',') AS types"
+
+
+@query("t1_scrub_report", M + f"SELECT id, {_scrub_steps()} FROM (SELECT id, {_secret_sql()} AS t FROM memories)")
 def scrub_report(spark, d):
     total, names = text.scrub_report(_secret_spark())
-    return memories(spark, d).select("id", total.alias("redactions"), F.array_join(names, ",").alias("types"))
+    return memories(spark, d).select("id", total.cast("long").alias("redactions"), F.array_join(names, ",").alias("types"))
 
 
 _CRED_SQL = " OR ".join(f"regexp_matches(t, {_quoted(p)})" for n, p, _ in fixed.CREDENTIALS if n not in ("aws_secret", "hex_secret"))
@@ -74,12 +88,15 @@ _STRIPPED = "regexp_replace(t, '^\\s+|\\s+$', '', 'g')"
 _POLITE = " OR ".join(f"regexp_matches(s, {_quoted(p)})" for p in fixed.ACKNOWLEDGEMENTS)
 
 
-@query("t3_noise", f"""WITH {TURNS}, x AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'Ok, thanks!' WHEN 1 THEN substr(text, 1, 7) WHEN 2 THEN 'let me ' || substr(text, 1, 40) WHEN 3 THEN repeat('12 34; ', 40) ELSE text END AS t FROM turns), y AS (SELECT *, {_STRIPPED} AS s FROM x)
-SELECT conv_id, turn, CASE WHEN length(s) < 8 THEN true WHEN length(s) < 100 AND ({_POLITE}) THEN true WHEN length(s) > 200 AND CAST(length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) AS DOUBLE) / length(s) < 0.3 THEN true WHEN len(string_split(s, chr(10))) > 5 AND CAST(len(list_filter(string_split(s, chr(10)), lambda l: regexp_matches(l, {_quoted(fixed.OUTPUT_LINE.replace(chr(92) + '"', '"'))}))) AS DOUBLE) / len(string_split(s, chr(10))) > 0.6 THEN true ELSE false END AS noise FROM y""")
+_NOISE_SQL = f"""CASE WHEN length(s) < 8 THEN true WHEN length(s) < 100 AND ({_POLITE}) THEN true WHEN length(s) > 200 AND CAST(length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) AS DOUBLE) / length(s) < 0.3 THEN true WHEN len(string_split(s, chr(10))) > 5 AND CAST(len(list_filter(string_split(s, chr(10)), lambda l: regexp_matches(l, {_quoted(fixed.OUTPUT_LINE.replace(chr(92) + '"', '"'))}))) AS DOUBLE) / len(string_split(s, chr(10))) > 0.6 THEN true ELSE false END"""
+
+
+@query("t3_noise", f"""WITH {TURNS}, x AS (SELECT conv_id, turn, text AS t FROM turns UNION ALL SELECT doc_id, -1, coalesce(text, '') FROM documents), y AS (SELECT *, {_STRIPPED} AS s FROM x) SELECT conv_id, turn, {_NOISE_SQL} AS noise FROM y""")
 def noise(spark, d):
-    k = F.col("turn") % 5
-    t = F.when(k == 0, "Ok, thanks!").when(k == 1, F.substring("text", 1, 7)).when(k == 2, F.concat(F.lit("let me "), F.substring("text", 1, 40))).when(k == 3, F.repeat(F.lit("12 34; "), 40)).otherwise(F.col("text"))
-    return turns(spark, d).select("conv_id", "turn", text.is_noise(t).alias("noise"))
+    """Over every turn and, as turn -1, every document."""
+    documents = table(spark, d, "documents").select("doc_id", F.lit(-1).cast("long"), F.lit(None).cast("string"), F.coalesce("text", F.lit("")))
+    rows = turns(spark, d).union(documents)
+    return rows.select("conv_id", "turn", text.is_noise(F.col("text")).alias("noise"))
 
 
 _SUFFIXES = [" We decided and chose", " def f(): return", " todo: implement", " I prefer my approach", " Turns out a gotcha", " it requires version", ""]
@@ -121,10 +138,15 @@ _ENTITY_PARTS[0] = f"list_filter({_ENTITY_PARTS[0]}, lambda x: contains(x, '.'))
 _ENTITY_ALL = "flatten([" + ", ".join(_ENTITY_PARTS) + "])"
 
 
-@query("t7_entities", M + f"SELECT id, array_to_string(list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i)[1:15], '|') AS entities FROM (SELECT id, {_ENTITY_ALL} AS e FROM (SELECT id, 'See https://Docs.Example.com/a and src/app' || CAST(id % 5 AS VARCHAR) || '.py, FastApi fastApi, @scope/pkg' || CAST(id % 3 AS VARCHAR) || ' on Python 3.' || CAST(id % 9 AS VARCHAR) || ' v1.' || CAST(id % 4 AS VARCHAR) || ' by New York Times ' || platform AS t FROM memories))")
+def _plain(t):
+    """The two engines differ in whether accented letters end a word; here they are word characters."""
+    return F.regexp_replace(t, r"[^\x00-\x7F]", "_")
+
+
+@query("t7_entities", M + f"SELECT id, array_to_string(list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i)[1:15], '|') AS entities FROM (SELECT id, {_ENTITY_ALL} AS e FROM (SELECT id, regexp_replace(content, '[^\x00-\x7F]', '_', 'g') || ' See https://Docs.Example.com/a and src/app' || CAST(id % 5 AS VARCHAR) || '.py, FastApi fastApi, @scope/pkg' || CAST(id % 3 AS VARCHAR) || ' on Python 3.' || CAST(id % 9 AS VARCHAR) || ' v1.' || CAST(id % 4 AS VARCHAR) || ' by New York Times ' || platform AS t FROM memories))")
 def entities(spark, d):
     n = lambda k: (F.col("id") % k).cast("string")
-    t = F.concat(F.lit("See https://Docs.Example.com/a and src/app"), n(5), F.lit(".py, FastApi fastApi, @scope/pkg"), n(3), F.lit(" on Python 3."), n(9), F.lit(" v1."), n(4), F.lit(" by New York Times "), F.col("platform"))
+    t = F.concat(_plain(F.col("content")), F.lit(" See https://Docs.Example.com/a and src/app"), n(5), F.lit(".py, FastApi fastApi, @scope/pkg"), n(3), F.lit(" on Python 3."), n(9), F.lit(" v1."), n(4), F.lit(" by New York Times "), F.col("platform"))
     return memories(spark, d).select("id", F.array_join(text.entities(t), "|").alias("entities"))
 
 
@@ -148,18 +170,20 @@ def facts(spark, d):
     return rows.select("id", F.size("f").cast("long").alias("n"), F.array_join("f", "|").alias("facts"), F.round(text.fact_value(F.col("f")), 6).alias("value"))
 
 
-@query("t10_summary", f"""WITH {TURNS}, s AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) >= 5)) AS sentence, generate_subscripts(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) >= 5), 1) AS i FROM turns),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS place FROM s), c AS (SELECT conv_id, least(count(*), 20) AS n FROM n GROUP BY conv_id)
-SELECT n.conv_id, string_agg(sentence, '|' ORDER BY place) AS summary FROM n JOIN c ON n.conv_id = c.conv_id WHERE place <= least(5, greatest(3, c.n // 3)) GROUP BY n.conv_id""")
+_SENTENCES = "list_filter(list_transform(regexp_split_to_array(regexp_replace(all_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) >= 5)"
+_WORDS_OF = "list_filter(regexp_split_to_array(lower(sentence), '\\s+'), lambda w: w <> '')"
+_DENSITY = f"CAST(len(list_filter({_WORDS_OF}, lambda w: list_contains({_list(fixed.TOPICS)}, w))) AS DOUBLE) / greatest(len({_WORDS_OF}), 1)"
+
+
+@query("t10_summary", f"""WITH {TURNS}, c AS (SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS all_text, list(text ORDER BY turn) AS texts FROM turns GROUP BY conv_id),
+s AS (SELECT conv_id, n, texts, {_SENTENCES} AS sentences FROM c),
+u AS (SELECT conv_id, unnest(sentences[1:20]) AS sentence, generate_subscripts(sentences[1:20], 1) AS i FROM s WHERE n >= 2 AND len(sentences) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(1 / (1 + CAST(0.1 AS DOUBLE) * (i - 1)) + 2 * {_DENSITY}, 9) DESC, i DESC) AS rank, count(*) OVER (PARTITION BY conv_id) AS m FROM u),
+k AS (SELECT conv_id, 'Key points: ' || string_agg(rtrim(sentence, '.'), '. ' ORDER BY i) || '.' AS summary FROM r WHERE rank <= least(5, greatest(3, m // 3)) GROUP BY conv_id),
+p AS (SELECT *, list_filter(list_transform(texts[1:3], lambda t: regexp_replace(substr(t, 1, 150), '^\\s+|\\s+$', '', 'g')), lambda t: t <> '') AS heads FROM s)
+SELECT p.conv_id, CASE WHEN n < 2 THEN substr(texts[1], 1, 200) WHEN k.summary IS NOT NULL THEN k.summary WHEN len(heads) > 0 THEN 'Key points: ' || array_to_string(list_transform(heads, lambda t: rtrim(t, '.')), '. ') || '.' ELSE 'Conversation with ' || CAST(n AS VARCHAR) || ' exchanges.' END AS summary FROM p LEFT JOIN k ON p.conv_id = k.conv_id""")
 def summary(spark, d):
-    """Without topic words the earliest sentences score highest; ``place`` is their order."""
-    parts = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\u0001"), "\u0001")
-    long = F.filter(parts, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")) >= 5)
-    rows = turns(spark, d).select("conv_id", "turn", F.posexplode(long).alias("i", "sentence"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "i"))
-    rows = rows.withColumn("place", place).withColumn("n", F.least(F.count("*").over(Window.partitionBy("conv_id")), F.lit(20)))
-    kept = rows.where(F.col("place") <= F.least(F.lit(5), F.greatest(F.lit(3), F.floor(F.col("n") / 3))))
-    return kept.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), "|").alias("summary"))
+    return ex.extractive_summaries(turns(spark, d), fixed.TOPICS)
 
 
 @query("t11_merged_topics", M + f"SELECT session_id, array_to_string(list_sort(list_distinct(flatten(list({_TOPICS_SQL}))))[1:15], ',') AS topics FROM memories GROUP BY session_id")
@@ -199,7 +223,7 @@ def triple_ids(spark, d):
 
 
 _QUESTIONS = ["What did we decide about ", "How did we fix ", "What is our convention for ", "When did we learn about this week ", "recently ", "", "yesterday we discovered "]
-_ASKED = f"list_extract({_list(_QUESTIONS)}, CAST(item_id % 7 + 1 AS BIGINT)) || substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 30)"
+_ASKED = f"list_extract({_list(_QUESTIONS)}, CAST(item_id % 7 + 1 AS BIGINT)) || regexp_replace(text, '[^a-zA-Z ]', '', 'g')"
 _INTENT_SQL = ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(q, {_quoted(p)})" for p in ps) + f" THEN {_quoted(k)} END" for k, ps in fixed.INTENTS.items())
 _SINCE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(q, '\\b{p}\\b') THEN {n}" for p, n in fixed.TIME_PHRASES.items()) + " END"
 _CLEAN_SQL = "q"
@@ -210,26 +234,33 @@ for _p in sorted(fixed.DROPPED_PHRASES, key=len, reverse=True):
 @query("t18_intent", f"SELECT item_id, array_to_string(list_filter([{_INTENT_SQL}], lambda x: x IS NOT NULL), ',') AS types, {_SINCE_SQL} AS days, trim(regexp_replace({_CLEAN_SQL}, '\\s+', ' ', 'g')) AS clean FROM (SELECT item_id, lower({_ASKED}) AS q FROM benchmark)")
 def intent(spark, d):
     b = table(spark, d, "benchmark")
-    q = F.concat(F.element_at(F.array(*[F.lit(x) for x in _QUESTIONS]), (F.col("item_id") % 7 + 1).cast("int")), F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 30))
+    q = F.concat(F.element_at(F.array(*[F.lit(x) for x in _QUESTIONS]), (F.col("item_id") % 7 + 1).cast("int")), F.regexp_replace("text", "[^a-zA-Z ]", ""))
     rows = b.select("item_id", q.alias("q"))
     return rows.select("item_id", F.array_join(text.implied_types(F.col("q")), ",").alias("types"), text.since_days(F.col("q")).alias("days"), text.clean_query(F.col("q")).alias("clean"))
 
 
-@query("t19_batch_text")
+_KIND_SQL = f"CASE WHEN {_BEST} = 0 THEN 'raw_exchange' {' '.join(f'WHEN {h} = {_BEST} THEN {_quoted(k)}' for k, h in _HITS.items())} END"
+_CONFIDENCE_SQL = f"CASE WHEN {_BEST} >= 2 THEN CAST(0.85 AS DOUBLE) WHEN {_BEST} = 1 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END"
+_OF_LOWER = {k: v.replace("contains(t, k)", "contains(lower(t), k)") for k, v in {"kind": _KIND_SQL, "confidence": _CONFIDENCE_SQL}.items()}
+
+
+@query("t19_batch_text", M + f"SELECT id, length(t) AS length, {_NOISE_SQL} AS noise, {_OF_LOWER['kind']} AS kind, {_OF_LOWER['confidence']} AS confidence, least(15, len(list_distinct(list_transform({_ENTITY_ALL.replace('(t, ', '(p, ')}, lambda e: lower(e))))) AS entities FROM (SELECT id, t, {_STRIPPED} AS s, regexp_replace(t, '[^\\x00-\\x7F]', '_', 'g') AS p FROM (SELECT id, {_scrub_sql('content')} AS t FROM memories))")
 def batch_text(spark, d):
     """Scrub, noise, class and entities of every text, in one projection."""
     clean = memories(spark, d).select("id", text.scrub(F.col("content")).alias("content"))
     kind, confidence = text.classify(F.col("content"))
-    return clean.select("id", F.length("content").alias("length"), text.is_noise(F.col("content")).alias("noise"), kind.alias("kind"), confidence.alias("confidence"), F.size(text.entities(F.col("content"))).alias("entities"))
+    return clean.select("id", F.length("content").alias("length"), text.is_noise(F.col("content")).alias("noise"), kind.alias("kind"), confidence.alias("confidence"), F.size(text.entities(_plain(F.col("content")))).alias("entities"))
 
 
-@query("t20_fences", M + "SELECT id, trim(regexp_replace(regexp_replace(trim('```json' || chr(10) || '{\"n\": ' || CAST(id AS VARCHAR) || '}' || chr(10) || '```'), '^```[a-zA-Z]*\\s*', ''), '\\s*```$', '')) AS body FROM memories")
+@query("t20_fences", M + "SELECT id, sha256(trim(regexp_replace(regexp_replace(trim('```json' || chr(10) || content || chr(10) || '```'), '^```[a-zA-Z]*\\s*', ''), '\\s*```$', ''))) AS body, CASE WHEN id % 2 = 0 THEN id END AS n FROM memories")
 def fences(spark, d):
-    raw = F.concat(F.lit('```json\n{"n": '), F.col("id").cast("string"), F.lit("}\n```"))
-    return memories(spark, d).select("id", text.strip_fence(raw).alias("body"))
+    """Fenced texts without their fence, and a field of the fenced JSON (null where it is broken)."""
+    raw = F.concat(F.lit("```json\n"), F.col("content"), F.lit("\n```"))
+    parsed = F.concat(F.lit('```json\n{"n": '), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, "}").otherwise(","), F.lit("\n```"))
+    return memories(spark, d).select("id", F.sha2(text.strip_fence(raw), 256).alias("body"), F.get_json_object(text.strip_fence(parsed), "$.n").cast("long").alias("n"))
 
 
-_TAGGED = "substr(content, 1, 60) || '<system-reminder>' || chr(10) || 'x</system-reminder>' || repeat(chr(10), 4) || '<command-name>c</command-name>' || substr(content, 61, 40) || '  '"
+_TAGGED = "substr(content, 1, CAST(length(content) // 2 AS BIGINT)) || '<system-reminder>' || chr(10) || 'x</system-reminder>' || repeat(chr(10), 4) || '<command-name>c</command-name>' || substr(content, CAST(length(content) // 2 + 1 AS BIGINT)) || '  '"
 _UNTAGGED = _TAGGED
 for _t in fixed.NOISE_TAGS:
     _UNTAGGED = f"regexp_replace({_UNTAGGED}, '(?s)<{_t}>.*?</{_t}>', '', 'g')"
@@ -237,7 +268,8 @@ for _t in fixed.NOISE_TAGS:
 
 @query("s3_noise_tags", M + f"SELECT id, regexp_replace(regexp_replace({_UNTAGGED}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM memories")
 def noise_tags(spark, d):
-    c = F.concat(F.substring("content", 1, 60), F.lit("<system-reminder>\nx</system-reminder>\n\n\n\n<command-name>c</command-name>"), F.substring("content", 61, 40), F.lit("  "))
+    half = F.floor(F.length("content") / 2).cast("int")
+    c = F.concat(F.substring("content", F.lit(1), half), F.lit("<system-reminder>\nx</system-reminder>\n\n\n\n<command-name>c</command-name>"), F.substring("content", half + 1, F.length("content")), F.lit("  "))
     return memories(spark, d).select("id", text.strip_tags(c).alias("body"))
 
 
@@ -294,10 +326,12 @@ def exchanges(spark, d):
     return ex.accepted(ex.exchanges(turns(spark, d)), 51).select("conv_id", "exchange", "text", "n_turns")
 
 
-@query("e2_acceptance", _PAIRS + " SELECT count(*) FILTER (WHERE length(text) > 50) AS loose, count(*) FILTER (WHERE length(text) >= 200 AND has_user AND has_reply) AS strict FROM x")
+@query("e2_acceptance", "WITH " + _exchanges_sql("WHERE role IN ('user', 'assistant')") + ", " + _exchanges_sql("WHERE role IN ('user', 'assistant') AND length(text) >= 20").replace(TURNS + ", ", "").replace("n AS (", "n2 AS (").replace("x AS (", "x2 AS (").replace("FROM n GROUP", "FROM n2 GROUP") + " SELECT x.conv_id, x.exchange, length(x.text) > 50 AS loose, length(x.text) >= 50 AS hook, coalesce(length(x2.text) >= 200 AND x2.has_user AND x2.has_reply, false) AS strict FROM x LEFT JOIN x2 ON x.conv_id = x2.conv_id AND x.exchange = x2.exchange")
 def acceptance(spark, d):
-    strict = (F.length("text") >= 200) & F.col("has_user") & F.col("has_reply")
-    return ex.exchanges(turns(spark, d)).agg(F.count_if(F.length("text") > 50).alias("loose"), F.count_if(strict).alias("strict"))
+    """Which exchanges each kind of reader takes; the strict one drops turns under 20 characters first."""
+    every = ex.exchanges(turns(spark, d)).select("conv_id", "exchange", (F.length("text") > 50).alias("loose"), (F.length("text") >= 50).alias("hook"))
+    strict = ex.accepted(ex.exchanges(turns(spark, d).where(F.length("text") >= 20)), 200, both=True).select("conv_id", "exchange", F.lit(True).alias("strict"))
+    return every.join(strict, ["conv_id", "exchange"], "left").withColumn("strict", F.coalesce("strict", F.lit(False)))
 
 
 @query("e3_chunk_attributes", _PAIRS + f" SELECT conv_id, exchange, CASE {_RULES.replace('contains(t,', 'contains(lower(text),')} ELSE 'raw_exchange' END AS kind, array_to_string({_TOPICS_SQL.replace('content', 'text')}, ',') AS topics, CAST(0.9 AS DOUBLE) AS confidence FROM x")
