@@ -70,6 +70,30 @@ def select_diverse(candidates: DataFrame, k: int, balance: float = 0.5) -> DataF
     return pinned.unionByName(rows.sparkSession.createDataFrame(taken, pinned.schema)) if taken else pinned
 
 
+def weights(*layers: dict[str, object]) -> dict[str, float]:
+    """The default weights under layers of which later ones win; unknown names and values
+    that are no numbers are ignored, negative ones refused."""
+    out = dict(fixed.BRIEFING_WEIGHTS)
+    for layer in layers:
+        for name, value in layer.items():
+            try:
+                number = float(value)  # type: ignore[arg-type]
+            except (TypeError, ValueError):
+                continue
+            if name in out:
+                out[name] = number
+    if any(v < 0 for v in out.values()):
+        raise ValueError(f"weights must not be negative: {out}")
+    return out
+
+
+def tier_budget(tier: Column, context_tokens: Column, most_tokens: Column) -> tuple[Column, Column]:
+    """(tokens, rows) of a tier T0 to T4; a positive ``most_tokens`` only lowers them."""
+    tokens, rows = budget(context_tokens)
+    plain = F.when(tier == "T0", 120).when(tier == "T1", tokens).when(tier == "T2", 500).when(tier == "T3", 1500).when(tier == "T4", 800)
+    return F.when(most_tokens > 0, F.least(plain, most_tokens)).otherwise(plain), F.when(tier == "T0", 0).when(tier == "T1", rows).when(tier == "T2", 12).when(tier == "T3", 20).when(tier == "T4", 15)
+
+
 def budget(context_tokens: Column) -> tuple[Column, Column]:
     """(tokens, rows) for a context size."""
     return F.when(context_tokens < 32_000, 400).when(context_tokens < 200_000, 800).otherwise(1500), F.when(context_tokens < 32_000, 8).when(context_tokens < 200_000, 15).otherwise(25)

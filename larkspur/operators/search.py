@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import fixed
@@ -40,6 +40,62 @@ def keyword(docs: DataFrame, terms: list[str], mode: str = "all", text: str = "c
     return n.where(hit).join(F.broadcast(stats)).select("id", score.alias("score"))
 
 
+INDEX_BUCKETS = 32
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def write_index(memories: DataFrame, path: str) -> None:
+    """The inverted index of memories (id, content, topics, entities) at ``path``: postings
+    (term, id, field, positions) in folders by term, and the lengths of all rows, so that a
+    search reads the postings of its terms only and no text."""
+    fields = F.array(*[F.struct(F.lit(n).alias("field"), tokens(c).alias("w")) for n, c in (("content", F.col("content")), ("topics", F.array_join("topics", " ")), ("entities", F.array_join("entities", " ")))])
+    rows = memories.select("id", F.explode(fields).alias("x")).select("id", "x.field", "x.w")
+    rows.groupBy("id").agg(F.sum(F.size("w")).alias("size")).write.parquet(f"{path}/lengths")
+    placed = rows.select("id", "field", F.posexplode("w").alias("pos", "term"))
+    grouped = placed.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    grouped.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search_index(spark: SparkSession, path: str, terms: list[str], mode: str = "all") -> DataFrame:
+    """(id, score) by BM25 from an index: rows with 'any' term, 'all' of them, or the 'phrase',
+    which stands in one field at following places and counts as one term."""
+    lengths = spark.read.parquet(f"{path}/lengths")
+    stats = lengths.agg(F.count("*").alias("_n"), F.avg("size").alias("_avg"))
+    found = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*_buckets(spark, terms))).where(F.col("term").isin(terms)).select("id", "field", "term", "at")
+    if mode == "phrase":
+        lists = [F.max(F.when(F.col("term") == t, F.col("at"))).alias(f"_at{i}") for i, t in enumerate(terms)]
+        whole = found.groupBy("id", "field").agg(*lists).where(" and ".join(f"_at{i} is not null" for i in range(len(terms))))
+        starts = F.col("_at0")
+        for i in range(1, len(terms)):
+            starts = F.array_intersect(starts, F.transform(f"_at{i}", _minus(i)))
+        counts = whole.groupBy("id").agg(F.sum(F.size(starts)).alias("_tf0")).where("_tf0 > 0")
+        names = ["_tf0"]
+    else:
+        counts = found.groupBy("id").agg(*[F.sum(F.when(F.col("term") == t, F.size("at")).otherwise(0)).alias(f"_tf{i}") for i, t in enumerate(terms)])
+        names = [f"_tf{i}" for i in range(len(terms))]
+    df = counts.agg(*[F.count_if(F.col(c) > 0).alias(f"_df{i}") for i, c in enumerate(names)])
+    if mode == "all":
+        counts = counts.where(" and ".join(f"{c} > 0" for c in names))
+    score = F.lit(0.0)
+    for i, c in enumerate(names):
+        idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
+        score = score + idf * F.col(c) * (fixed.BM25_K1 + 1) / (F.col(c) + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("size") / F.col("_avg")))
+    return counts.join(lengths, "id").join(F.broadcast(stats)).join(F.broadcast(df)).select("id", score.alias("score"))
+
+
+def _buckets(spark: SparkSession, terms: list[str]) -> list[int]:
+    """The folders of a query's few terms."""
+    row = spark.range(1).select(F.array(*[_bucket(F.lit(t)) for t in terms]).alias("b")).first()
+    return sorted(set(row.b))
+
+
+def _minus(i: int):
+    return lambda p: p - F.lit(i)
+
+
 def _equals(term: str):
     return lambda w: w == F.lit(term)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, text
 from larkspur.operators import briefing, dedup, facts, graph, search
-from larkspur.operators.scratch import written
+from larkspur.operators.scratch import scratch_path, written
 from larkspur.operators.store import active
 from larkspur.plans.registry import query
 from larkspur.plans.views import MEMORIES, TRIPLES, VECTORS, memories, table, triples, vectors
@@ -21,29 +21,56 @@ MV = f"WITH {MEMORIES}, {VECTORS}"
 _WORDS = "list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
 
+_TOPICS = "list_filter([" + ", ".join(f"'{t}'" for t in fixed.TOPICS) + "], lambda k: contains(lower(content), k))[1:10]"
+_FIELDS = [_WORDS, _WORDS.replace("content", f"array_to_string({_TOPICS}, ' ')", 1), _WORDS.replace("content", "platform", 1)]
+
+
 def _bm25(terms: list[str], mode: str, source: str = "memories WHERE status = 'active'") -> str:
-    """Common table expressions that end in ``hits`` (id, score)."""
-    tf = ", ".join(f"len(list_filter(w, lambda t: t = '{t}')) AS tf{i}" for i, t in enumerate(terms))
-    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(terms)))
-    score = " + ".join(f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / avg_size))" for i in range(len(terms)))
-    hit = {"any": " OR ".join(f"tf{i} > 0" for i in range(len(terms))), "all": " AND ".join(f"tf{i} > 0" for i in range(len(terms))), "phrase": f"contains(' ' || array_to_string(w, ' ') || ' ', ' {' '.join(terms)} ')"}[mode]
-    return f"words AS (SELECT id, {_WORDS} AS w FROM {source}), counted AS (SELECT id, w, len(w) AS size, {tf} FROM words), stats AS (SELECT count(*) AS n, avg(size) AS avg_size, {df} FROM counted), hits AS (SELECT id, {score} AS score FROM counted, stats WHERE {hit})"
+    """Common table expressions that end in ``hits`` (id, score), over contents, topics and
+    entities; a phrase is one term."""
+    pairs = " + ".join(f"len(list_filter(range(1, len({f}) - {len(terms)} + 2), lambda i: {' AND '.join(f'{f}[i + {j}] = ' + repr(t) for j, t in enumerate(terms))}))" for f in ("w0", "w1", "w2"))
+    counts = [pairs] if mode == "phrase" else [f"len(list_filter(w, lambda t: t = '{t}'))" for t in terms]
+    tf = ", ".join(f"{c} AS tf{i}" for i, c in enumerate(counts))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(counts)))
+    score = " + ".join(f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / avg_size))" for i in range(len(counts)))
+    hit = (" OR " if mode == "any" else " AND ").join(f"tf{i} > 0" for i in range(len(counts)))
+    return f"fields AS (SELECT id, {_FIELDS[0]} AS w0, {_FIELDS[1]} AS w1, {_FIELDS[2]} AS w2 FROM {source}), words AS (SELECT *, list_concat(list_concat(w0, w1), w2) AS w FROM fields), counted AS (SELECT id, len(w) AS size, {tf} FROM words), stats AS (SELECT count(*) AS n, avg(size) AS avg_size, {df} FROM counted), hits AS (SELECT id, {score} AS score FROM counted, stats WHERE {hit})"
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _keyword(spark, d, terms: list[str], mode: str):
+    """Search in the index of the active memories, which is written once an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = scratch_path(spark, "index")
+        search.write_index(active(memories(spark, d)).select("id", "content", text.topics(F.col("content")).alias("topics"), F.array("platform").alias("entities")), path)
+        _INDEXES[key] = path
+    return search.search_index(spark, _INDEXES[key], terms, mode)
 
 
 @query("r1_keyword_all", f"WITH {MEMORIES}, {_bm25(['the', 'this'], 'all')} SELECT id, round(score, 6) AS score FROM hits ORDER BY round(score, 6) DESC, id LIMIT 20")
 def keyword_all(spark, d):
-    found = search.keyword(active(memories(spark, d)), ["the", "this"], "all")
+    found = _keyword(spark, d, ["the", "this"], "all")
     return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
 
 
 @query("r1_keyword_any", f"WITH {MEMORIES}, {_bm25(['von', 'this'], 'any')} SELECT id, round(score, 6) AS score FROM hits")
 def keyword_any(spark, d):
-    return search.keyword(active(memories(spark, d)), ["von", "this"], "any").withColumn("score", F.round("score", 6))
+    return _keyword(spark, d, ["von", "this"], "any").withColumn("score", F.round("score", 6))
 
 
 @query("r1_keyword_phrase", f"WITH {MEMORIES}, {_bm25(['of', 'the'], 'phrase')} SELECT id, round(score, 6) AS score FROM hits")
 def keyword_phrase(spark, d):
-    return search.keyword(active(memories(spark, d)), ["of", "the"], "phrase").withColumn("score", F.round("score", 6))
+    return _keyword(spark, d, ["of", "the"], "phrase").withColumn("score", F.round("score", 6))
+
+
+@query("r1_phrase_fields", f"WITH {MEMORIES}, {_bm25(['machine', 'learning'], 'phrase')}, {_bm25(['src1'], 'phrase').replace('fields', 'fields2').replace('words', 'words2').replace('counted', 'counted2').replace('stats', 'stats2').replace('hits', 'hits2')} SELECT 'topic' AS asked, id, round(score, 6) AS score FROM hits UNION ALL SELECT 'entity', id, round(score, 6) FROM hits2")
+def phrase_fields(spark, d):
+    """Phrases that stand in topics and in entities."""
+    topic = _keyword(spark, d, ["machine", "learning"], "phrase").select(F.lit("topic").alias("asked"), "id", F.round("score", 6).alias("score"))
+    return topic.unionByName(_keyword(spark, d, ["src1"], "phrase").select(F.lit("entity").alias("asked"), "id", F.round("score", 6).alias("score")))
 
 
 @query("r1_postings", M + f"SELECT term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, unnest({_WORDS}) AS term FROM memories) GROUP BY term HAVING count(DISTINCT id) > 5")
@@ -76,7 +103,7 @@ def basic_search(spark, d):
 def _hybrid(spark, d, with_graph: bool):
     m = active(memories(spark, d))
     semantic = search.vector_top_k(active(vectors(spark, d)), _query_vector(spark, d), 20)
-    words = search.keyword(m, ["the"], "all").select("id", F.round("score", 6).alias("score"))
+    words = _keyword(spark, d, ["the"], "all").select("id", F.round("score", 6).alias("score"))
     near = graph.near_memories(_tagged(spark, d), ["llm", "nothing", "rag"]).join(m.select("id"), "id", "left_semi") if with_graph else m.where("false").select("id")
     return search.hybrid(m, semantic, words, near, 10)
 
@@ -230,7 +257,6 @@ def centroid(spark, d):
 
 # Graph ------------------------------------------------------------------------------
 
-_TOPICS = "list_filter([" + ", ".join(f"'{t}'" for t in fixed.TOPICS) + "], lambda k: contains(lower(content), k))[1:10]"
 _ITEMS = f"{MEMORIES}, item AS (SELECT id, created_minute, unnest(list_concat(list_transform({_TOPICS}, lambda t: {{'name': t, 'type': 'topic'}}), [{{'name': platform, 'type': 'entity'}}])) AS x FROM memories), items AS (SELECT id, created_minute, x.name AS name, x.type AS type FROM item)"
 _EDGES = f"{_ITEMS}, edges AS (SELECT p.name AS a, q.name AS b, count(*) AS weight FROM items p JOIN items q ON p.id = q.id AND p.name < q.name GROUP BY p.name, q.name)"
 
