@@ -12,8 +12,10 @@ documents:
 3. Stretches with equal bytes repeat as a whole.  One of each distinct content goes
    on to its group's shard, where an array induced over the shard's contents and
    its permuted common prefixes mark the windows that occur twice.
-4. A group of over ``LARGE`` bytes is not given to one task: its windows are counted
-   by hash instead, each window a row.
+4. A group of over ``LARGE`` bytes is not given to one task: its contents go through
+   the same steps again as texts of their own, with hashes of twice as many bytes, and
+   so divide.  At hashes of ``length`` bytes a stretch is one window, or a run of one
+   byte of at most ``MOST_WINDOWS`` windows, so that no group is large any more.
 
 Rules: null text counts as empty; texts under ``length`` bytes hold no window; rows that
 repeat a ``doc_id`` are separate documents, and so are those without one.  The input is
@@ -37,17 +39,17 @@ from larkspur.llm.suffix_array import permuted_lcp, suffix_array
 LENGTH, GRAM = 400, 64
 MOST_WINDOWS = 4096  # of a stretch; longer ones are cut
 SHARD, LARGE = 1 << 21, 1 << 23
-_TABLES = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-_FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64)[0]
+_FACTOR = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(data: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the ``size`` bytes from every place (``size`` any positive number)."""
     n = len(data) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    power, done, out = _TABLES[kind][data], 0, None
-    factor, width = _FACTORS[kind], 1
+    power, done, out = _TABLE[data], 0, None
+    factor, width = _FACTOR, 1
     rest = size
     while rest:
         if rest & 1:
@@ -167,6 +169,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     """(rows, candidates, spans): every row with its key; the texts that may hold
     repeats; the repeated byte spans (row, a, b) of those, perhaps overlapping."""
     rows = docs.select(common.row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
+    return rows, *_spans(rows, length, gram, large)
+
+
+def _spans(rows: DataFrame, length: int, gram: int, large: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates, spans) of ``rows`` (row, text)."""
     names = ("start", "windows", "anchor", "content", "repeats")
     schema = pa.schema([("row", pa.binary()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("repeats", pa.bool_())])
 
@@ -188,7 +195,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
 
     # One of each distinct content, where its group has another or it may repeat itself.
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("d"), F.sum(F.col("x.windows") + length - 1).alias("size"), F.max("x.repeats").alias("r")).where("d > 1 or r")
-    wanted = distinct.join(groups, "anchor").select("anchor", "x.row", "x.start", "x.windows", (F.col("size") > large).alias("hot"))
+    hot = (F.col("size") > large) & F.lit(gram < length)
+    wanted = distinct.join(groups, "anchor").select("anchor", "x.row", "x.start", "x.windows", hot.alias("hot"))
     per_row = maybe.select("row").distinct().join(wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "hot")).alias("wanted")), "row", "left")
     candidates = common.written(rows.select("row", "text").join(per_row, "row").dropDuplicates(["row"]), "candidates")
 
@@ -207,19 +215,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     sharded = contents.where("not hot").select("anchor", "row", "start", "content").repartition("anchor").sortWithinPartitions("anchor")
     shared = sharded.mapInArrow(lambda batches: _shard_spans(batches, length), "row binary, a long, b long")
 
-    hot_schema = pa.schema([("h", pa.int64()), ("i", pa.int64()), ("row", pa.binary()), ("a", pa.int64())])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, start, content in zip(*(batch.column(c).to_pylist() for c in ("row", "start", "content")), strict=True):
-                data = np.frombuffer(content, np.uint8)
-                h, i = gram_hashes(data, length, 0), gram_hashes(data, length, 1)
-                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "i": i.view(np.int64), "row": [row] * len(h), "a": start + np.arange(len(h))}, schema=hot_schema)
-
-    single = contents.where("hot").select("row", "start", "content").mapInArrow(windows, "h long, i long, row binary, a long")
-    twice = single.groupBy("h", "i").agg(F.count("*").alias("n")).where("n > 1").select("h", "i")
-    counted = single.join(twice, ["h", "i"]).select("row", "a", (F.col("a") + length).alias("b"))
-    return rows, candidates, equal.unionByName(shared).unionByName(counted)
+    found = equal.unionByName(shared)
+    if gram < length and not candidates.where(F.exists("wanted", lambda x: x["hot"])).isEmpty():
+        # A content's key is its row's and its start; its spans are moved back by that.
+        key = F.concat("row", F.to_binary(F.lpad(F.hex("start"), 16, "0"), F.lit("hex"))).alias("row")
+        pieces = common.written(contents.where("hot").select(key, F.col("content").alias("text")), "contents")
+        _, inner = _spans(pieces, length, min(gram * 2, length), large)
+        start = F.conv(F.hex(F.expr("substring(row, length(row) - 7, 8)")), 16, 10).cast("long")
+        found = found.unionByName(inner.select(F.expr("substring(row, 1, length(row) - 8)").alias("row"), (F.col("a") + start).alias("a"), (F.col("b") + start).alias("b")))
+    return candidates, found
 
 
 def removed(text: bytes, spans: list) -> tuple[bytes, int, int]:

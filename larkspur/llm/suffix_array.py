@@ -2,11 +2,14 @@
 
 Suffixes are classified as smaller (S) or larger (L) than their successor; the
 leftmost-smaller (LMS) substrings are sorted by one induction, named, and their
-reduced string is sorted; a second induction fills the array.  An induction runs
-through the buckets of the alphabet in turn; inside a bucket, all suffixes that
-are ready are taken at once, which makes as many array steps as the longest run of
-one symbol.  The reduced string's alphabet is too wide for that, so its order
-comes from doubling the compared length, over the groups still tied.
+reduced string is sorted the same way, again and again until no name repeats; a
+second induction then fills the array from the order of the LMS suffixes.
+
+Over bytes an induction runs through the buckets of the alphabet in turn; inside a
+bucket, all suffixes that are ready are taken at once, which makes as many array
+steps as the longest run of one symbol.  Names are too many for a step a bucket:
+there the L suffixes are ordered from the LMS suffixes that end their runs, and then
+the S suffixes from the L suffixes behind theirs, all runs side by side.
 """
 
 from __future__ import annotations
@@ -71,32 +74,76 @@ def _induce(s: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, counts: np.ndarr
     return array
 
 
-def _order_by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``names``; only tied groups are compared again."""
-    n = len(names)
-    rank = names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    sorted_rank = rank[order]
-    group = np.maximum.accumulate(np.where(np.diff(sorted_rank, prepend=-1) != 0, np.arange(n), 0))
+def _classified(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is S, LMS positions): S where the next different symbol is larger; a run at the end is L."""
+    change = np.flatnonzero(s[1:] != s[:-1])
+    is_s = np.zeros(len(s), bool)
+    if len(change):
+        is_s[: change[-1] + 1] = np.repeat(s[change] < s[change + 1], np.diff(change, prepend=-1))
+    return is_s, np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+
+
+def _ranked_runs(at: np.ndarray, key: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) of the positions ``at`` by the keys from each to its ``end``, whose
+    own key is settled.  Ranks are places in the order, the first for positions that tie."""
+    by = np.argsort(key, kind="stable")
+    order, key = at[by], key[by]
+    group = np.maximum.accumulate(np.where(np.diff(key, prepend=-1) != 0, np.arange(len(at)), 0))
+    rank = np.zeros(len(end), np.int64)
     rank[order] = group
-    step = 1
-    while step < n:
-        tied = np.zeros(n + 1, bool)
-        tied[1:n] = group[1:] == group[:-1]
+    length, step = end[at] - at, 1
+    while step <= length.max(initial=0):
+        tied = np.zeros(len(at) + 1, bool)
+        tied[1:-1] = group[1:] == group[:-1]
         open_ = np.flatnonzero(tied[:-1] | tied[1:])
+        open_ = open_[end[order[open_]] - order[open_] >= step]
         if not len(open_):
             break
-        at = order[open_]
-        after = at + step
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = rank[at] * (n + 1) + second
+        p = order[open_]
+        key = rank[p] * len(end) + rank[np.minimum(p + step, end[p])]
         by = np.argsort(key, kind="stable")
-        order[open_] = at[by]
-        k = key[by]
-        new = np.maximum.accumulate(np.where(np.diff(k, prepend=-1) != 0, open_, 0))
-        group[open_] = new
-        rank[at[by]] = new
+        key = key[by]
+        order[open_] = p[by]
+        group[open_] = np.maximum.accumulate(np.where(np.diff(key, prepend=-1) != 0, open_, 0))
+        rank[order[open_]] = group[open_]
         step *= 2
+    return order, rank
+
+
+def _induce_runs(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, lms_rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) of all suffixes, induced from the ranks of the LMS suffixes; without
+    those, of each position's symbols up to the first symbol of an LMS substring."""
+    n = len(s)
+    place = np.arange(n)
+    bucket = s.astype(np.int64) * 3 + 1 + is_s
+    bucket[n - 1] -= 1  # nothing follows: the least of its bucket
+
+    def first(which: np.ndarray) -> np.ndarray:
+        """The first position from each on that is in ``which``, or the last of all."""
+        return np.minimum.accumulate(np.where(which, place, n - 1)[::-1])[::-1]
+
+    starts = np.zeros(n, np.int64)
+    if lms_rank is not None:
+        starts[lms] = lms_rank
+    part = ~is_s
+    part[lms] = True
+    at = np.flatnonzero(part)
+    _, rank = _ranked_runs(at, bucket[at] * (n + 1) + starts[at], first(is_s))
+    return _ranked_runs(place, bucket * (n + 1) + np.where(is_s, 0, rank), first(~is_s))
+
+
+def _order_of_names(s: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string over any alphabet below its length."""
+    is_s, lms = _classified(s)
+    order, rank = _induce_runs(s, is_s, lms, None)
+    names = rank[lms]
+    kinds, names = np.unique(names, return_inverse=True)
+    if len(kinds) == len(lms):
+        ranks = names
+    else:
+        ranks = np.empty(len(lms), np.int64)
+        ranks[_order_of_names(names)] = np.arange(len(lms))
+    order, _ = _induce_runs(s, is_s, lms, ranks)
     return order
 
 
@@ -107,14 +154,8 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
         return np.arange(n, dtype=np.int32)
     s = s.astype(np.int16)
     counts = np.bincount(s, minlength=size)
-    # S where the next different symbol is larger; a run at the end is L.
-    change = np.flatnonzero(s[1:] != s[:-1])
-    is_s = np.zeros(n, bool)
-    if len(change):
-        smaller = s[change] < s[change + 1]
-        run = np.diff(change, prepend=-1)
-        is_s[: change[-1] + 1] = np.repeat(smaller, run)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(np.int32) + 1
+    is_s, lms = _classified(s)
+    lms = lms.astype(np.int32)
     if not len(lms):
         return _induce(s, is_s, lms, counts)
     first = _induce(s, is_s, lms, counts)
@@ -139,7 +180,7 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     names[ordered] = np.cumsum(~same) - 1
     reduced = names[lms]
     if int(names[ordered[-1]]) + 1 < len(lms):
-        seeds = lms[_order_by_doubling(reduced)]
+        seeds = lms[_order_of_names(reduced)]
     else:
         seeds = ordered
     return _induce(s, is_s, seeds, counts)

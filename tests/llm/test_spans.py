@@ -7,7 +7,7 @@ import pytest
 
 from larkspur.llm import decontaminate, substring_dedup
 from larkspur.llm.fm_index import FMIndex
-from larkspur.llm.suffix_array import permuted_lcp, suffix_array
+from larkspur.llm.suffix_array import _order_of_names, permuted_lcp, suffix_array
 
 
 def brute_removed(texts, k):
@@ -23,7 +23,7 @@ def brute_removed(texts, k):
     return out
 
 
-@pytest.mark.parametrize(("which", "large"), [("edge_docs", 1 << 23), ("edge_docs", 1000), ("documents", 1 << 23)])
+@pytest.mark.parametrize(("which", "large"), [("edge_docs", 1 << 23), ("edge_docs", 1000), ("edge_docs", 0), ("documents", 1 << 23)])
 def test_repeated_substrings(which, large, request):
     docs = request.getfixturevalue(which)
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
@@ -32,6 +32,21 @@ def test_repeated_substrings(which, large, request):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_one_large_group(spark):
+    """A passage shared by all texts, in contexts of their own, copies of a third of the
+    rows, and runs of one byte: the group divides by longer hashes, over many partitions."""
+    r = np.random.default_rng(7)
+    word = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    common, phrase = word(390), word(120)
+    texts = [word(60) + common + word(80) + phrase + word(300) for _ in range(40)]
+    texts += [texts[0]] * 20 + [word(i) + texts[1][30:520] + word(9) for i in range(20)] + ["a" * n for n in (399, 400, 401, 900, 5000)] + ["ab" * 400]
+    rows = list(enumerate(texts))
+    want = Counter((d, *x) for (d, _), x in zip(rows, brute_removed([t.encode() for t in texts], 400), strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(23)
+    got = substring_dedup.deduplicate(docs, large=2000).collect()
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
+
+
 def test_kept_texts(edge_docs):
     got = substring_dedup.deduplicate(edge_docs, with_text=True).collect()
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
@@ -48,8 +63,10 @@ def test_suffix_arrays():
     for trial in range(60):
         s = r.integers(0, r.integers(1, 5), r.integers(1, 50)).astype(np.uint8)
         s = np.tile(s, 3) if trial % 3 == 0 else s
+        s = np.concatenate([s, np.sort(s), np.sort(s)[::-1], s]) if trial % 5 == 0 else s
         order = suffix_array(s, 5)
         assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        assert _order_of_names(s.astype(np.int64)).tolist() == order.tolist()
         value, _ = permuted_lcp(s, order)
         for a, b in zip(order, order[1:], strict=False):
             n = 0
