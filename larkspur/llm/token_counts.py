@@ -11,7 +11,10 @@ as exactly one choice agrees with the merge order.
 A text is cut into chunks of ``CHUNK`` characters at any place.  A chunk maps the
 unit left open before it to the unit open behind it and the tokens emitted on the
 way; such maps compose associatively and are joined by a parallel prefix scan, so
-one very long text spreads over many tasks.
+one very long text spreads over many tasks.  Chunks that lie inside one run without
+white space are put together once, before the scan; pre-tokens of over ``LONG`` bytes
+are walked by an automaton of all tokens that keeps only the states within a token's
+length, so that a run needs memory in proportion to its length.
 
 Rules: null text counts as empty; a row's identity is its place in the input, so
 null or repeated ``doc_id`` values are counted each.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ from larkspur.llm import common
 
 CHUNK = 1 << 16
 REMEMBERED, STATES = 400_000, 1_200_000
+LONG = 1024  # longer pre-tokens and units are not remembered
 
 #: White space of the pre-token pattern, and the pattern itself.
 WIDE_SPACE = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -76,16 +81,20 @@ class Transducer:
 
     def _fits(self, before: bytes, token: bytes) -> bool:
         if not before:
-            if (known := self.stable.get(token)) is None:
+            if (known := self.stable.get(token)) is None:  # no more of them than tokens
                 known = self.stable[token] = self.encode(token) == [token]
             return known
         pair = before, token
         if (known := self.joins.get(pair)) is None:
+            if len(self.joins) > REMEMBERED:
+                self.joins.clear()
             known = self.joins[pair] = self.encode(before + token) == [before, token]
         return known
 
     def run(self, word: bytes) -> int:
         """Emitted tokens of a whole pre-token."""
+        if len(word) > LONG:
+            return self._walk(word)
         if len(self.count) > STATES:
             self.reset()
         state, path = 0, [0]
@@ -97,6 +106,36 @@ class Transducer:
             path.append(state)
         return self.count[state]
 
+    @cached_property
+    def automaton(self):
+        """Finds all tokens that end at a byte, the longest first."""
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for token in self.vocabulary:
+            automaton.add_word(token.decode("latin-1"), token)
+        automaton.make_automaton()
+        return automaton
+
+    def _walk(self, word: bytes) -> int:
+        """``run`` without states: of each prefix, the last token and the count stay in
+        reach for as many bytes as a token can have."""
+        reach = self.longest + 1
+        last, count = [b""] * reach, [0] * reach
+        done = 0
+        for end, token in self.automaton.iter(word.decode("latin-1")):
+            if end < done:
+                continue  # a longer token fitted
+            if end > done:
+                break
+            origin = (end + 1 - len(token)) % reach
+            if self._fits(last[origin], token):
+                done = end + 1
+                last[done % reach], count[done % reach] = token, count[origin] + 1
+        if done < len(word):
+            raise ValueError(f"no token ends at byte {done}")
+        return count[done % reach]
+
     def _extend(self, state: int, path: list[int], word: bytes, i: int) -> int:
         for size in range(min(self.longest, i + 1), 0, -1):
             token = word[i + 1 - size : i + 1]
@@ -119,7 +158,9 @@ class _Memo(dict):
     def __missing__(self, key):
         if len(self) > REMEMBERED:
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONG:
+            self[key] = value
         return value
 
 
@@ -178,6 +219,16 @@ class Counter:
             return (head, count + sum(map(self.unit, units[:-1])), units[-1] if units else b"")
         return (head, count + sum(map(self.unit, units)) + b[1], b[2])
 
+    def joined(self, maps: list[Map]) -> list[Map]:
+        """The maps with those inside one run put together with the next that ends it."""
+        out, run = [], []
+        for head, count, tail in maps:
+            run.append(head)
+            if tail is not None:
+                out.append(self._closed(self.units(b"".join(run)), count, tail))
+                run = []
+        return out + [self.chunk(b"".join(run))] if run else out
+
     def prefix_scan(self, maps: list[Map]) -> list[Map]:
         """All prefixes, by doubling the distance over which maps are composed."""
         step = 1
@@ -228,7 +279,7 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                 if found[0]["head"] is None:
                     totals.append(found[0]["n"])
                 else:
-                    totals.append(c.whole(c.prefix_scan([(x["head"], x["n"], x["tail"]) for x in found])[-1]))
+                    totals.append(c.whole(c.prefix_scan(c.joined([(x["head"], x["n"], x["tail"]) for x in found]))[-1]))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": totals}, schema=out)
 
     return by_row.mapInArrow(join, "doc_id long, n_bytes long, n_tokens long")

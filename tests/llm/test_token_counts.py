@@ -40,6 +40,7 @@ def test_chunk_maps_compose(library, compiled):
         maps = [compiled.chunk(text[i : i + size].encode()) for i in range(0, len(text), size)]
         prefixes = compiled.prefix_scan(maps)
         assert compiled.whole(prefixes[-1]) == library(text), (text, size)
+        assert compiled.whole(compiled.prefix_scan(compiled.joined(maps))[-1]) == library(text)
         k = r.randrange(len(maps))
         assert compiled.whole(prefixes[k]) == library(text[: (k + 1) * size])
 
@@ -51,5 +52,23 @@ def test_documents(which, chunk, library, request):
     assert Counter(tuple(r) for r in token_counts.token_counts(docs, tokenizer_path(BYTES), chunk).collect()) == want
 
 
+def test_long_pre_tokens(library, compiled, monkeypatch):
+    monkeypatch.setattr(token_counts, "LONG", 6)
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice(ALPHABET) for _ in range(r.randint(0, 60)))
+        words = [w for w in compiled.pre_tokens(text) if not compiled.special.search(w)]
+        assert [compiled.transducer.run(w.encode()) for w in words] == [library(w) for w in words]
+
+
+def test_unbroken_runs(spark, library):
+    """Megabytes without white space, of letters, of one letter, and of letters and marks."""
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcdefghij", k=4_000_000)), "z" * 1_000_000, "x.1日" * 300_000, "word " * 50_000 + "y" * 300_000 + " end" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.n_tokens for x in token_counts.token_counts(docs, tokenizer_path(BYTES)).collect()}
+    assert got == {i: library(t) for i, t in enumerate(texts)}
+
+
 def test_empty(no_docs):
     assert token_counts.token_counts(no_docs, tokenizer_path(BYTES)).count() == 0
