@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import briefing, dedup, facts, graph, search, store
+from larkspur.operators import briefing, dedup, facts, graph, search, skew, store
+from larkspur.operators.components import components
 
 
 def vectors(spark, n, seed):
@@ -92,3 +93,25 @@ def test_upsert_and_filters(spark):
     assert {tuple(r) for r in store.upsert(base, new).collect()} == {(1, "x", 1), (2, "z", 2), (3, None, 1)}
     f = store.SessionFilter(["a"], min_confidence=0.5).overridden(include_sources=["b"])
     assert f.include_sources == ["b"] and f.min_confidence == 0.5
+
+
+@pytest.mark.parametrize("hot_keys", [1, 4, 1000])
+def test_counted_join_equals_a_plain_one(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(skew, "HOT_KEYS", hot_keys)
+    rows = spark.createDataFrame([(None if i % 29 == 0 else 0 if i % 3 else i % 17, i) for i in range(600)], "k long, i long")
+    keys = rows.where("k % 2 = 0").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("m"))
+    got = skew.join_counted(rows, keys, ["k"], rows.count())
+    assert got.columns == ["k", "i", "m"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(keys.drop("n"), "k").collect()))
+    assert skew.join_counted(rows.limit(0), keys.limit(0), ["k"], 0).isEmpty()
+
+
+def test_components_with_a_hub_and_a_chain(spark):
+    hub = [(5000, i) for i in range(100, 400)] + [(7, 5000), (7, 7), (None, 3)]
+    chain = [(i, i + 1) for i in range(6000, 6040)]
+    pair = [(9001, 9000), (9000, 9001), (9001, 9000)]
+    found = components(spark.createDataFrame(hub + chain + pair, "u long, v long"))
+    got = {r.node: r.component for r in found.collect()}
+    assert found.count() == len(got)
+    assert got == {n: 7 for n in (7, 5000, *range(100, 400))} | {n: 6000 for n in range(6000, 6041)} | {9000: 9000, 9001: 9000}
+    assert components(spark.createDataFrame([], "u long, v long")).isEmpty()
