@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import common
 from larkspur.llm.suffix_array import permuted_lcp, suffix_array
+from larkspur.operators.skew import join_counted
 
 LENGTH, GRAM = 400, 64
 MOST_WINDOWS = 4096  # of a stretch; longer ones are cut
@@ -185,18 +186,20 @@ def _spans(rows: DataFrame, length: int, gram: int, large: int) -> tuple[DataFra
 
     long_texts = rows.select("row", "text").where(F.octet_length("text") >= length)
     places = common.written(long_texts.mapInArrow(cut, "row binary, start long, windows int, anchor long, content long, repeats boolean"), "stretches")
-    anchors = places.groupBy("anchor").agg(F.count("*").alias("n"), F.max("repeats").alias("r")).where("n > 1 or r").select("anchor")
-    maybe = common.written(places.join(anchors, "anchor"), "repeated-stretches")
+    anchors = places.groupBy("anchor").agg(F.count("*").alias("n"), F.max("repeats").alias("r")).where("n > 1 or r").select("anchor", "n")
+    maybe = common.written(join_counted(places, anchors, ["anchor"], places.count()), "repeated-stretches")
+    total = maybe.count()
 
     # Equal contents: each of their bytes occurs elsewhere.
     bytes_ = F.col("windows") + F.lit(length - 1)
     distinct = maybe.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "windows", "repeats")).alias("x"))
-    equal = maybe.join(distinct.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select("row", F.col("start").alias("a"), (F.col("start") + bytes_).alias("b"))
+    copied = distinct.where("n > 1").select("anchor", "content", "n")
+    equal = join_counted(maybe, copied, ["anchor", "content"], total).select("row", F.col("start").alias("a"), (F.col("start") + bytes_).alias("b"))
 
     # One of each distinct content, where its group has another or it may repeat itself.
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("d"), F.sum(F.col("x.windows") + length - 1).alias("size"), F.max("x.repeats").alias("r")).where("d > 1 or r")
     hot = (F.col("size") > large) & F.lit(gram < length)
-    wanted = distinct.join(groups, "anchor").select("anchor", "x.row", "x.start", "x.windows", hot.alias("hot"))
+    wanted = join_counted(distinct, groups, ["anchor"], total, "d").select("anchor", "x.row", "x.start", "x.windows", hot.alias("hot"))
     per_row = maybe.select("row").distinct().join(wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "hot")).alias("wanted")), "row", "left")
     candidates = common.written(rows.select("row", "text").join(per_row, "row").dropDuplicates(["row"]), "candidates")
 
