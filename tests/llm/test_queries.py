@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_interleaved_shards": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_repeated_substrings": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_importance_resampling": "doc_id n_features weight score rank",
 }
 
 
