@@ -97,6 +97,18 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.cosine_links import cosine_links
+
+    return cosine_links(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label"), 0.98)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"), every=97, least_chars=5, least_count=3, times=2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_huffman_ids, op3_token_counts, op4_packing, op5_near_duplicates, op6_decontamination, op7_toxicity, op8_interleaved_shards, op9_repeated_substrings, op10_fingerprints, op11_importance_resampling, pipeline)
+    f.__name__: f for f in (op1_pii, op2_huffman_ids, op3_token_counts, op4_packing, op5_near_duplicates, op6_decontamination, op7_toxicity, op8_interleaved_shards, op9_repeated_substrings, op10_fingerprints, op11_importance_resampling, op12_embedding_links, op13_spelling_variants, pipeline)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,4 +158,25 @@ weights AS (SELECT r, sum(n)::BIGINT AS n_features, CAST(floor(CAST(sum(n * gain
 scored AS (SELECT r, doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (r)),
 places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, weight DESC, n_features DESC) AS rank, count(*) OVER () * 25 // 100 AS drawn FROM scored WHERE words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM scored LEFT JOIN places USING (r)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, run, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, c, {_crc32('name')} AS h FROM counted, crc_table),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+less AS (SELECT DISTINCT c.word, c.n, w.word AS other, w.n AS other_n FROM cuts c JOIN words w ON w.word = c.a || c.b),
+near AS (SELECT x.word, y.word AS other, y.n FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word UNION ALL SELECT word, other, other_n FROM less UNION ALL SELECT other, word, n FROM less),
+best AS (SELECT word, count(*) AS n_near, max(n) AS near_n, arg_min(other, struct_pack(a := -n, b := other)) AS near FROM near GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+ways AS (SELECT word, word AS top, 0 AS depth FROM formed UNION ALL SELECT ways.word, form, depth + 1 FROM ways JOIN formed f ON ways.top = f.word WHERE form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN (SELECT word, arg_max(top, depth) AS root FROM ways GROUP BY word) r ON f.word = r.word""",
+    "op12_embedding_links": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (SELECT r, r AS other FROM v UNION SELECT reach.r, b FROM reach JOIN links ON other = a),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON other = v.r GROUP BY reach.r),
+counts AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN least USING (r) LEFT JOIN counts USING (r)""",
 }

@@ -20,6 +20,8 @@ COLUMNS = {
     "op9_repeated_substrings": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op11_importance_resampling": "doc_id n_features weight score rank",
+    "op12_embedding_links": "vec_id n_links component_id kept",
+    "op13_spelling_variants": "word form root n n_near form_n",
 }
 
 
@@ -27,7 +29,10 @@ COLUMNS = {
 def test_columns(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert set(COLUMNS[name].split()) <= set(df.columns)
-    assert df.count() >= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    if "doc_id" in df.columns:
+        assert df.count() >= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    else:
+        assert not df.isEmpty()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
