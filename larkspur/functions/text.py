@@ -97,13 +97,31 @@ def topics(text: Column, most: int = 10) -> Column:
 
 def distinct_ignoring_case(items: Column) -> Column:
     """First spellings, in order."""
-    lower = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    def first(pair: Column) -> Column:
+        return F.filter(pair["items"], lambda x, i: F.array_position(pair["lower"], pair["lower"][i]) == i + 1)
+
+    with_lower = lambda x: F.struct(x.alias("items"), F.transform(x, lambda e: F.lower(e)).alias("lower"))
+    return let(items, lambda x: let(with_lower(x), first))
+
+
+WORD = r"\p{L}\p{N}_"
+
+
+def unicode_words(pattern: str) -> str:
+    """A pattern whose word characters, word ends, digits and spaces are those of all scripts,
+    where Java's own are ASCII.  A word end before a class of characters that may begin with
+    none of a word holds on either side, others on their inner side."""
+    either = f"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
+    if pattern.startswith(r"\b"):
+        pattern = (either if pattern.startswith(r"\b[\w") else f"(?<![{WORD}])") + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = f"{pattern[:-2]}(?![{WORD}])"
+    return pattern.replace(r"\w", WORD).replace(r"[^\s", r"[^\s\p{Z}\x85\x1C-\x1F").replace(r"\s+", r"[\s\p{Z}\x85\x1C-\x1F]+").replace(r"\d", r"\p{Nd}")
 
 
 def entities(text: Column, most: int = 15) -> Column:
     """Hosts, paths, names, packages and versions, first spellings, the first ``most``."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in fixed.ENTITIES]
+    found = [F.regexp_extract_all(text, F.lit(unicode_words(p)), F.lit(g)) for p, g in fixed.ENTITIES]
     found[0] = F.filter(found[0], lambda x: F.contains(x, F.lit(".")))
     return F.slice(distinct_ignoring_case(F.flatten(F.array(*found))), 1, most)
 

@@ -60,3 +60,15 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps reuse the
     files, and a lost executor costs none of them."""
     return written_at(df, scratch_path(df.sparkSession, name), compression)
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> tuple:
+    """Names, sizes and times of the files of ``paths``: another table has another one."""
+    out = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))

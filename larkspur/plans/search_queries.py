@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, text
 from larkspur.operators import briefing, dedup, facts, graph, search
-from larkspur.operators.scratch import scratch_path, written
+from larkspur.operators.keyword_index import KeywordIndex
+from larkspur.operators.scratch import fingerprint, scratch_path, written
 from larkspur.operators.store import active
 from larkspur.plans.registry import query
 from larkspur.plans.views import MEMORIES, TRIPLES, VECTORS, memories, table, triples, vectors
@@ -37,17 +38,47 @@ def _bm25(terms: list[str], mode: str, source: str = "memories WHERE status = 'a
     return f"fields AS (SELECT id, {_FIELDS[0]} AS w0, {_FIELDS[1]} AS w1, {_FIELDS[2]} AS w2 FROM {source}), words AS (SELECT *, list_concat(list_concat(w0, w1), w2) AS w FROM fields), counted AS (SELECT id, len(w) AS size, {tf} FROM words), stats AS (SELECT count(*) AS n, avg(size) AS avg_size, {df} FROM counted), hits AS (SELECT id, {score} AS score FROM counted, stats WHERE {hit})"
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str], tuple[tuple, KeywordIndex]] = {}
+
+
+def _indexed(spark, d):
+    """What the index holds of the active memories."""
+    return active(memories(spark, d)).select("id", "content", text.topics(F.col("content")).alias("topics"), F.array("platform").alias("entities"))
 
 
 def _keyword(spark, d, terms: list[str], mode: str):
-    """Search in the index of the active memories, which is written once an application."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        path = scratch_path(spark, "index")
-        search.write_index(active(memories(spark, d)).select("id", "content", text.topics(F.col("content")).alias("topics"), F.array("platform").alias("entities")), path)
-        _INDEXES[key] = path
-    return search.search_index(spark, _INDEXES[key], terms, mode)
+    """Search in an index of the active memories that an application writes once for a folder
+    and brings up to date when the files there change."""
+    key, files = (spark.sparkContext.applicationId, d), fingerprint(spark, f"{d}/documents.parquet")
+    known, index = _INDEXES.get(key, (None, None)) if key in _INDEXES else (None, KeywordIndex(spark, scratch_path(spark, "index")))
+    if known != files:
+        (index.sync if known else index.upsert)(_indexed(spark, d))
+        _INDEXES[key] = (files, index)
+    return index.search(terms, mode)
+
+
+@query("r1_index_terms", M + f"SELECT term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, unnest({_WORDS}) AS term FROM memories WHERE status = 'active') GROUP BY term HAVING count(DISTINCT id) > 5")
+def index_terms(spark, d):
+    """Builds an index of its own and reads the terms of all contents from it."""
+    index = KeywordIndex(spark, scratch_path(spark, "fresh-index"))
+    index.upsert(_indexed(spark, d))
+    return index.terms().where("docs > 5")
+
+
+_CHANGED = "WITH {0}, changed AS (SELECT id, CASE WHEN id % 7 = 3 THEN 'this the new note' ELSE content END AS content, platform FROM memories WHERE status = 'active' AND id % 11 <> 4)".format(MEMORIES)
+
+
+@query("r1_index_after_changes", f"{_CHANGED}, {_bm25(['the', 'this'], 'all', 'changed')}, {_bm25(['new', 'note'], 'phrase', 'changed').replace('fields', 'fields2').replace('words', 'words2').replace('counted', 'counted2').replace('stats', 'stats2').replace('hits', 'hits2')} SELECT 'all' AS asked, id, round(score, 6) AS score FROM hits UNION ALL SELECT 'phrase', id, round(score, 6) FROM hits2")
+def index_after_changes(spark, d):
+    """An index filled in two commits, then changed, shrunk and partly merged, searched in place."""
+    index, rows = KeywordIndex(spark, scratch_path(spark, "changing-index")), _indexed(spark, d)
+    index.upsert(rows.where("id % 2 = 0"))
+    index.upsert(rows.where("id % 2 = 1"))
+    index.upsert(rows.where("id % 7 = 3").withColumn("content", F.lit("this the new note")).withColumn("topics", F.array().cast("array<string>")))
+    index.merge(0, 2)
+    index.delete(rows.where("id % 11 = 4").select("id"))
+    out = [index.search(t, m).select(F.lit(m).alias("asked"), "id", F.round("score", 6).alias("score")) for t, m in ((["the", "this"], "all"), (["new", "note"], "phrase"))]
+    return out[0].unionByName(out[1])
 
 
 @query("r1_keyword_all", f"WITH {MEMORIES}, {_bm25(['the', 'this'], 'all')} SELECT id, round(score, 6) AS score FROM hits ORDER BY round(score, 6) DESC, id LIMIT 20")

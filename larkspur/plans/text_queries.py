@@ -133,20 +133,33 @@ def topics(spark, d):
     return memories(spark, d).select("id", F.array_join(text.topics(F.col("content")), ",").alias("topics"))
 
 
-_ENTITY_PARTS = [f"regexp_extract_all(t, {_quoted(p)}, {g})" for p, g in fixed.ENTITIES]
-_ENTITY_PARTS[0] = f"list_filter({_ENTITY_PARTS[0]}, lambda x: contains(x, '.'))"
-_ENTITY_ALL = "flatten([" + ", ".join(_ENTITY_PARTS) + "])"
+_MARKS = "regexp_replace({}, '([\\p{L}\\p{N}_]+)', chr(2) || '\\1' || chr(3), 'g')"
+
 
+def _marked(pattern: str) -> str:
+    """An entity pattern for texts in which chr(2) begins and chr(3) ends every word, as this
+    engine's own word ends are ASCII: marks stand for ends, and inside classes beside word characters."""
+    word, space = "\\p{L}\\p{N}_\x02\x03", "[\\s\\p{Z}\\x85\\x1C-\\x1F]+"
+    if pattern.startswith(r"\b[\w"):
+        pattern = pattern.replace(r"\b[", "[\x02\x03][", 1).replace(r"\.(?:", "\\.\x02(?:").replace(r"\b", "\x03")
+    elif pattern.startswith(r"\b[A-Z][a-z]{2,}"):
+        pattern = pattern.replace(r"\b", "", 1).replace(r"\b", "").replace("[A-Z][a-z]{2,}", "\x02[A-Z][a-z]{2,}\x03")
+    elif pattern.startswith(r"\b"):
+        pattern = pattern.replace(r"\b", "\x02", 1).replace(r"\b", "").replace(r"(?:\.\d+)+", "\x03(?:\\.\x02\\d+\x03)+").replace(r"\s+\d+", "\x03\\s+\x02\\d+")
+        pattern += "" if "\\d" in pattern else "\x03"
+    return pattern.replace(r"\w", word).replace(r"[^\s", "[^\\s\\p{Z}\\x85\\x1C-\\x1F\x02\x03").replace(r"\s+", space).replace(r"\d", "\\p{Nd}")
 
-def _plain(t):
-    """The two engines differ in whether accented letters end a word; here they are word characters."""
-    return F.regexp_replace(t, r"[^\x00-\x7F]", "_")
+
+#: Over marked texts t; the marks are taken out of what is found.
+_ENTITY_PARTS = [f"regexp_extract_all({'m' if p.startswith(chr(92) + 'b') else 't'}, {_quoted(_marked(p) if p.startswith(chr(92) + 'b') else _marked(p).replace(chr(2), '').replace(chr(3), ''))}, {g})" for p, g in fixed.ENTITIES]
+_ENTITY_PARTS[0] = f"list_filter({_ENTITY_PARTS[0]}, lambda x: contains(x, '.'))"
+_ENTITY_ALL = "list_transform(flatten([" + ", ".join(_ENTITY_PARTS) + "]), lambda x: replace(replace(x, chr(2), ''), chr(3), ''))"
 
 
-@query("t7_entities", M + f"SELECT id, array_to_string(list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i)[1:15], '|') AS entities FROM (SELECT id, {_ENTITY_ALL} AS e FROM (SELECT id, regexp_replace(content, '[^\x00-\x7F]', '_', 'g') || ' See https://Docs.Example.com/a and src/app' || CAST(id % 5 AS VARCHAR) || '.py, FastApi fastApi, @scope/pkg' || CAST(id % 3 AS VARCHAR) || ' on Python 3.' || CAST(id % 9 AS VARCHAR) || ' v1.' || CAST(id % 4 AS VARCHAR) || ' by New York Times ' || platform AS t FROM memories))")
+@query("t7_entities", M + f"SELECT id, array_to_string(list_filter(e, lambda x, i: list_position(l, lower(x)) = i)[1:15], '|') AS entities FROM (SELECT id, e, list_transform(e, lambda y: lower(y)) AS l FROM (SELECT id, {_ENTITY_ALL} AS e FROM (SELECT id, t, {_MARKS.replace('{}', 't')} AS m FROM (SELECT id, content || ' See https://Docs.Example.com/a and src/été' || CAST(id % 5 AS VARCHAR) || '.py, FastApi fastApi, @scope/pkg' || CAST(id % 3 AS VARCHAR) || ' on Python 3.' || CAST(id % 9 AS VARCHAR) || ' v1.' || CAST(id % 4 AS VARCHAR) || ' by New York Times ' || platform AS t FROM memories))))")
 def entities(spark, d):
     n = lambda k: (F.col("id") % k).cast("string")
-    t = F.concat(_plain(F.col("content")), F.lit(" See https://Docs.Example.com/a and src/app"), n(5), F.lit(".py, FastApi fastApi, @scope/pkg"), n(3), F.lit(" on Python 3."), n(9), F.lit(" v1."), n(4), F.lit(" by New York Times "), F.col("platform"))
+    t = F.concat("content", F.lit(" See https://Docs.Example.com/a and src/été"), n(5), F.lit(".py, FastApi fastApi, @scope/pkg"), n(3), F.lit(" on Python 3."), n(9), F.lit(" v1."), n(4), F.lit(" by New York Times "), F.col("platform"))
     return memories(spark, d).select("id", F.array_join(text.entities(t), "|").alias("entities"))
 
 
@@ -244,12 +257,12 @@ _CONFIDENCE_SQL = f"CASE WHEN {_BEST} >= 2 THEN CAST(0.85 AS DOUBLE) WHEN {_BEST
 _OF_LOWER = {k: v.replace("contains(t, k)", "contains(lower(t), k)") for k, v in {"kind": _KIND_SQL, "confidence": _CONFIDENCE_SQL}.items()}
 
 
-@query("t19_batch_text", M + f"SELECT id, length(t) AS length, {_NOISE_SQL} AS noise, {_OF_LOWER['kind']} AS kind, {_OF_LOWER['confidence']} AS confidence, least(15, len(list_distinct(list_transform({_ENTITY_ALL.replace('(t, ', '(p, ')}, lambda e: lower(e))))) AS entities FROM (SELECT id, t, {_STRIPPED} AS s, regexp_replace(t, '[^\\x00-\\x7F]', '_', 'g') AS p FROM (SELECT id, {_scrub_sql('content')} AS t FROM memories))")
+@query("t19_batch_text", M + f"SELECT id, length(t) AS length, {_NOISE_SQL} AS noise, {_OF_LOWER['kind']} AS kind, {_OF_LOWER['confidence']} AS confidence, least(15, len(list_distinct(list_transform({_ENTITY_ALL}, lambda e: lower(e))))) AS entities FROM (SELECT id, t, {_STRIPPED} AS s, {_MARKS.replace('{}', 't')} AS m FROM (SELECT id, {_scrub_sql('content')} AS t FROM memories))")
 def batch_text(spark, d):
     """Scrub, noise, class and entities of every text, in one projection."""
     clean = memories(spark, d).select("id", text.scrub(F.col("content")).alias("content"))
     kind, confidence = text.classify(F.col("content"))
-    return clean.select("id", F.length("content").alias("length"), text.is_noise(F.col("content")).alias("noise"), kind.alias("kind"), confidence.alias("confidence"), F.size(text.entities(_plain(F.col("content")))).alias("entities"))
+    return clean.select("id", F.length("content").alias("length"), text.is_noise(F.col("content")).alias("noise"), kind.alias("kind"), confidence.alias("confidence"), F.size(text.entities(F.col("content"))).alias("entities"))
 
 
 @query("t20_fences", M + "SELECT id, sha256(trim(regexp_replace(regexp_replace(trim('```json' || chr(10) || content || chr(10) || '```'), '^```[a-zA-Z]*\\s*', ''), '\\s*```$', ''))) AS body, CASE WHEN id % 2 = 0 THEN id END AS n FROM memories")
