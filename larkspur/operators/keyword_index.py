@@ -15,18 +15,18 @@ Rows are (id, content, topics, entities), with one row for each id in a commit.
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import fixed
 from larkspur.operators import scratch
+from larkspur.operators.manifests import Manifests, hadoop_path
 from larkspur.operators.search import tokens
 
 #: Neighbouring segments of one level that are merged.
@@ -36,10 +36,6 @@ FIELDS = ("content", "topics", "entities")
 WHOLE = ""
 
 
-class Conflict(RuntimeError):
-    """Another writer has published in the meantime; nothing of this commit is visible."""
-
-
 def row_hash() -> Column:
     return F.xxhash64("content", "topics", "entities")
 
@@ -80,51 +76,13 @@ def _tokenised(memories: DataFrame) -> DataFrame:
 class KeywordIndex:
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint"):
         self.spark, self.path = spark, path.rstrip("/")
+        self.manifests = Manifests(spark, self.path)
         self.schema = f"id {id_type}, field string, term string, at array<int>, size long, hash long"
         self.id_type = id_type
 
-    # Manifests -----------------------------------------------------------------------
-
-    def _fs(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
     def manifest(self) -> dict:
         """The newest published list of segments."""
-        fs, home = self._fs(), self._at("manifests")
-        if not fs.exists(home):
-            return {"version": 0, "segments": [], "n": 0, "size": 0}
-        names = [s.getPath().getName() for s in fs.listStatus(home)]
-        newest = max((x for x in names if x.endswith(".json") and not x.startswith(".")), default=None)
-        if newest is None:
-            return {"version": 0, "segments": [], "n": 0, "size": 0}
-        stream = fs.open(self._at(f"manifests/{newest}"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, manifest: dict) -> None:
-        """Make ``manifest`` the newest, if its number is still free."""
-        jvm, fs = self.spark._jvm, self._fs()
-        fs.mkdirs(self._at("manifests"))
-        draft = self._at(f"manifests/.draft-{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration())
-        target = self._at(f"manifests/{manifest['version']:012d}.json")
-        try:
-            context.rename(fs.makeQualified(draft), fs.makeQualified(target), none)
-        except Exception as error:
-            fs.delete(draft, False)
-            if fs.exists(target):
-                raise Conflict(f"version {manifest['version']} of {self.path} is taken") from error
-            raise
+        return self.manifests.newest() or {"version": 0, "segments": [], "n": 0, "size": 0}
 
     # Reading ---------------------------------------------------------------------------
 
@@ -225,7 +183,7 @@ class KeywordIndex:
             scratch.discard(self.spark, path)
             return
         entry = {"seq": seq, "level": 0, "path": path, "files": self._files(path) if added.n else [], "deletes": bool(gone.n)}
-        self._publish({"version": seq, "segments": [*manifest["segments"], entry], "n": manifest["n"] - gone.n + added.n, "size": manifest["size"] - gone.size + added.size})
+        self.manifests.publish(seq, {"segments": [*manifest["segments"], entry], "n": manifest["n"] - gone.n + added.n, "size": manifest["size"] - gone.size + added.size})
         self._merge_full_levels()
 
     def _write_postings(self, rows: DataFrame, path: str) -> None:
@@ -264,18 +222,16 @@ class KeywordIndex:
             ids = ids.unionByName(self.spark.read.schema(f"id {self.id_type}").parquet(f"{s['path']}/deletes"))
         ids.distinct().write.parquet(f"{path}/deletes")
         entry = {"seq": chosen[-1]["seq"], "level": max(s["level"] for s in chosen) + 1, "path": path, "files": self._files(path), "deletes": bool(gone)}
-        self._publish(manifest | {"version": manifest["version"] + 1, "segments": [*segments[:first], entry, *segments[end:]]})
+        self.manifests.publish(manifest["version"] + 1, manifest | {"segments": [*segments[:first], entry, *segments[end:]]})
 
     def vacuum(self) -> None:
         """Delete what the newest manifest does not name; nothing may still read or write older ones."""
-        manifest, fs = self.manifest(), self._fs()
-        named = {s["path"].rsplit("/", 1)[1] for s in manifest["segments"]}
-        for status in fs.listStatus(self._at("")):
+        named = {s["path"].rsplit("/", 1)[1] for s in self.manifest()["segments"]}
+        fs, home = hadoop_path(self.spark, self.path)
+        for status in fs.listStatus(home):
             if status.getPath().getName().startswith("segment-") and status.getPath().getName() not in named:
                 fs.delete(status.getPath(), True)
-        for status in fs.listStatus(self._at("manifests")):
-            if status.getPath().getName() != f"{manifest['version']:012d}.json":
-                fs.delete(status.getPath(), False)
+        self.manifests.forget_older()
 
 
 def _minus(i: int):

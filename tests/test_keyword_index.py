@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import keyword_index
-from larkspur.operators.keyword_index import Conflict, KeywordIndex
+from larkspur.operators.keyword_index import KeywordIndex
+from larkspur.operators.manifests import Conflict
 from larkspur.operators.search import keyword
 from larkspur.plans import search_queries
 
