@@ -35,6 +35,8 @@ from larkspur.llm import common
 SHARD_CHARS, GROUP_BYTES, TASK_WORDS = 1 << 20, 32 << 20, 4000
 #: Distinct words, and their characters, that a task holds before it hands on their counts.
 HELD_WORDS, HELD_CHARS = 200_000, 8 << 20
+#: Words of more characters are walked with sets of states.
+LONG = 64
 RUN = re.compile("[a-zÀ-ÿ]+")
 _TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -105,8 +107,66 @@ class Trie:
     def near(self, word: str) -> Iterator[tuple[str, int]]:
         """(other, count) of every word exactly one insertion, deletion or replacement away.
 
-        States of the automaton at a node: ``exact``, whether its path is the word's own
-        beginning, and the positions in the word that one edit has led to."""
+        A depth-first walk along the states of the word's automaton: the path on which no edit is
+        used yet, and at each of its nodes the walks after one edit.  Those are followed at once, as a
+        single state admits one label; words over ``LONG``, whose walks may overlap for long, are
+        followed with sets of states."""
+        if len(word) > LONG:
+            yield from self._near_long(word)
+            return
+        starts, find, counts, size = self.starts, self.labels.find, self.counts, len(word)
+        node, seen = 0, set()
+        for depth in range(size + 1):
+            first, end = starts[node], starts[node + 1]
+            if depth < size:
+                own, after = word[depth], word[depth + 1 : depth + 2]
+                exact = find(own, first, end)
+                v = node
+                for label in word[depth + 1 :]:  # own is left out
+                    v = find(label, starts[v], starts[v + 1])
+                    if v < 0:
+                        break
+                else:
+                    if counts[v] and v not in seen:
+                        seen.add(v)
+                        yield word[:depth] + word[depth + 1 :], counts[v]
+                for child in range(first, end):
+                    low, high = starts[child], starts[child + 1]
+                    v = find(own, low, high)
+                    if v >= 0:  # the child is inserted
+                        for label in word[depth + 1 :]:
+                            v = find(label, starts[v], starts[v + 1])
+                            if v < 0:
+                                break
+                        else:
+                            if counts[v] and v not in seen:
+                                seen.add(v)
+                                yield word[:depth] + self.labels[child] + word[depth:], counts[v]
+                    if child == exact:
+                        continue
+                    if not after:
+                        v = child
+                    elif (v := find(after, low, high)) < 0:
+                        continue
+                    for label in word[depth + 2 :]:  # the child takes the place of own
+                        v = find(label, starts[v], starts[v + 1])
+                        if v < 0:
+                            break
+                    else:
+                        if counts[v] and v not in seen:
+                            seen.add(v)
+                            yield word[:depth] + self.labels[child] + word[depth + 1 :], counts[v]
+                if exact < 0:
+                    return
+                node = exact
+            else:
+                for child in range(first, end):
+                    if counts[child] and child not in seen:
+                        yield word + self.labels[child], counts[child]
+
+    def _near_long(self, word: str) -> Iterator[tuple[str, int]]:
+        """``near`` in time proportional to the word: states at a node are ``exact``, whether its
+        path is the word's own beginning, and the positions in the word that one edit has led to."""
         labels, starts, counts, size = self.labels, self.starts, self.counts, len(word)
         path = [""] * (size + 1)
         stack: list[tuple[int, int, bool, tuple[int, ...]]] = [(0, 0, True, ())]
@@ -187,7 +247,7 @@ def neighbours(words: DataFrame, total: int) -> DataFrame:
     their number and the most frequent one, the smaller of equals."""
     spark = words.sparkSession
     parts = -(-total // TASK_WORDS)
-    tries = common.written(shards(words, -(-total // 50_000)).withColumn("id", F.monotonically_increasing_id()), "tries")
+    tries = common.written(shards(words, -(-total // 100_000)).withColumn("id", F.monotonically_increasing_id()), "tries")
     path = common.scratch_path(spark, "near-words")
     schema = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("near_n", pa.int64()), ("near", pa.string())])
     # One row for each shard of a million characters, without its trie.

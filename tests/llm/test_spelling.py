@@ -50,8 +50,10 @@ def rows(df):
     return sorted(str(tuple(r)) for r in df.select("word", "form", "root", "n", "n_near", "form_n").collect())
 
 
+@pytest.mark.parametrize("long", [0, 64])
 @pytest.mark.parametrize("alphabet", ["ab", "abcé÷×ÿ", "aあ\U0001f600b"])
-def test_trie(alphabet):
+def test_trie(monkeypatch, alphabet, long):
+    monkeypatch.setattr(spelling, "LONG", long)
     r = random.Random(3)
     words = {"".join(r.choice(alphabet) for _ in range(r.randint(1, 7))): r.randint(1, 9) for _ in range(80)}
     trie = Trie(*Trie.columns(words))
