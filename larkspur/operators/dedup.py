@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.components import components
-from larkspur.operators.scratch import written
+from larkspur.operators.scratch import discard, scratch_path, written, written_at
+from larkspur.operators.skew import join_counted
 
 BLOCK_ROWS = 8192
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
@@ -117,33 +118,66 @@ def recomputed_importance(age_days: Column, accesses: Column, half_life: float)
     return F.round(F.least(value, F.lit(1.0)), 4)
 
 
-def greedy_merges(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(kept, gone) by walking each platform's rows from newest to oldest: of a pair the
-    less confident goes (the current row stays on ties), and what is gone is skipped.
-    A group is one connected component of a platform's pairs, which the walk never leaves;
-    a component is walked by one task, however large it is."""
+#: Pairs that are left to the walk in tasks, component by component; more are settled in rounds.
+WALKED_PAIRS = 100_000
+
+
+def greedy_merges(pairs: DataFrame, rows: DataFrame, walked: int | None = None) -> DataFrame:
+    """(kept, gone) by walking each platform's rows from newest to oldest: a row that is gone when
+    its turn comes is skipped; in its turn it meets its partners (b of its pairs) that are not yet
+    gone, most alike first, and of each two the less confident goes (the partner on ties).
+
+    Turns depend on earlier ones only through rows they share.  A round settles at once all turns
+    that come first for each of their rows, drops the pairs of rows that went, and leaves the rest
+    to the next round, so it is joins and aggregations whatever the size of a component.  When at
+    most ``walked`` pairs are left their components are walked in tasks."""
+    spark = pairs.sparkSession
+    walked = WALKED_PAIRS if walked is None else walked
     info = rows.select("id", "platform", "confidence", "created_minute")
     a, b = (info.select(*[F.col(c).alias(f"{s}_{c}") for c in info.columns]) for s in ("a", "b"))
-    full = pairs.join(a, pairs["a"] == F.col("a_id")).join(b, pairs["b"] == F.col("b_id")).where("a_platform = b_platform")
+    full = pairs.join(a, pairs["a"] == F.col("a_id")).join(b, pairs["b"] == F.col("b_id")).where("a_platform = b_platform and a <> b")
+    turn = F.struct((-F.col("a_created_minute")).alias("newest"), F.col("a").alias("id")).alias("turn")
+    at = scratch_path(spark, "merge-pairs")
+    left = written_at(full.select("a", "b", "score", (F.col("a_confidence") >= F.col("b_confidence")).alias("stays"), turn), at)
+    merges = pairs.sparkSession.createDataFrame([], MERGE)
+    kept = F.when(F.col("stays"), F.col("a")).otherwise(F.col("b")).alias("kept")
+    gone = F.when(F.col("stays"), F.col("b")).otherwise(F.col("a")).alias("gone")
+    while (n := left.count()) > walked:
+        touched = left.select(F.col("a").alias("v"), "a", "turn").unionByName(left.select(F.col("b").alias("v"), "a", "turn"))
+        first = touched.groupBy("v").agg(F.min("turn").alias("first"), F.count("*").alias("n"))
+        waiting = join_counted(touched, first, ["v"], 2 * n).where("turn > first").select("a").distinct()
+        settled = written(left.join(waiting, "a", "left_anti").select(kept, gone, "a"), "merged")
+        merges = merges.unionByName(settled.select("kept", "gone"))
+        lost = settled.select("gone").distinct()
+        rest = left.join(waiting, "a", "left_semi").join(lost, F.col("a") == F.col("gone"), "left_anti").join(lost, F.col("b") == F.col("gone"), "left_anti")
+        before, at = at, scratch_path(spark, "merge-pairs")
+        left = written_at(rest, at)
+        discard(spark, before)
+    return merges.unionByName(_walked(left)) if n else merges
+
+
+def _walked(left: DataFrame) -> DataFrame:
+    """The same walk over each connected component in a task."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         gone: set[int] = set()
         out = []
-        pdf = pdf.sort_values(["a_created_minute", "a", "score", "b"], ascending=[False, True, False, True])
+        pdf = pdf.sort_values(["newest", "a", "score", "b"], ascending=[True, True, False, True])
         for current, group in pdf.groupby("a", sort=False):
+            if current in gone:
+                continue
             for r in group.itertuples():
-                if current in gone:
-                    break
-                if r.b in gone:
-                    continue
-                kept, lost = (current, r.b) if r.a_confidence >= r.b_confidence else (r.b, current)
-                gone.add(lost)
-                out.append((kept, lost))
+                if r.b not in gone:
+                    out.append((current, r.b) if r.stays else (r.b, current))
+                    gone.add(out[-1][1])
         return pd.DataFrame(out, columns=["kept", "gone"])
 
-    linked = written(full.select("a", "b", "score", "a_confidence", "b_confidence", "a_created_minute"), "merge-pairs")
-    named = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "merge-groups")
-    return linked.join(named, linked["a"] == named["node"]).drop("node").groupBy("component").applyInPandas(walk, "kept long, gone long")
+    named = components(left.select(F.col("a").alias("u"), F.col("b").alias("v")), "merge-groups")
+    grouped = left.select("a", "b", "score", "stays", F.col("turn.newest").alias("newest")).join(named, left["a"] == named["node"]).drop("node")
+    return grouped.groupBy("component").applyInPandas(walk, MERGE)
+
+
+MERGE = "kept long, gone long"
 
 
 def without_near(new: DataFrame, near: DataFrame, overlap: Column, score: float, least_overlap: float) -> DataFrame:

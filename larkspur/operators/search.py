@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import fixed
+from larkspur.functions import fixed, text
 
 
 def tokens(text: Column) -> Column:
@@ -84,6 +86,33 @@ def decay(age_days: Column, half_life: float = fixed.HALF_LIFE_DAYS) -> Column:
     return F.pow(F.lit(0.5), age_days / half_life) if half_life > 0 else F.lit(1.0)
 
 
+@dataclass(frozen=True)
+class Intent:
+    """What a question implies: memory types, how many days back, and its words without the phrases
+    that said so (the question itself if it implies nothing)."""
+
+    types: list[str]
+    days: int | None
+    query: str
+
+    @property
+    def terms(self) -> list[str]:
+        return self.query.lower().split()
+
+
+def intent(spark: SparkSession, question: str) -> Intent:
+    row = spark.range(1).select(F.lit(question).alias("q")).select(text.implied_types(F.col("q")).alias("types"), text.since_days(F.col("q")).alias("days"), text.clean_query(F.col("q")).alias("clean")).first()
+    implied = bool(row.types) or row.days is not None
+    return Intent(list(row.types), row.days, row.clean if implied else question)
+
+
+def intended(memories: DataFrame, what: Intent) -> DataFrame:
+    """The memories that an intent allows."""
+    if what.types:
+        memories = memories.where(F.col("content_type").isin(what.types))
+    return memories if what.days is None else memories.where(F.col("age_days") <= what.days)
+
+
 def hybrid(memories: DataFrame, semantic: DataFrame, words: DataFrame, graph: DataFrame, limit: int, half_life: float = fixed.HALF_LIFE_DAYS) -> DataFrame:
     """Reciprocal rank fusion of three legs, weighted by importance and age.
 

@@ -1,4 +1,6 @@
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,7 +34,32 @@ def test_greedy_merges_stay_in_their_platform(spark, sf_dir):
     platform = {r.id: r.platform for r in views.vectors(spark, sf_dir).select("id", "platform").collect()}
     found = catalog.QUERIES["d7_greedy_merges"](spark, sf_dir).collect()
     assert found and all(platform[r.kept] == platform[r.gone] for r in found)
-    assert len({r.gone for r in found}) == len(found)
+    assert len({(r.kept, r.gone) for r in found}) == len(found)
+
+
+def greedy_by_turns(pairs, rows):
+    info = {i: (p, c, m) for i, p, c, m in rows}
+    gone, out = set(), []
+    for i in sorted(info, key=lambda i: (-info[i][2], i)):
+        if i in gone:
+            continue
+        for a, b, _ in sorted((x for x in pairs if x[0] == i), key=lambda x: (-x[2], x[1])):
+            if a != b and b in info and b not in gone and info[a][0] == info[b][0]:
+                out.append((a, b) if info[a][1] >= info[b][1] else (b, a))
+                gone.add(out[-1][1])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("walked", [0, 40, None])
+def test_greedy_merges_equal_the_walk(spark, walked):
+    for seed in range(2):
+        r = random.Random(seed)
+        rows = [(i, f"p{r.randrange(2)}", r.choice([0.5, 0.7, 0.9]), r.randrange(30)) for i in range(90)]
+        pairs = [(a, b, r.choice([0.93, 0.95, 0.99])) for a in range(90) for b in r.sample(range(95), 4)] + [(7, b, 0.94) for b in range(60)]
+        pairs = list({(a, b): (a, b, s) for a, b, s in pairs}.values())
+        got = dedup.greedy_merges(spark.createDataFrame(pairs, "a long, b long, score double"), spark.createDataFrame(rows, "id long, platform string, confidence double, created_minute long"), walked)
+        assert sorted(map(tuple, got.collect())) == greedy_by_turns(pairs, rows)
+
 
 
 def test_diverse_selection_keeps_pins_and_avoids_likeness(spark):
