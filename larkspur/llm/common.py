@@ -20,10 +20,17 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.scratch import clear_scratch, discard, scratch_base, scratch_path, small_arrow, written, written_at  # noqa: F401
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_number() -> Column:
+    """A number of the row in its partition of the input, as the last of several sort keys: rows
+    that are alike in all others, however many, then spread over partitions."""
+    return F.monotonically_increasing_id()
+
+
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -154,7 +154,9 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
             yield out()
 
     (
-        ids.withColumn("h", F.xxhash64("ids")).repartitionByRange("doc_id", "h")
+        ids.withColumn("h", F.xxhash64("ids"))
+        .withColumn("n", common.row_number())
+        .repartitionByRange("doc_id", "h", "n")
         .sortWithinPartitions("doc_id", "h", "ids")
         .select("doc_id", "ids")
         .mapInArrow(code_partition, BLOCK_SCHEMA)
