@@ -141,7 +141,7 @@ def pack(ids: DataFrame, closes: np.ndarray, size: int = 4096) -> DataFrame:
         if docs:
             yield out()
 
-    pieces = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids").mapInArrow(run, PIECES)
+    pieces = ids.withColumn("h", F.xxhash64("ids")).withColumn("n", common.row_number()).repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids").mapInArrow(run, PIECES)
     pieces = common.written(pieces, "pieces")
     # One row per stream (some two million ids), so these running totals stay small.
     streams = pieces.groupBy("part", "stream").agg((F.max("sequence") + 1).alias("n"))
