@@ -25,7 +25,8 @@ PART_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 def _placed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` in range order of ``keys``, with its partition ``_part`` and place ``_at`` therein."""
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
+    numbered = df.withColumn("_n", common.row_number())
+    ordered = numbered.repartitionByRange(*keys, "_n").sortWithinPartitions(*keys, "_n").drop("_n").withColumn("_m", F.monotonically_increasing_id())
     ordered = ordered.withColumn("_part", F.shiftright("_m", PART_BITS)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << PART_BITS) - 1))).drop("_m")
     return common.written(ordered, name)
 
