@@ -111,7 +111,7 @@ def fingerprints_with_next(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(schema.names, (part, held[0], *[None] * 6, None, held[1]), strict=True)}, schema=schema)
 
-    ordered = common.keyed_texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(F.desc("doc_id"), "h").sortWithinPartitions(F.desc("doc_id"), "h", "text").drop("h")
+    ordered = common.keyed_texts(docs).withColumn("h", F.xxhash64("text")).withColumn("n", common.row_number()).repartitionByRange(F.desc("doc_id"), "h", "n").sortWithinPartitions(F.desc("doc_id"), "h", "text").drop("h", "n")
     rows = common.written(ordered.mapInArrow(run, ROW + ", first_text string, last_text string"), "fingerprints")
     # Only the ends of partitions remain: one text at each end.
     parts = rows.where("first_text is not null").select("part")
