@@ -25,11 +25,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
 from larkspur.operators.components import components
+from larkspur.operators.skew import join_counted
 
 LARGE = 8192
 
@@ -126,7 +127,7 @@ def links(distinct: DataFrame, radius: int = 2, large: int = LARGE) -> DataFrame
     literal = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(tables)])
     keyed = distinct.select("fp", F.explode(literal).alias("x")).select("fp", F.col("x.t").alias("t"), F.col("x.mask").bitwiseAND(F.col("fp")).alias("key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keyed.join(sizes, ["t", "key"])
+    sized = join_counted(keyed, sizes.withColumn("held", F.col("n")), ["t", "key"], distinct.count() * len(tables)).withColumnRenamed("held", "n")
     small = sized.where(F.col("n") <= large).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
     found = _bucket_links(small, radius)
     free = [[i for i in range(64) if not m >> i & 1] for m in tables]
@@ -141,11 +142,13 @@ def links(distinct: DataFrame, radius: int = 2, large: int = LARGE) -> DataFrame
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, large: int = LARGE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
     prints = common.written(fingerprints(docs, words), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct-fingerprints")
     grouped = components(links(distinct.select("fp"), radius, large).distinct(), "links")
     classes = distinct.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    total = prints.count()
+    named = join_counted(classes, least, ["component"], total).select("fp", "rows", "component_id")
+    return join_counted(prints, named, ["fp"], total, "rows").select("doc_id", "fp", "component_id")
 
 
 # Similarity of shingle sets ----------------------------------------------------------
@@ -290,7 +293,8 @@ def similar_rows(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST
     # compared by their sketches inside tasks, which join them to clusters.
     nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = common.written(keyed.select("*", F.count("*").over(Window.partitionBy("key")).alias("size")).where("size > 1"), "buckets")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = common.written(join_counted(keyed.withColumnRenamed("n", "held"), sizes.withColumn("size", F.col("n")), ["key"], rows.count() * BANDS).withColumnRenamed("held", "n"), "buckets")
     told = nodes.select("node", "text_key", "n", "sketch").join(buckets.select("node").distinct(), "node", "left_semi")
     told = common.written(told, "candidates")
     dealt = _in_parts(buckets, F.ceil(F.col("size") * 2 / large)).join(told.select("node", "sketch"), "node")
@@ -306,9 +310,12 @@ def similar_rows(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST
     links = _forests(held, ["cluster", "p", "q"], ["node", "n", "part", "sketch", "shingles"], least, LEAST_SAME)
 
     row = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
-    groups = rows.groupBy("node").agg(F.min(row).alias("first")).join(components(links, "set-links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = groups.select("node", "component").join(groups.groupBy("component").agg(F.min("first").alias("first")), "component").select("node", "first")
-    return rows.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "first")
+    held = rows.groupBy("node").agg(F.min(row).alias("first"), F.count("*").alias("rows"))
+    groups = common.written(held.join(components(links, "set-links"), "node", "left").withColumn("component", F.coalesce("component", "node")), "groups")
+    total = rows.count()
+    least = groups.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    named = join_counted(groups.select("node", "rows", "component"), least, ["component"], total).select("node", "rows", "first")
+    return join_counted(rows.select("doc_id", "text_key", "node"), named, ["node"], total, "rows").select("doc_id", "text_key", "first")
 
 
 def hexed(name: str = "fp"):
