@@ -89,12 +89,17 @@ def rule_type(text: Column) -> Column:
     return out.otherwise("raw_exchange")
 
 
-def topics(text: Column, most: int = 10) -> Column:
+def topics(text: Column, most: int = 10, words: list[str] = fixed.TOPICS) -> Column:
     """Topic keywords in the text, alphabetically, the first ``most``."""
-    found = let(F.lower(text), lambda lower: F.filter(F.array(*[F.lit(w) for w in fixed.TOPICS]), lambda w: F.contains(lower, w)))
+    found = let(F.lower(text), lambda lower: F.filter(F.array(*[F.lit(w) for w in sorted(words)]), lambda w: F.contains(lower, w)))
     return F.slice(found, 1, most)
 
 
+def tech_topics(text: Column, most: int = 10) -> Column:
+    """The same with the longer list of the heuristic extraction."""
+    return topics(text, most, fixed.TECH_TOPICS)
+
+
 def distinct_ignoring_case(items: Column) -> Column:
     """First spellings, in order."""
     def first(pair: Column) -> Column:

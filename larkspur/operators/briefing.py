@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import fixed
 from larkspur.operators.dedup import nearest
-from larkspur.operators.scratch import written
+from larkspur.operators.scratch import discard, scratch_path, written, written_at
 from larkspur.operators.search import cosine
 
 MOST_CANDIDATES = 300
+#: Steps of a selection after which likeness is written down.
+HELD = 8
 
 
-def score(importance: Column, age_days: Column, pinned: Column, cluster: Column, skill: Column) -> Column:
-    w = fixed.BRIEFING_WEIGHTS
+def score(importance: Column, age_days: Column, pinned: Column, cluster: Column, skill: Column, w: dict[str, float] = fixed.BRIEFING_WEIGHTS) -> Column:
     return w["importance"] * importance + w["recency"] * F.exp(-F.greatest(age_days, F.lit(0.0)) / 30.0) + w["pinned"] * pinned.cast("double") + w["cluster"] * cluster + w["skill"] * skill.cast("double")
 
 
@@ -37,9 +38,9 @@ def select_diverse(candidates: DataFrame, k: int, balance: float = 0.5) -> DataF
     """(id, score) by maximal marginal relevance over all rows (id, score, is_pinned,
     vector): pinned ones always stay, ties go to the higher score, then the earlier id.
 
-    Each of at most ``k`` steps takes the best row that is not pinned; what is kept of a
-    row between steps is the greatest likeness to the rows taken.  Likeness to pinned rows
-    comes from blocks of both sides in tasks.
+    Each of at most ``k`` steps takes the best row that is not pinned.  Between steps only the rows
+    taken are kept, and every ``HELD`` steps what all others are alike to so far, in place of the
+    table before.  Likeness to pinned rows comes from blocks of both sides in tasks.
     """
     if k <= 0:
         return candidates.select("id", "score").limit(0)
@@ -58,18 +59,31 @@ def select_diverse(candidates: DataFrame, k: int, balance: float = 0.5) -> DataF
         rest = rest.withColumn("alike", F.lit(0.0))
     else:
         rest = rest.join(alike, "id", "left").withColumn("alike", F.greatest(F.coalesce("alike", F.lit(0.0)), F.lit(0.0)))
-    rest = written(rest, "diverse-rest")
+    spark, at = rows.sparkSession, scratch_path(rows.sparkSession, "diverse-rest")
+    rest = written_at(rest, at)
     taken: list[tuple[int, float]] = []
-    for _ in range(steps):
+    for step in range(steps):
         best = rest.orderBy(F.desc(F.lit(balance) * F.col("score") - F.lit(1 - balance) * F.col("alike")), F.desc("score"), "id").first()
         if best is None:
             break
         taken.append((best.id, best.score))
         vector = F.lit(None).cast("array<double>") if best.vector is None else F.array(*[F.lit(float(x)) for x in best.vector]).cast("array<double>")
-        rest = written(rest.where(F.col("id") != best.id).withColumn("alike", F.greatest("alike", cosine(F.col("vector"), vector))), "diverse-rest")
+        rest = rest.where(F.col("id") != best.id).withColumn("alike", F.greatest("alike", cosine(F.col("vector"), vector)))
+        if step % HELD == HELD - 1:
+            before, at = at, scratch_path(spark, "diverse-rest")
+            rest = written_at(rest, at)
+            discard(spark, before)
     return pinned.unionByName(rows.sparkSession.createDataFrame(taken, pinned.schema)) if taken else pinned
 
 
+def compact(memories: DataFrame, since_minute: int, limit: int = 5) -> DataFrame:
+    """The newest active memories from ``since_minute`` on, or, where there is none, the most
+    important ones of all times."""
+    recent = memories.where(F.col("created_minute") >= since_minute).orderBy(F.desc("created_minute"), "id").limit(limit)
+    top = memories.orderBy(F.desc("importance"), F.desc("created_minute"), "id").limit(limit)
+    return recent.unionByName(top.join(F.broadcast(recent.agg(F.count("*").alias("_n")))).where("_n = 0").drop("_n"))
+
+
 def weights(*layers: dict[str, object]) -> dict[str, float]:
     """The default weights under layers of which later ones win; unknown names and values
     that are no numbers are ignored, negative ones refused."""

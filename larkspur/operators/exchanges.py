@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import distinct_ignoring_case
+
 
 def exchanges(turns: DataFrame, any_reply: bool = False) -> DataFrame:
     """(conv_id, exchange, text, n_turns, has_user, has_reply) in turn order.  Roles other
@@ -42,6 +44,36 @@ def summaries(chunks: DataFrame, topics: Column, least: int = 3, first: int = 5)
     return kept.select("conv_id", "n", F.array_join(F.transform(F.slice("heads", 1, first), lambda x: x["head"]), "\n").alias("summary"), "topics", F.lit(0.85).alias("confidence"))
 
 
+def log_summaries(chunks: DataFrame, topics: Column, least: int = 3, first: int = 5) -> DataFrame:
+    """The summaries of line-wise session logs: the count, a line of topics, and of each of the
+    ``first`` chunks its first line of over 30 characters, cut at 150."""
+    line = F.element_at(F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: F.length(s) > 30), 1)
+    grouped = chunks.groupBy("conv_id").agg(
+        F.count("*").alias("n"),
+        F.array_sort(F.collect_list(F.struct("exchange", F.substring(line, 1, 150).alias("head")))).alias("heads"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(topics)))), 1, 15).alias("topics"),
+    )
+    points = F.transform(F.filter(F.slice("heads", 1, first), lambda x: x["head"].isNotNull()), lambda x: F.concat(F.lit("- "), x["head"]))
+    parts = F.array(
+        F.concat(F.lit("Conversation with "), F.col("n").cast("string"), F.lit(" exchanges.")),
+        F.when(F.size("topics") > 0, F.concat(F.lit("Topics: "), F.array_join("topics", ", "))),
+        F.when(F.size(points) > 0, F.concat(F.lit("Key points:\n"), F.array_join(points, "\n"))),
+    )
+    return grouped.where(F.col("n") >= least).select("conv_id", "n", F.array_join(F.array_compact(parts), "\n\n").alias("summary"), "topics", F.lit(0.85).alias("confidence"))
+
+
+def skills(memories: DataFrame) -> DataFrame:
+    """(session_id, name, description, content, tags) of sessions from memories (session_id, place,
+    content, topics): topics once each ignoring case, in the order in which they come up."""
+    grouped = memories.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("place", "content", "topics"))).alias("m"))
+    topics = distinct_ignoring_case(F.flatten(F.transform("m", lambda x: x["topics"])))
+    rows = grouped.select("session_id", F.size("m").alias("n"), topics.alias("t"), F.transform("m", lambda x: F.trim(x["content"])).alias("bodies"))
+    three = F.slice("t", 1, 3)
+    kebab = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.array_join(three, "-"))), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 60)
+    about = F.concat(F.lit("Auto-extracted from "), F.col("n").cast("string"), F.lit(" memories"), F.when(F.size("t") > 0, F.concat(F.lit(" covering "), F.array_join(three, ", "))).otherwise(""))
+    return rows.select("session_id", F.when(kebab == "", "extracted-skill").otherwise(kebab).alias("name"), F.substring(about, 1, 240).alias("description"), F.array_join(F.filter("bodies", lambda b: b != ""), "\n\n---\n\n").alias("content"), F.slice("t", 1, 10).alias("tags"))
+
+
 def extractive_summaries(turns: DataFrame, keywords: list[str]) -> DataFrame:
     """(conv_id, summary): of the first 20 sentences of at least five words, the third, three
     to five of them, that score best by place and share of ``keywords``, in their order.

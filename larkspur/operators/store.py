@@ -83,6 +83,20 @@ def access_counts(df: DataFrame, log: DataFrame) -> DataFrame:
     return df.join(seen, "id", "left").withColumn("access_count", F.col("access_count") + F.coalesce("_n", F.lit(0))).drop("_n")
 
 
+def members_added(members: DataFrame, new: DataFrame) -> DataFrame:
+    """Members (collection, id, position) with new ones (collection, id) behind the last of their
+    collection in order of id; one that is present stays where it is."""
+    absent = new.select("collection", "id").distinct().join(members.select("collection", "id"), ["collection", "id"], "left_anti")
+    last = members.groupBy("collection").agg(F.max("position").alias("_last"))
+    order = Window.partitionBy("collection").orderBy("id")
+    placed = absent.join(last, "collection", "left").select("collection", "id", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(order)).alias("position"))
+    return members.select("collection", "id", "position").unionByName(placed)
+
+
+def members_removed(members: DataFrame, gone: DataFrame) -> DataFrame:
+    return members.join(gone.select("collection", "id"), ["collection", "id"], "left_anti")
+
+
 def facet(df: DataFrame, column: str) -> DataFrame:
     """Counts and percentage of all rows, one decimal."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))

@@ -43,7 +43,7 @@ def fuzzy_parts(spark, d):
 
 
 _ASKED = "what did we decide about the rag last week"
-_AGED = "CAST(44640 - id * 40 AS DOUBLE) / CAST(1440 AS DOUBLE)"
+_AGED = "CAST(44640 - id * 200 AS DOUBLE) / CAST(1440 AS DOUBLE)"
 
 
 @query("r4_hybrid_intent", f"""WITH {_EDGES}, {VECTORS}, aged AS (SELECT * REPLACE ({_AGED} AS age_days) FROM memories WHERE status = 'active'), wanted AS (SELECT * FROM aged WHERE content_type = 'decision' AND age_days <= 14),

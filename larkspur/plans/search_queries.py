@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, text
-from larkspur.operators import briefing, dedup, facts, graph, search
+from larkspur.operators import briefing, dedup, exchanges, facts, graph, search
 from larkspur.operators.keyword_index import KeywordIndex
 from larkspur.operators.scratch import fingerprint, scratch_path, written
 from larkspur.operators.store import active
@@ -447,14 +447,14 @@ _SCORE = f"0.30::DOUBLE * importance + 0.25::DOUBLE * exp(-greatest(age_days, 0)
 _SCORED = f"{MV}, scored AS (SELECT m.id, is_pinned, created_minute, {_SCORE.replace('platform]', 'm.platform]')} AS score FROM (SELECT * FROM memories WHERE status = 'active') m LEFT JOIN vectors v ON m.id = v.id, (SELECT {_MEAN} AS mean))"
 
 
-def _scored(spark, d):
+def _scored(spark, d, w=fixed.BRIEFING_WEIGHTS):
     v = vectors(spark, d).select("id", "vector")
     mean = briefing.centroid(v).select(F.col("vector").alias("mean"))
     rows = active(memories(spark, d)).join(v, "id", "left").join(F.broadcast(mean))
     cluster = F.greatest(F.lit(0.0), F.least(F.lit(1.0), search.cosine(F.col("vector"), F.col("mean"))))
     names = F.concat(text.topics(F.col("content")), F.array("platform"))
     skill = F.arrays_overlap(F.transform(names, lambda x: F.lower(x)), F.array(*[F.lit(s) for s in _SKILLS]))
-    return rows.select("id", "is_pinned", "created_minute", "vector", briefing.score(F.col("importance"), F.col("age_days"), F.col("is_pinned"), cluster, skill).alias("score"))
+    return rows.select("id", "is_pinned", "created_minute", "vector", briefing.score(F.col("importance"), F.col("age_days"), F.col("is_pinned"), cluster, skill, w).alias("score"))
 
 
 @query("b1_scores", _SCORED + " SELECT id, round(score, 6) AS score FROM scored")
@@ -498,6 +498,16 @@ def skill_tags(spark, d):
     return memories(spark, d).groupBy("session_id").agg(F.array_join(tags, ",").alias("tags"))
 
 
+_TOPIC_ROWS = f"SELECT session_id, id, topic, place FROM (SELECT session_id, id, unnest(t) AS topic, generate_subscripts(t, 1) AS place FROM (SELECT session_id, id, {_TOPICS} AS t FROM memories))"
+
+
+@query("b12_skills", M + f", t AS ({_TOPIC_ROWS}), u AS (SELECT session_id, list(topic ORDER BY id, place) AS t FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY session_id, topic ORDER BY id, place) = 1) GROUP BY session_id), b AS (SELECT session_id, count(*) AS n, string_agg(trim(content), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id) FILTER (WHERE trim(content) <> '') AS content FROM memories GROUP BY session_id) SELECT b.session_id, coalesce(nullif(substr(regexp_replace(regexp_replace(array_to_string(coalesce(t, [])[1:3], '-'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'extracted-skill') AS name, substr('Auto-extracted from ' || n || ' memories' || CASE WHEN t IS NULL THEN '' ELSE ' covering ' || array_to_string(t[1:3], ', ') END, 1, 240) AS description, sha256(coalesce(content, '')) AS content, coalesce(array_to_string(t[1:10], ','), '') AS tags FROM b LEFT JOIN u ON b.session_id = u.session_id")
+def skills(spark, d):
+    rows = memories(spark, d).select("session_id", F.col("id").alias("place"), "content", text.topics(F.col("content")).alias("topics"))
+    made = exchanges.skills(rows)
+    return made.select("session_id", "name", "description", F.sha2("content", 256).alias("content"), F.array_join("tags", ",").alias("tags"))
+
+
 def _ranked_lists(spark, d):
     """For every query vector, id divisible by 20: the ten nearest others, and which have the same label."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
@@ -513,6 +523,6 @@ def retrieval_metrics(spark, d):
     return _ranked_lists(spark, d).select("query", recall.alias("recall"), F.round(mrr, 6).alias("mrr"), F.round(precision, 6).alias("precision"))
 
 
-@query("v2_evaluation", f"WITH r AS (SELECT a.vec_id AS query, b.label = a.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS.format('CAST(a.embedding AS DOUBLE[])', 'CAST(b.embedding AS DOUBLE[])')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), s AS (SELECT query, CASE WHEN bool_or(good AND rank <= 5) THEN 1.0::DOUBLE ELSE 0 END AS recall FROM r WHERE rank <= 10 GROUP BY query) SELECT count(*) AS queries, round(avg(recall), 6) AS recall FROM s")
+@query("v2_evaluation", f"WITH r AS (SELECT a.vec_id AS query, b.label = a.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS.format('CAST(a.embedding AS DOUBLE[])', 'CAST(b.embedding AS DOUBLE[])')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), s AS (SELECT query, CASE WHEN bool_or(good AND rank <= 5) THEN 1.0::DOUBLE ELSE 0 END AS recall, round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE good), 0), 6) AS mrr, round(CAST(count(*) FILTER (WHERE good AND rank <= 5) AS DOUBLE) / 5, 6) AS precision FROM r WHERE rank <= 10 GROUP BY query) SELECT count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(mrr), 5) AS mrr, round(avg(precision), 5) AS precision FROM s")
 def evaluation(spark, d):
-    return retrieval_metrics(spark, d).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
+    return retrieval_metrics(spark, d).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("mrr"), 5).alias("mrr"), F.round(F.avg("precision"), 5).alias("precision"))

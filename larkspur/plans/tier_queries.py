@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import briefing, graph, store, tiers
+from larkspur.operators import briefing, graph, ranking, store, tiers
 from larkspur.operators.scratch import written
 from larkspur.operators.store import active
 from larkspur.plans import search_queries as sq
@@ -35,11 +35,15 @@ def _placed(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
-@query("b4_weights", "SELECT * FROM (VALUES ('cluster', 0.1::DOUBLE), ('importance', 0.5::DOUBLE), ('pinned', 0.25::DOUBLE), ('recency', 0.2::DOUBLE), ('skill', 0.1::DOUBLE)) t(name, weight)")
+_WEIGHED = sq._SCORED.replace("0.30::DOUBLE * importance", "0.5::DOUBLE * importance").replace("0.25::DOUBLE * exp", "0.2::DOUBLE * exp")
+assert "0.5::DOUBLE * importance" in _WEIGHED and "0.2::DOUBLE * exp" in _WEIGHED
+
+
+@query("b4_weights", _WEIGHED + " SELECT id, round(score, 6) AS score FROM scored")
 def weights(spark, d):
-    """Defaults under a configuration and the values of one call."""
-    found = briefing.weights({"importance": 0.4, "recency": "0.2", "unknown": 3}, {"importance": 0.5, "skill": None})
-    return spark.createDataFrame(sorted(found.items()), "name string, weight double")
+    """All rows scored with the defaults under a configuration and the values of one call."""
+    w = briefing.weights({"importance": 0.4, "recency": "0.2", "unknown": 3}, {"importance": 0.5, "skill": None})
+    return sq._scored(spark, d, w).select("id", F.round("score", 6).alias("score"))
 
 
 @query("b7_tier_budgets", "SELECT p_partkey AS part, tier, CASE WHEN cap > 0 THEN least(cap, t) ELSE t END AS tokens, r AS rows FROM (SELECT p_partkey, tier, p_partkey % 3 * 300 AS cap, CASE tier WHEN 'T0' THEN 120 WHEN 'T1' THEN CASE WHEN p_partkey * 500 < 32000 THEN 400 WHEN p_partkey * 500 < 200000 THEN 800 ELSE 1500 END WHEN 'T2' THEN 500 WHEN 'T3' THEN 1500 ELSE 800 END AS t, CASE tier WHEN 'T0' THEN 0 WHEN 'T1' THEN CASE WHEN p_partkey * 500 < 32000 THEN 8 WHEN p_partkey * 500 < 200000 THEN 15 ELSE 25 END WHEN 'T2' THEN 12 WHEN 'T3' THEN 20 ELSE 15 END AS r FROM part, (VALUES ('T0'), ('T1'), ('T2'), ('T3'), ('T4')) x(tier))")
@@ -130,8 +134,7 @@ def listings(spark, d):
     """Uploads and skills newest first, files by path, each with its place in its list."""
 
     def listed(df: DataFrame, kind: str, name, *order) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("kind").orderBy(*order)).cast("long")
-        return df.withColumn("kind", F.lit(kind)).select("kind", name.alias("name"), place.alias("place"))
+        return ranking.numbered(df, *order).select(F.lit(kind).alias("kind"), name.alias("name"), "place")
 
     uploads = listed(table(spark, d, "events").where("event_type = 'signup'"), "upload", F.col("event_id").cast("string"), F.desc("ts"), "event_id")
     skills = listed(table(spark, d, "part"), "skill", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")), F.desc("p_size"), "p_partkey")

@@ -15,7 +15,6 @@ def session(app: str = "larkspur", master: str = "local[*]", **conf: str) -> Spa
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
     } | conf
     builder = SparkSession.builder.appName(app).master(master)

@@ -67,24 +67,25 @@ class Recent:
         return self.ids, self.sessions, self.ats, b"".join(v.tobytes() for v in self.vectors)
 
 
-def decisions(chunks: DataFrame, size: int, threshold: float = SKIP_THRESHOLD, keep_seconds: int = 7 * 86400, late: str = "1 minute", scope: str = "session") -> DataFrame:
-    """``DECISION`` for every row of the stream or table ``chunks`` (id, platform, session,
-    at: timestamp, vector)."""
+def decisions(chunks: DataFrame, size: int, threshold: float = SKIP_THRESHOLD, keep_seconds: int = 7 * 86400, late: str = "1 minute", scope: str = "session", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``DECISION``, and the string columns named in ``carry``, for every row of the stream or table
+    ``chunks`` (id, platform, session, at: timestamp, vector)."""
     keys = {"session": ["platform", "session"], "platform": ["platform"]}[scope]
-    rows = chunks.select("id", "platform", "session", F.col("at").cast("timestamp").alias("at"), F.col("vector").cast("array<double>").alias("vector"))
-    names = [x.split()[0] for x in DECISION.split(", ")]
+    rows = chunks.select("id", "platform", "session", F.col("at").cast("timestamp").alias("at"), F.col("vector").cast("array<double>").alias("vector"), *carry)
+    ddl = DECISION + "".join(f", {c} string" for c in carry)
+    names = [x.split()[0] for x in ddl.split(", ")]
 
     def decided(pdf: pd.DataFrame, recent: Recent) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "id"])
         out = []
         for r, t in zip(pdf.itertuples(), pdf["at"].astype("datetime64[us]").astype("int64"), strict=True):
             recent.forget(t - keep_seconds * 1_000_000)
-            out.append((r.id, r.platform, r.session, r.at, *recent.decide(r.id, r.session, t, r.vector, threshold)))
+            out.append((r.id, r.platform, r.session, r.at, *recent.decide(r.id, r.session, t, r.vector, threshold), *(getattr(r, c) for c in carry)))
         made = pd.DataFrame(out, columns=names)
         return made.astype({"matched": "Int64"})
 
     if not rows.isStreaming:
-        return rows.groupBy(*keys).applyInPandas(lambda pdf: decided(pdf, Recent(size)), DECISION)
+        return rows.groupBy(*keys).applyInPandas(lambda pdf: decided(pdf, Recent(size)), ddl)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -97,4 +98,4 @@ def decisions(chunks: DataFrame, size: int, threshold: float = SKIP_THRESHOLD, k
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     timed = rows.withWatermark("at", late)
-    return timed.groupBy(*keys).applyInPandasWithState(step, DECISION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy(*keys).applyInPandasWithState(step, ddl, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from larkspur.streaming import capture
+from larkspur.streaming.changelog import ChangeLog
 
 
 def event(session, texts, kind="delta", tool="a", **more):
@@ -30,6 +31,29 @@ def test_capture_equals_one_batch(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out.quarantine")).count() == 2
 
 
+def test_what_is_sent_again_is_skipped_and_logged(spark, tmp_path):
+    log, store = ChangeLog(spark, str(tmp_path / "log")), str(tmp_path / "out")
+    words = "apples grow on old trees near the river while children read long books about ships and distant stars"
+    near, other = words + " today", "completely different words that talk of engines and winter roads in the northern mountains"
+    batches = [
+        [event("s", [("user", words)], tool="codex"), event("x", [("user", words)], tool="off")],
+        [event("s", [("user", near)], tool="codex"), event("s", [("user", other)], tool="codex"), event("t", [("user", near)], tool="codex")],
+        [event("s", [("user", words)], tool="codex")],
+    ]
+    for i, lines in enumerate(batches):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.jsonl").write_text("\n".join(lines))
+        capture.capture(spark, str(tmp_path / "in"), store, str(tmp_path / "cp"), disabled=["off"], log=log)
+    got = sorted((r.session_id, r.text.removeprefix("Human: ")) for r in spark.read.parquet(store).collect())
+    assert got == sorted([("s", words), ("s", other), ("t", near)])
+    said = sorted(r.message for r in log.read().collect())
+    assert [m for m in said if m.startswith("dedup")] == ["dedup skipped 1/1 chunks in session s", "dedup skipped 1/2 chunks in session s"]
+    assert [m for m in said if m.startswith("ingested")] == ["ingested 1 memory/memories", "ingested 2 memory/memories"]
+    assert "ignored 1 delta events (watcher not enabled)" in said
+    rows = spark.createDataFrame([("codex",), ("nothing",), (None,)], "tool string")
+    assert [r.p for r in rows.select(capture.platform(F.col("tool")).alias("p")).collect()] == ["codex_cli", "unknown", "unknown"]
+
+
 def test_rewritten_sessions_yield_new_turns_once(spark, tmp_path):
     def snapshot(n, name):
         (tmp_path / "in").mkdir(exist_ok=True)
