@@ -217,12 +217,51 @@ def read_documents(spark: SparkSession, path: str, types: dict[str, str] | None
 
 
 def frontmatter(text: Column) -> tuple[Column, Column]:
-    """(map of scalar fields, body) of a document that opens with a fenced header."""
+    """(map of fields, body) of a document that opens with a fenced header: scalars without their
+    quotes, lists, in brackets or on lines of their own, as JSON arrays.  Line ends and a byte order
+    mark do not matter; lines of another form are skipped."""
+    plain = F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), "^\ufeff", "")
     pattern = r"(?s)^---\n(.*?)\n---\n?(.*)$"
-    head, has = F.regexp_extract(text, pattern, 1), text.rlike(pattern)
-    lines = F.filter(F.split(head, "\n"), lambda s: F.contains(s, F.lit(":")) & ~F.startswith(s, F.lit(" ")))
-    pairs = F.transform(lines, lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("key"), F.trim(F.regexp_replace(s, r"^[^:]*:\s*", "")).alias("value")))
-    return F.when(has, F.map_from_entries(pairs)), F.when(has, F.regexp_extract(text, pattern, 2)).otherwise(text)
+    has = plain.rlike(pattern)
+
+    @F.pandas_udf("map<string, string>")
+    def fields(heads: pd.Series) -> pd.Series:
+        return heads.map(lambda h: None if h is None else header_fields(h))
+
+    head = F.when(has, F.regexp_extract(plain, pattern, 1))
+    body = F.regexp_replace(F.regexp_extract(plain, pattern, 2), "^\n+", "")
+    return fields(head), F.when(has, body).otherwise(text)
+
+
+def _unquoted(value: str) -> str:
+    value = value.strip()
+    return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+
+
+#: Items between commas; a quoted part may hold some.
+_ITEMS = re.compile(r"""((?:"[^"]*"?|'[^']*'?|[^,"'])*),?""")
+
+
+def header_fields(head: str) -> dict[str, str]:
+    out: dict[str, str | list[str]] = {}
+    block: list[str] | None = None
+    for line in map(str.rstrip, head.split("\n")):
+        if not line:
+            continue
+        if block is not None and (item := re.match(r"\s+-\s+(.*)$", line)):
+            block.append(_unquoted(item[1]))
+            continue
+        block = None
+        if not (pair := re.match(r"([A-Za-z_][\w-]*)\s*:\s*(.*)$", line)):
+            continue
+        value = pair[2].strip()
+        if not value:
+            out[pair[1]] = block = []
+        elif value[0] == "[" and value[-1] == "]":
+            out[pair[1]] = [_unquoted(x) for x in _ITEMS.findall(value[1:-1]) if x.strip()]
+        else:
+            out[pair[1]] = _unquoted(value)
+    return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in out.items()}
 
 
 # Retrieval corpora ---------------------------------------------------------------

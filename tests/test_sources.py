@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.sources import readers
+from larkspur.operators import writers
+from larkspur.sources import corpora, readers
 
 
 @pytest.fixture
@@ -98,8 +99,50 @@ def test_documents(spark, write, tmp_path):
 
 def test_frontmatter(spark):
     head, body = readers.frontmatter(F.col("t"))
-    rows = spark.createDataFrame([("---\nname: a b\ntags: [x]\n---\nbody",), ("plain",)], "t string").select(head.alias("h"), body.alias("b")).collect()
-    assert rows[0].h == {"name": "a b", "tags": "[x]"} and [r.b for r in rows] == ["body", "plain"]
+    block = '\ufeff---\r\nname: "a: b"\r\ntags:\r\n  - one\r\n  - \'two, three\'\r\nnone:\r\n- stray\r\nlast: x \r\n---\r\n\r\nbody\r\nmore'
+    texts = ["---\nname: a b\ntags: [x, \"y, z\", 'w']\nempty: []\n---\nbody", block, "plain\r\n", "---\nname: open", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(head.alias("h"), body.alias("b")).collect()
+    assert rows[0].h == {"name": "a b", "tags": '["x", "y, z", "w"]', "empty": "[]"}
+    assert rows[1].h == {"name": "a: b", "tags": '["one", "two, three"]', "none": "[]", "last": "x"}
+    assert [r.b for r in rows] == ["body", "body\nmore", *texts[2:]] and not any(r.h for r in rows[2:])
+
+
+def test_conversation_corpora(spark, write):
+    samples = [
+        {"sample_id": "A", "conversation": {"session_1": [{"role": "user", "content": " hi "}, {"role": "bot", "content": "yo"}, "text", 5], "session_1_date": "x", "speaker": "n", "session_2": []}, "qa": [{"question": "who?", "evidence": ["session_1", ""], "category": 2}, {"question": " "}, {"question": "one?", "evidence": "session_2"}, "no"]},
+        {"conversation": [["only"], []], "qas": [{"question": "none?"}]},
+        "no record",
+    ]
+    for name, content in (("a.json", samples), ("b.json", {"samples": samples})):
+        sessions, queries = corpora.samples_with_sessions(spark, write(name, json.dumps(content)))
+        assert sorted((r.session_id, r.chunks) for r in sessions.collect()) == [("1::session_1", ["only"]), ("A::session_1", ["hi", "[bot] yo", "text", "5"])]
+        assert sorted((r.id, r.text, r.gold, r.category) for r in queries.collect()) == [("1::qa0", "none?", [], None), ("A::qa0", "who?", ["A::session_1"], "2"), ("A::qa2", "one?", ["A::session_2"], None)]
+    records = [
+        {"id": "1", "question": "q1", "session_id": "s", "conversation": []},
+        {"id": "2", "question": "q2", "session_id": "s", "conversation": [{"role": "user", "content": "first"}], "evidence": ["e", "d"]},
+        {"id": "3", "question": "q3", "session_id": "s", "conversation": ["later"], "evidence": "x"},
+        {"question": "q4", "conversation": ["own"], "category": "c"},
+        {"id": "5", "question": ""},
+    ]
+    for name, content in (("c.json", records), ("d.json", {"data": records})):
+        sessions, queries = corpora.questions_with_conversation(spark, write(name, json.dumps(content)))
+        assert sorted((r.session_id, r.chunks) for r in sessions.collect()) == [("cm-3", ["own"]), ("s", ["first"])]
+        assert sorted((r.id, r.gold, r.category) for r in queries.collect()) == [("1", ["s"], None), ("2", ["d", "e"], None), ("3", ["x"], None), ("cm-3", ["cm-3"], "c")]
+    assert corpora.capture_profile("llm") == "enriched" and corpora.capture_profile("dual") == "dual"
+    with pytest.raises(ValueError):
+        corpora.capture_profile("other")
+
+
+def test_results_and_context_files(spark, tmp_path):
+    records = spark.createDataFrame([("1", "q?", ["b", "a"], None, 0.5)], "question_id string, question string, gold array<string>, category string, recall double")
+    writers.write_results(records, str(tmp_path / "r"))
+    lines = [json.loads(x) for p in (tmp_path / "r").glob("part-*") for x in p.read_text().splitlines()]
+    assert lines == [{"question_id": "1", "question": "q?", "gold": ["a", "b"], "category": None, "recall": 0.5}]
+    rows = spark.createDataFrame([(i, f"note {i}", "decision" if i < 8 else "fact", "p", i, ["rag"]) for i in range(10)], "id long, content string, content_type string, platform string, created_minute long, topics array<string>")
+    assert writers.write_context(writers.context_lines(rows, 0), str(tmp_path / "c.txt"))
+    text_ = (tmp_path / "c.txt").read_text().splitlines()
+    assert [x.split(" | ")[0] for x in text_] == [f"Decisions: note {i}" for i in (7, 6, 5, 4, 3)] + ["Facts: note 9", "Facts: note 8", "Topic: rag (10)", "Source: p (10)"]
+    assert not writers.write_context(writers.context_lines(rows, 99), str(tmp_path / "none.txt")) and not (tmp_path / "none.txt").exists()
 
 
 def test_corpora(spark, write):
