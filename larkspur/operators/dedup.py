@@ -31,8 +31,7 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
 def _blocks(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
     """Rows with their block, once for every block of the other side."""
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own)
-    more = [F.col("key").alias(f"key_{own}")] if "key" in df.columns else []
-    return df.select(F.col("id").alias(f"id_{own}"), F.col("vector").alias(f"vector_{own}"), *more, block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+    return df.select(F.col("id").alias(f"id_{own}"), F.col("vector").alias(f"vector_{own}"), block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -79,30 +78,38 @@ def nearest(left: DataFrame, right: DataFrame, block_rows: int = BLOCK_ROWS) ->
 
 def nearest_k(left: DataFrame, right: DataFrame, k: int, within: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, score, rank): the ``k`` rows of ``right`` nearest to each row of ``left``, itself
-    left out, ties to the lower id; with ``within`` only rows alike in that column.  A task keeps the ``k`` best of its block for each of its
-    left rows, so what is shuffled does not grow with the pairs."""
+    left out, ties to the lower id; with ``within`` only rows alike in that column, which then is
+    cut into blocks key by key (a null is alike to nothing).  A task keeps the ``k`` best of its
+    block for each of its left rows, so what is shuffled does not grow with the pairs."""
     key = F.lit("") if within is None else F.col(within).cast("string")
-    left, right = (df.where("id is not null and vector is not null").select("id", "vector", key.alias("key")) for df in (left, right))
-    n, m = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+    left, right = (df.where("id is not null and vector is not null").select("id", "vector", key.alias("key")).where("key is not null") for df in (left, right))
+    parts = lambda df, c: df.groupBy("key").agg(F.count("*").alias("n")).select("key", "n", F.ceil(F.col("n") / block_rows).cast("int").alias(c))
+    of_left, of_right = parts(left, "_l"), parts(right, "_r")
+    held = of_left.select("key", "_l", F.col("n").alias("_nl")).join(of_right.select("key", "_r", F.col("n").alias("_nr")), "key")
+
+    def blocks(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows of the keys that both sides hold, with their block, once for each of the other side."""
+        keyed = join_counted(df, held, ["key"], df.count(), f"_n{own}")
+        block = F.pmod(F.xxhash64("id"), f"_{own}").cast("int").alias(own)
+        return keyed.select("key", F.col("id").alias(f"id_{own}"), F.col("vector").alias(f"vector_{own}"), block, F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1)).alias(other))
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return PAIRS.empty_table()
         y = y.sort_by("id_r")
-        of_x, of_y = (np.array(t.column(c).to_pylist(), object) for t, c in ((x, "key_l"), (y, "key_r")))
         ids, others = x.column("id_l").to_numpy(), y.column("id_r").to_numpy()
         rows, matrix, found = _unit(x.column("vector_l")), _unit(y.column("vector_r")).T, []
         for start in range(0, len(ids), 512):
             scores = rows[start : start + 512] @ matrix
             own = ids[start : start + 512]
-            scores[(own[:, None] == others[None]) | (of_x[start : start + 512, None] != of_y[None])] = -np.inf
+            scores[own[:, None] == others[None]] = -np.inf
             top = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
             value = np.take_along_axis(scores, top, 1)
             keep = np.isfinite(value)
             found.append(pa.Table.from_pydict({"a": np.repeat(own, top.shape[1])[keep.ravel()], "b": others[top][keep], "score": value[keep]}, schema=PAIRS))
         return pa.concat_tables(found)
 
-    a, b = _blocks(left, "l", n, "r", m).groupBy("l", "r"), _blocks(right, "r", m, "l", n).groupBy("l", "r")
+    a, b = blocks(left, "l", "r").groupBy("key", "l", "r"), blocks(right, "r", "l").groupBy("key", "l", "r")
     return best(a.cogroup(b).applyInArrow(compare, "a long, b long, score double"), k)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, text
-from larkspur.operators import briefing, dedup, exchanges, facts, graph, search
+from larkspur.operators import briefing, dedup, exchanges, facts, fuzzy, graph, search
 from larkspur.operators.keyword_index import KeywordIndex
 from larkspur.operators.scratch import fingerprint, scratch_path, written
 from larkspur.operators.store import active
@@ -427,16 +427,14 @@ def extracted_facts(spark, d):
     return rows.select("id", text.triple_id(F.lower(s), F.lit("uses"), F.lower(o), F.lit(None).cast("date")).alias("triple"), F.lower(s).alias("subject"), F.lower(o).alias("object"), F.lit(0.7).alias("confidence"))
 
 
-@query("t21_fuzzy_entities", "SELECT s_suppkey AS supplier, n_name AS nation FROM (SELECT s_suppkey, n_name, row_number() OVER (PARTITION BY s_suppkey ORDER BY levenshtein(alias, lower(n_name)), n_nationkey) AS rank, levenshtein(alias, lower(n_name)) AS distance, greatest(length(alias), length(n_name)) AS size FROM (SELECT s_suppkey, lower(n.n_name) || CASE WHEN s_suppkey % 3 = 0 THEN 'x' WHEN s_suppkey % 3 = 1 THEN '' ELSE '-unknown-name' END AS alias FROM supplier JOIN nation n ON s_nationkey = n_nationkey), nation) WHERE rank = 1 AND 1 - CAST(distance AS DOUBLE) / size >= 0.8")
+@query("t21_fuzzy_entities", "SELECT s_suppkey AS supplier, n_name AS nation FROM (SELECT s_suppkey, n_name, 1 - CAST(levenshtein(alias, lower(n_name)) AS DOUBLE) / greatest(length(alias), length(n_name)) AS ratio, n_nationkey FROM (SELECT s_suppkey, lower(n.n_name) || CASE WHEN s_suppkey % 3 = 0 THEN 'x' WHEN s_suppkey % 3 = 1 THEN '' ELSE '-unknown-name' END AS alias FROM supplier JOIN nation n ON s_nationkey = n_nationkey), nation) WHERE ratio >= 0.8 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY ratio DESC, n_nationkey) = 1")
 def fuzzy_entities(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     suffix = F.when(F.col("s_suppkey") % 3 == 0, "x").when(F.col("s_suppkey") % 3 == 1, "").otherwise("-unknown-name")
-    s = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lower("n_name"), suffix).alias("alias"))
-    names = n.agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("names"))  # the entity list, 25 rows
-    best = F.array_min(F.transform("names", lambda x: F.struct(F.levenshtein(F.col("alias"), F.lower(x["n_name"])).alias("distance"), x["n_nationkey"].alias("key"), x["n_name"].alias("name"))))
-    rows = s.join(F.broadcast(names)).select("s_suppkey", "alias", best.alias("b"))
-    near = 1 - F.col("b.distance") / F.greatest(F.length("alias"), F.length("b.name")) >= 0.8
-    return rows.where(near).select(F.col("s_suppkey").alias("supplier"), F.col("b.name").alias("nation"))
+    asked = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("key"), F.concat("n_name", suffix).alias("name"))
+    known = n.select(F.col("n_nationkey").alias("entity"), F.col("n_name").alias("name"), F.lit(None).cast("array<string>").alias("aliases"))
+    found = fuzzy.resolve(asked, known).select(F.col("key").alias("supplier"), F.col("entity").alias("n_nationkey"))
+    return found.join(n, "n_nationkey").select("supplier", F.col("n_name").alias("nation"))
 
 
 # Briefing and evaluation ------------------------------------------------------------------

@@ -34,7 +34,26 @@ def test_greedy_merges_stay_in_their_platform(spark, sf_dir):
     platform = {r.id: r.platform for r in views.vectors(spark, sf_dir).select("id", "platform").collect()}
     found = catalog.QUERIES["d7_greedy_merges"](spark, sf_dir).collect()
     assert found and all(platform[r.kept] == platform[r.gone] for r in found)
-    assert len({(r.kept, r.gone) for r in found}) == len(found)
+    near = dedup.nearest_k(views.vectors(spark, sf_dir), views.vectors(spark, sf_dir), 5).where("score >= 0.4").select("a", "b", "score").collect()
+    rows = [(r.id, r.platform, r.confidence, r.id) for r in views.vectors(spark, sf_dir).select("id", "platform", "confidence").collect()]
+    assert sorted(map(tuple, found)) == greedy_by_turns(list(map(tuple, near)), rows)
+    assert catalog.QUERIES["d9_report"](spark, sf_dir).first().merged == len(found)
+
+
+def test_nearest_within_a_key(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.normal(size=5).tolist()) for i in range(120)] + [(500, "only", [1.0] * 5), (501, "b", None)]
+    df = spark.createDataFrame([(i, None if k is None else str(k), v) for i, k, v in rows], "id long, key_ string, vector array<double>")
+    left = df.where("id % 2 = 0")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows if v}
+    for within, blocks in (("key_", 7), ("key_", 1000), (None, 50)):
+        got = sorted((x.a, x["rank"], x.b) for x in dedup.nearest_k(left, df, 3, within, blocks).collect())
+        want = []
+        for i, k, v in rows:
+            if i % 2 == 0 and v and (within is None or k is not None):
+                near = sorted((j for j, kj, vj in rows if vj and j != i and (within is None or kj == k)), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))[:3]
+                want += [(i, n + 1, j) for n, j in enumerate(near)]
+        assert got == sorted(want)
 
 
 def greedy_by_turns(pairs, rows):
