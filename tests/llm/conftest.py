@@ -48,6 +48,18 @@ def edge_docs(spark, edge_rows, tmp_path_factory):
     return spark.read.parquet(path)
 
 
+@pytest.fixture(scope="session")
+def long_docs(spark, tmp_path_factory):
+    """Texts of over a million characters, one with a changed word, between short ones."""
+    r = random.Random(11)
+    words = ["".join(r.choice("etaoinshré") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    text = ". ".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(16_000))
+    path = str(tmp_path_factory.mktemp("long") / "documents.parquet")
+    rows = [(i, t, "en", "s", len(t), "k", i, i, i, i) for i, t in enumerate([text, "short", text[:-9] + " changed!", "x" * 1_100_000, "", text])]
+    spark.createDataFrame(rows, DOCS).repartition(2).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)

@@ -34,7 +34,7 @@ def brute_components(rows, radius):
     return Counter((d, f"{f:016x}", least.get(root(i))) for i, (d, f) in enumerate(rows))
 
 
-@pytest.mark.parametrize("which", ["edge_docs", "documents"])
+@pytest.mark.parametrize("which", ["edge_docs", "documents", "long_docs"])
 def test_near_duplicates(which, request):
     docs = request.getfixturevalue(which)
     rows = [(r.doc_id, brute_fingerprint(r.text)) for r in docs.select("doc_id", "text").collect()]
@@ -88,7 +88,7 @@ def test_shards_match_the_mixture(which, request):
         assert all(abs(per[s] - share) <= 2 for s in range(shards))
 
 
-@pytest.mark.parametrize("which", ["edge_docs", "documents"])
+@pytest.mark.parametrize("which", ["edge_docs", "documents", "long_docs"])
 def test_fingerprints_with_next(which, request):
     import hashlib
 

@@ -129,3 +129,12 @@ def test_contamination_edges(spark, edge_docs, edge_rows, block, monkeypatch):
 def test_cut_words():
     assert decontaminate.cut_words("One, two (three) four.", [(1, 3)]) == "One, ) four."
     assert decontaminate.cut_words("One", [(0, 1)]) == ""
+
+
+def test_contamination_of_long_texts(spark, long_docs):
+    """A passage at the end of a long text, and one that stands in none."""
+    text = long_docs.where("doc_id = 0").first().text
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    bench = spark.createDataFrame([(1, " ".join(words[-30:-10])), (2, "none of these ten words stand together in any long text here")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, [(s.a, s.b) for s in r.spans], list(r["items"])) for r in decontaminate.contamination(long_docs, bench, width=10).collect()}
+    assert got[0] == got[5] == (len(words), [(len(words) - 30, len(words) - 10)], ["1"]) and got[3][1] == got[1][1] == []

@@ -39,7 +39,7 @@ def test_words_encode_as_the_library_does():
         assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [x[:-1] for x in library(texts)]
 
 
-@pytest.mark.parametrize("which", ["edge_docs", "documents"])
+@pytest.mark.parametrize("which", ["edge_docs", "documents", "long_docs"])
 def test_files_round_trip(spark, which, request):
     docs = request.getfixturevalue(which)
     path = scratch_path(spark, "ids")
@@ -98,7 +98,7 @@ def test_cuts_are_the_best_ones(size):
         assert sum(size - (b - a) + price[b] for a, b in zip(chosen, chosen[1:], strict=False)) == best[-1]
 
 
-@pytest.mark.parametrize("which", ["edge_docs", "documents"])
+@pytest.mark.parametrize("which", ["edge_docs", "documents", "long_docs"])
 def test_packing_covers_every_id_once(which, request):
     docs = request.getfixturevalue(which)
     got = packing.pack_documents(docs, tokenizer_path(WORDS)).collect()

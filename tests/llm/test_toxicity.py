@@ -56,3 +56,8 @@ def test_without_labels_the_lexicon_decides(spark):
 
 def test_empty(spark, no_docs):
     assert toxicity.scores(no_docs, spark.createDataFrame([], KINDS)).count() == 0
+
+
+def test_long_texts(spark, long_docs):
+    got = {r.doc_id: r.score for r in toxicity.scores(long_docs, spark.createDataFrame([], KINDS)).collect()}
+    assert len(got) == 6 and got[0] == got[5] and all(0 <= x <= 1 for x in got.values())
