@@ -84,6 +84,14 @@ def compact(memories: DataFrame, since_minute: int, limit: int = 5) -> DataFrame
     return recent.unionByName(top.join(F.broadcast(recent.agg(F.count("*").alias("_n")))).where("_n = 0").drop("_n"))
 
 
+def snippets(memories: DataFrame, limit: int) -> DataFrame:
+    """(id, snippet) of the newest ``limit`` memories that hold any text, on one line of at most 280 characters."""
+    flat = F.trim(F.translate("content", "\n", " "))
+    cut = F.when(F.length(flat) > 280, F.concat(F.substring(flat, 1, 277), F.lit("..."))).otherwise(flat)
+    newest = memories.orderBy(F.desc("created_minute"), "id").limit(limit).where(flat != "")
+    return newest.select("id", F.concat(F.lit("["), F.coalesce("platform", F.lit("unknown")), F.lit("/"), F.coalesce("content_type", F.lit("fact")), F.lit("] "), cut).alias("snippet"))
+
+
 def weights(*layers: dict[str, object]) -> dict[str, float]:
     """The default weights under layers of which later ones win; unknown names and values
     that are no numbers are ignored, negative ones refused."""

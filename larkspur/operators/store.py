@@ -83,6 +83,14 @@ def access_counts(df: DataFrame, log: DataFrame) -> DataFrame:
     return df.join(seen, "id", "left").withColumn("access_count", F.col("access_count") + F.coalesce("_n", F.lit(0))).drop("_n")
 
 
+def coalesced(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """``base`` with one change for each key at most: fields that a change leaves null keep their
+    value, keys that are new are added."""
+    names = [c for c in base.columns if c != key]
+    new = changes.select(F.col(key), *[(F.col(c) if c in changes.columns else F.lit(None).cast(base.schema[c].dataType)).alias(f"_{c}") for c in names])
+    return base.join(new, key, "full").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in names])
+
+
 def members_added(members: DataFrame, new: DataFrame) -> DataFrame:
     """Members (collection, id, position) with new ones (collection, id) behind the last of their
     collection in order of id; one that is present stays where it is."""

@@ -99,3 +99,26 @@ def migrated_vectors(spark, d):
     source.upsert(rows, "model a", 64)
     report = target.migrate_from(source, rows.where("id % 5 <> 0").select("id"), batches=4)
     return target.read().select("id", F.round(F.col("vector")[1].cast("double"), 6).alias("second"), F.lit(report.orphans).cast("long").alias("orphans"))
+
+
+@query("m3_jobs", "WITH base AS (SELECT event_id AS id, event_type AS kind, 'queued' AS status, CAST(NULL AS VARCHAR) AS error, user_id AS total FROM events WHERE event_id % 3 <> 0), change AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'done' END AS status, CASE WHEN event_id % 10 = 0 THEN 'failed' END AS error, event_id % 7 AS total FROM events WHERE event_id % 4 = 0) SELECT id, kind, coalesce(c.status, b.status) AS status, coalesce(c.error, b.error) AS error, coalesce(c.total, b.total) AS total FROM base b FULL JOIN change c USING (id)")
+def jobs(spark, d):
+    """Jobs updated field by field: what a change does not say stays, unknown ids are added."""
+    e = table(spark, d, "events")
+    base = e.where("event_id % 3 <> 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), F.col("user_id").alias("total"))
+    i = F.col("event_id")
+    change = e.where("event_id % 4 = 0").select(i.alias("id"), F.when(i % 2 == 0, "done").alias("status"), F.when(i % 10 == 0, "failed").alias("error"), (i % 7).alias("total"))
+    return store.coalesced(base, change)
+
+
+@query("b11_snippets", M + "SELECT id, '[' || platform || '/' || content_type || '] ' || CASE WHEN length(c) > 280 THEN substr(c, 1, 277) || '...' ELSE c END AS snippet FROM (SELECT *, trim(replace(content, chr(10), ' ')) AS c FROM memories WHERE status = 'active' ORDER BY created_minute DESC, id LIMIT 40) WHERE c <> ''")
+def snippets(spark, d):
+    return briefing.snippets(active(memories(spark, d)), 40)
+
+
+@query("k11_skill_files", "SELECT p_partkey AS skill, '---' || chr(10) || 'name: part-' || p_partkey || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'description: ' || p_name || chr(10) END || CASE WHEN p_size % 2 = 0 THEN '' ELSE 'version: 1.' || p_size || '.0' || chr(10) END || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'tags: [' || p_brand || ', ' || p_type || ']' || chr(10) END || '---' || chr(10) || chr(10) || p_name AS body FROM part")
+def skill_files(spark, d):
+    p, n = table(spark, d, "part"), F.col("p_partkey")
+    version = F.when(F.col("p_size") % 2 == 0, "1.0.0").otherwise(F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0")))
+    tags = F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_brand", "p_type"))
+    return p.select(n.alias("skill"), writers.skill_markdown(F.concat(F.lit("part-"), n.cast("string")), F.when(n % 3 == 0, "").otherwise(F.col("p_name")), version, tags, F.col("p_name")).alias("body"))

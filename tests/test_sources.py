@@ -165,3 +165,12 @@ def test_sql_functions(spark):
 def test_hashed_embeddings(spark):
     a, b, c = (r.v for r in spark.createDataFrame([("one two",), ("two one",), (None,)], "t string").select(readers.embed_hashed(F.col("t"), 16).alias("v")).collect())
     assert a == b and sum(c) == 0
+
+
+def test_skill_files_are_written_where_tools_look(spark, tmp_path):
+    rows = spark.createDataFrame([("a-b", "one"), ("c", None), ("../evil", "x"), ("Upper", "x"), (None, "x")], "name string, text string")
+    folders = {"t": str(tmp_path / "t"), "u": str(tmp_path / "u")}
+    for _ in range(2):
+        got = sorted(map(tuple, writers.write_skills(rows, folders).collect()))
+        assert got == [(n, k, f"{folders[k]}/{n}") for n in ("a-b", "c") for k in ("t", "u")]
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("SKILL.md")} == {"t/a-b/SKILL.md": "one", "u/a-b/SKILL.md": "one", "t/c/SKILL.md": "", "u/c/SKILL.md": ""}
