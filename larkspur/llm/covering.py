@@ -20,6 +20,8 @@ the least ``doc_id`` reachable (null if there is none).
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -153,32 +155,65 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, large: int
 
 # Similarity of shingle sets ----------------------------------------------------------
 #
-# Candidates come from bands of least hashes: two sets of similarity s agree in a band of
-# ``BAND_ROWS`` with probability s ** 5, so a pair at 0.8 misses all ``BANDS`` with
-# probability 7e-6, and one at 0.85 with 5e-8.  A candidate goes on only if its sketches,
-# the low bytes of all 150 least hashes, agree in ``LEAST_SAME``: fewer have a probability of
-# 1e-8 at 0.8.  What sketches join is a cluster; inside it a pair is linked only if the exact
-# similarity of its sets of distinct shingles is at least ``LEAST_ALIKE``.  Tasks keep one link
-# for each newly joined pair of groups, so no step makes more rows than the buckets hold.
-
-BANDS, BAND_ROWS, LEAST_ALIKE, LEAST_SAME = 30, 5, (4, 5), 93
+# A set is fingerprinted as above, over its distinct shingles and in as many bits as are
+# needed: ``PRINT_BITS`` to compare by and further blocks to meet by.  At similarity s a bit
+# differs with probability arccos(2s / (1 + s)) / pi, 0.15 at 0.8, so no radius that covering
+# masks can hold reaches over a whole fingerprint.  They are laid over each block instead: sets
+# whose prints differ in at most ``BLOCK_RADIUS`` bits of any block agree under a mask there and
+# are compared by their prints.  ``block_plan`` takes as many blocks as leave a pair at 0.8
+# apart in all with a probability of ``MISSED``, and blocks so long that a mask's bucket holds
+# about ``BUCKET`` sets.  A pair at 0.8 has over ``MOST_BITS`` different bits in its prints with
+# a probability of 4e-8, an unlike pair as few as these with 2e-8.  What prints join is a
+# cluster; inside it a pair is linked only if the exact similarity of its sets of distinct
+# shingles is at least ``LEAST_ALIKE``.  Tasks keep one link for each newly joined pair of
+# groups, so no step makes more rows than the buckets hold.
+
+LEAST_ALIKE, BLOCK_RADIUS, MISSED, BUCKET = (4, 5), 1, 1e-6, 1024
+PRINT_BITS, MOST_BITS = 192, 58
 #: Shingles of a cluster that one task compares, in bytes.
 PART_BYTES = 1 << 24
-_RANDOM = np.random.default_rng(1)
-_FLIP, _TIMES = (_RANDOM.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1) for _ in range(2))
 
 
-def band_keys(shingles: np.ndarray) -> tuple[list[int], bytes]:
-    """A signed 64-bit key for each band of the set, none for an empty set, and its sketch."""
-    from xxhash import xxh3_64_digest
+def block_plan(count: int, least: tuple[int, int] = LEAST_ALIKE) -> tuple[int, int]:
+    """(blocks, bits of each) for so many sets."""
+    s = least[0] / least[1]
+    third = max(2, math.ceil(math.log2(max(count, BUCKET) / BUCKET) / 2))
+    # Three masks, each of two thirds of a block: one agrees if two thirds or all of them do.
+    agrees = (1 - math.acos(2 * s / (1 + s)) / math.pi) ** third
+    met = 3 * agrees**2 * (1 - agrees) + agrees**3
+    return math.ceil(math.log(MISSED) / math.log(1 - met)), 3 * third
 
+
+@functools.cache
+def _mixers(words: int) -> np.ndarray:
+    return np.random.default_rng(1).integers(0, 1 << 64, (2, words), np.uint64) | np.uint64(1)
+
+
+def wide_majority(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """So many bits, each 1 if set in over half of the hashes, which are widened to as many."""
+    words = -(-bits // 64)
+    flip, times = _mixers(words)
+    votes = np.zeros(words * 64, np.int64)
+    for i in range(0, len(hashes), 255):  # so many are counted in a byte
+        x = (hashes[i : i + 255, None] ^ flip) * times
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        votes += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return (votes * 2 > len(hashes))[:bits]
+
+
+def block_prints(shingles: np.ndarray, blocks: int, bits: int) -> tuple[bytes, bytes]:
+    """The print of a set, and its blocks as 32-bit numbers, none for an empty set."""
     if not len(shingles):
-        return [], b""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 1024):
-        np.minimum(least, ((shingles[None, i : i + 1024] ^ _FLIP) * _TIMES).min(1), out=least)
-    keys = b"".join(xxh3_64_digest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS)))
-    return np.frombuffer(keys, np.int64).tolist(), least.astype(np.uint8).tobytes()
+        return bytes(PRINT_BITS // 8), b""
+    found = wide_majority(shingles, PRINT_BITS + blocks * bits)
+    numbers = found[PRINT_BITS:].reshape(blocks, bits) @ (1 << np.arange(bits, dtype=np.uint32))
+    return np.packbits(found[:PRINT_BITS]).tobytes(), numbers.astype(np.uint32).tobytes()
+
+
+def prints_of(found: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(found), np.uint64).reshape(len(found), PRINT_BITS // 64)
 
 
 def _sets(texts: DataFrame, words: int, of: Callable[[np.ndarray], tuple], types: str) -> DataFrame:
@@ -201,22 +236,90 @@ def _sets(texts: DataFrame, words: int, of: Callable[[np.ndarray], tuple], types
     return texts.mapInArrow(common.map_columns(columns, schema), ddl)
 
 
-def sketch(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.uint8)
+def _block_keys(nodes: DataFrame, bits: int) -> DataFrame:
+    """(key, node, print) for every block of ``nodes`` and covering mask."""
+    ddl = "key long, node long, print binary"
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("print", pa.binary())])
+    cover = np.array(masks(BLOCK_RADIUS, bits), np.int64)
 
+    def columns(batch: pa.RecordBatch) -> dict[str, object]:
+        found = [np.frombuffer(x, np.uint32) for x in batch.column("blocks").to_pylist()]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(x) * len(cover) for x in found]))
+        numbers = np.concatenate([np.empty(0, np.int64), *found]).astype(np.int64)
+        block = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in found)])
+        table = block[:, None] * len(cover) + np.arange(len(cover))
+        keys = (numbers[:, None] & cover) | table << 32
+        return {"key": keys.ravel(), "node": batch.column("node").take(row), "print": batch.column("print").take(row)}
+
+    return nodes.select("node", "print", "blocks").mapInArrow(common.map_columns(columns, schema, "blocks", 1 << 18), ddl)
+
+
+def print_forest(node: np.ndarray, part: np.ndarray, prints: np.ndarray, most: int, block: int = 256) -> list[tuple[int, int]]:
+    """Links that join all rows reachable through pairs with at most ``most`` different bits:
+    at most one link fewer than rows.  If there are several parts, only rows of different
+    ones are compared."""
+    one = part.min() == part.max()
+    root, found = np.arange(len(node)), []
+    for a in range(0, len(node), block):
+        apart = sum(np.bitwise_count(prints[a : a + block, None, w] ^ prints[None, a:, w]) for w in range(prints.shape[1]))
+        near = apart <= most
+        if not one:
+            near &= part[a : a + block, None] != part[None, a:]
+        for i in np.flatnonzero(near.sum(1) > one).tolist():  # one: itself
+            u = a + i
+            at = np.flatnonzero(near[i, i + 1 :]) + u + 1
+            for v in at[root[at] != root[u]].tolist():
+                if root[v] != root[u]:
+                    found.append((int(node[u]), int(node[v])))
+                    root[root == root[v]] = root[u]
+    return found
+
+
+def print_links(nodes: DataFrame, bits: int, most: int, large: int = LARGE) -> DataFrame:
+    """(u, v) links that connect all ``nodes`` (node, print, blocks of so many bits) that meet
+    in a bucket and have at most ``most`` different bits in their prints."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-def like_forest(rows: list[tuple], least: tuple[int, int], same: int, one: bool) -> list[tuple[int, int]]:
-    """Links that join all rows (node, n, part, sketch[, shingles]) reachable through pairs of
-    similar size whose sketches agree in ``same`` bytes and, where they have shingles, whose
-    sets are alike to ``least``: at most one link fewer than rows.  Unless ``one``, only rows
-    of different parts are compared."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(bucket: list[np.ndarray]) -> list[tuple[int, int]]:
+            return print_forest(*bucket, most) if len(bucket[0]) > 1 else []
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=schema)
+
+        held: list[np.ndarray] = []  # rows of the last bucket seen, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [*(batch.column(c).to_numpy() for c in ("bucket", "node", "part")), prints_of(batch.column("print").to_pylist())]
+            if held:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            cuts = np.append(0, np.flatnonzero(np.diff(rows[0])) + 1).tolist()
+            yield out([x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in links_of([r[a:b] for r in rows[1:]])])
+            held = [r[cuts[-1] :] for r in rows]
+        if held:
+            yield out(links_of(held[1:]))
+
+    # Keys of many sets are few; a bucket over the bound is dealt in parts that all meet.
+    keyed = _block_keys(nodes, bits)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > large)
+    dealt = _in_parts(keyed.join(F.broadcast(sizes), "key", "left"), F.coalesce(F.ceil(F.col("size") * 2 / large), F.lit(1)))
+    bucket = F.when(F.col("size").isNull(), F.col("key")).otherwise(F.xxhash64("key", "p", "q"))
+    placed = dealt.select(bucket.alias("bucket"), "part", "node", "print")
+    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long").distinct()
+
+
+def like_forest(rows: list[tuple], least: tuple[int, int], most: int, one: bool) -> list[tuple[int, int]]:
+    """Links that join all rows (node, n, part, print, shingles) reachable through pairs of
+    similar size with at most ``most`` different bits in their prints whose sets are alike to
+    ``least``: at most one link fewer than rows.  Unless ``one``, only rows of different parts
+    are compared."""
     node, n, part = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-    sketches = sketch(b"".join(r[3] for r in rows)).reshape(len(rows), -1)
-    exact = len(rows[0]) > 4
-    if exact:  # shingles as numbers from 0, of all rows in turn
-        _, ids = np.unique(np.frombuffer(b"".join(r[4] for r in rows), np.int64), return_inverse=True)
-        ends = np.cumsum(n)
-        mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    prints = prints_of([r[3] for r in rows])
+    # Shingles as numbers from 0, of all rows in turn.
+    _, ids = np.unique(np.frombuffer(b"".join(r[4] for r in rows), np.int64), return_inverse=True)
+    ends = np.cumsum(n)
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
     root, found = np.arange(len(rows)), []
     for u in range(len(rows) - 1):
         small, large = np.minimum(n[u + 1 :], n[u]), np.maximum(n[u + 1 :], n[u])
@@ -224,8 +327,8 @@ def like_forest(rows: list[tuple], least: tuple[int, int], same: int, one: bool)
         if not one:
             could &= part[u + 1 :] != part[u]
         at = np.flatnonzero(could) + u + 1
-        at = at[(sketches[at] == sketches[u]).sum(1) >= same]
-        if exact and len(at):
+        at = at[np.bitwise_count(prints[at] ^ prints[u]).sum(1) <= most]
+        if len(at):
             own = ids[ends[u] - n[u] : ends[u]]
             mark[own] = True
             sizes = n[at]
@@ -241,7 +344,7 @@ def like_forest(rows: list[tuple], least: tuple[int, int], same: int, one: bool)
     return found
 
 
-def _forests(dealt: DataFrame, keys: list[str], columns: list[str], least: tuple[int, int], same: int) -> DataFrame:
+def _forests(dealt: DataFrame, keys: list[str], columns: list[str], least: tuple[int, int], most: int) -> DataFrame:
     """The links (u, v) of every group of ``keys``, of which the last two are the parts that meet."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -254,13 +357,13 @@ def _forests(dealt: DataFrame, keys: list[str], columns: list[str], least: tuple
             for key, row in zip(named, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
                 if key != group:
                     if len(held) > 1:
-                        found += like_forest(held, least, same, group[-1] == group[-2])
+                        found += like_forest(held, least, most, group[-1] == group[-2])
                     held, group = [], key
                 held.append(row)
             yield pa.RecordBatch.from_pydict({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=schema)
             found = []
         if len(held) > 1:
-            found = like_forest(held, least, same, group[-1] == group[-2])
+            found = like_forest(held, least, most, group[-1] == group[-2])
         yield pa.RecordBatch.from_pydict({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=schema)
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *columns).mapInArrow(run, "u long, v long").distinct()
@@ -288,26 +391,22 @@ def similar_rows(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST
     """(doc_id, text_key, first) of every row: ``first`` (absent, doc_id, text_key) is the
     least such row that is linked to it, rows without a ``doc_id`` after all others."""
     from_texts = common.keyed_texts(docs).withColumn("text_key", F.unhex(F.md5("text")))
-    rows = common.written(_sets(from_texts, words, lambda x: (len(x), *band_keys(x)), "n long, bands array<long>, sketch binary"), "bands")
-    # Equal sets are one node.  A bucket holds the nodes that agree in a band; its members are
-    # compared by their sketches inside tasks, which join them to clusters.
-    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = common.written(join_counted(keyed.withColumnRenamed("n", "held"), sizes.withColumn("size", F.col("n")), ["key"], rows.count() * BANDS).withColumnRenamed("held", "n"), "buckets")
-    told = nodes.select("node", "text_key", "n", "sketch").join(buckets.select("node").distinct(), "node", "left_semi")
-    told = common.written(told, "candidates")
-    dealt = _in_parts(buckets, F.ceil(F.col("size") * 2 / large)).join(told.select("node", "sketch"), "node")
-    edges = _forests(dealt, ["key", "p", "q"], ["node", "n", "part", "sketch"], least, LEAST_SAME)
+    blocks, bits = block_plan(docs.count(), least)
+    rows = common.written(_sets(from_texts, words, lambda x: (len(x), *block_prints(x, blocks, bits)), "n long, print binary, blocks binary"), "prints")
+    # Equal sets are one node.  Nodes that agree under a mask of a block are compared by their
+    # prints inside tasks, which join them to clusters.
+    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "print", "blocks")])
+    nodes = common.written(nodes, "nodes")
+    edges = print_links(nodes, bits, MOST_BITS, large)
     cluster = common.written(components(edges, "clusters").withColumnRenamed("component", "cluster"), "cluster-nodes")
 
     # Within a cluster the sets themselves are compared, in parts of bounded size.
-    wanted = common.written(told.join(cluster, "node"), "wanted")
+    wanted = common.written(nodes.drop("blocks").join(cluster, "node"), "wanted")
     again = _sets(from_texts.join(wanted.select("text_key"), "text_key", "left_semi"), words, lambda x: (x.tobytes(),), "shingles binary")
     sets = again.groupBy("node").agg(F.first("shingles").alias("shingles"))
     sizes = wanted.groupBy("cluster").agg(F.sum(F.col("n") * 8).alias("bytes"))
     held = _in_parts(wanted.join(sizes, "cluster"), F.ceil(F.col("bytes") * 2 / PART_BYTES)).join(sets, "node")
-    links = _forests(held, ["cluster", "p", "q"], ["node", "n", "part", "sketch", "shingles"], least, LEAST_SAME)
+    links = _forests(held, ["cluster", "p", "q"], ["node", "n", "part", "print", "shingles"], least, MOST_BITS)
 
     row = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
     held = rows.groupBy("node").agg(F.min(row).alias("first"), F.count("*").alias("rows"))

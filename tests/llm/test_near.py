@@ -167,3 +167,42 @@ def test_repeated_lines_and_templates_link_nothing(spark):
     texts = [" ".join(fresh(204) + line * 20) for _ in range(50)] + [" ".join(passage + fresh(40)) for _ in range(50)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert all(x.doc_id == x.component_id for x in covering.similar_documents(df).collect())
+
+
+@pytest.mark.parametrize("large", [8192, 3])
+def test_prints_near_in_a_block_are_joined(spark, large):
+    """Prints whose blocks differ in one bit at most meet, whatever the size of their bucket."""
+    r = np.random.default_rng(11)
+    blocks, bits = 3, 6
+    base = r.integers(0, 256, (8, covering.PRINT_BITS // 8), np.uint8)
+    rows, prints, numbers = [], [], []
+    for i in range(120):
+        x = np.unpackbits(base[i % 8])
+        x[r.choice(len(x), r.integers(0, 40), replace=False)] ^= 1
+        prints.append(x)
+        numbers.append(r.integers(0, 1 << bits, blocks, np.uint32))
+        rows.append((i, np.packbits(x).tobytes(), numbers[-1].tobytes()))
+    df = spark.createDataFrame(rows, "node long, print binary, blocks binary")
+    group = {x.node: x.component for x in components(covering.print_links(df, bits, 45, large)).collect()}
+    close = [[(prints[i] != prints[j]).sum() <= 45 for j in range(120)] for i in range(120)]
+    met = [(i, j) for i in range(120) for j in range(i) if close[i][j] and np.bitwise_count(numbers[i] ^ numbers[j]).min() <= covering.BLOCK_RADIUS]
+    assert len(met) > 50
+    assert all(group[i] == group[j] for i, j in met)
+    assert all(i % 8 == c % 8 for i, c in group.items())
+
+
+@pytest.mark.parametrize("count", [1, 50_000])
+def test_blocks_leave_no_pair_at_the_bound_apart(count):
+    r = np.random.default_rng(12)
+    blocks, bits = covering.block_plan(count)
+    differs = r.random((20_000, blocks, bits)) < np.arccos(1.6 / 1.8) / np.pi
+    cover = np.array([[m >> b & 1 for b in range(bits)] for m in covering.masks(covering.BLOCK_RADIUS, bits)])
+    assert ((differs @ cover.T) == 0).any((1, 2)).all()
+
+
+def test_wide_majority():
+    r = np.random.default_rng(13)
+    hashes = r.integers(0, 1 << 64, 600, np.uint64)
+    one = np.array([covering.wide_majority(hashes[i : i + 1], 200) for i in range(600)])
+    assert (covering.wide_majority(hashes, 200) == (one.sum(0) > 300)).all()
+    assert not covering.wide_majority(hashes[:0], 200).any()

@@ -84,3 +84,13 @@ def test_rows_that_share_or_lack_an_id(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r.doc_id, r.text[0]) for r in pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
     assert sorted(kept, key=str) == sorted([(1, "a"), (2, "b"), (None, "c"), (3, "d")], key=str)
+
+
+def test_near_copies_are_found_through_fingerprints(spark, tmp_path, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words, "and", "more"]), " ".join(words[::-1])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda: sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert kept() == [0, 2]
+    monkeypatch.setattr(pipeline.covering, "MOST_BITS", -1)  # no two fingerprints are near then
+    assert kept() == [0, 1, 2]
