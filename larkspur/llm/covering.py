@@ -402,7 +402,8 @@ def similar_rows(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST
 
     # Within a cluster the sets themselves are compared, in parts of bounded size.
     wanted = common.written(nodes.drop("blocks").join(cluster, "node"), "wanted")
-    again = _sets(from_texts.join(wanted.select("text_key"), "text_key", "left_semi"), words, lambda x: (x.tobytes(),), "shingles binary")
+    # Texts are shuffled at any size: a broadcast of their keys would grow with the clusters.
+    again = _sets(from_texts.join(wanted.select("text_key").hint("merge"), "text_key", "left_semi"), words, lambda x: (x.tobytes(),), "shingles binary")
     sets = again.groupBy("node").agg(F.first("shingles").alias("shingles"))
     sizes = wanted.groupBy("cluster").agg(F.sum(F.col("n") * 8).alias("bytes"))
     held = _in_parts(wanted.join(sizes, "cluster"), F.ceil(F.col("bytes") * 2 / PART_BYTES)).join(sets, "node")
