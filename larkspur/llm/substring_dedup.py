@@ -33,88 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm import common
+from larkspur.llm import common, passages
+from larkspur.llm.rolling import BYTE_VALUES, mixed, rolled, runs, stretches_of
 from larkspur.llm.suffix_array import permuted_lcp, suffix_array
 from larkspur.operators.skew import join_counted
 
 LENGTH, GRAM = 400, 64
-MOST_WINDOWS = 4096  # of a stretch; longer ones are cut
 SHARD, LARGE = 1 << 21, 1 << 23
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64)[0]
-_FACTOR = 0x9E3779B97F4A7C15
-
-
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the ``size`` bytes from every place (``size`` any positive number)."""
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    power, done, out = _TABLE[data], 0, None
-    factor, width = _FACTOR, 1
-    rest = size
-    while rest:
-        if rest & 1:
-            out = power[:n].copy() if out is None else out * np.uint64(factor) + power[done : done + n]
-            done += width
-        rest >>= 1
-        if rest:
-            power = power[: len(power) - width] * np.uint64(factor) + power[width:]
-            factor, width = factor * factor % (1 << 64), width * 2
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(29)
-    return out
-
-
-def window_minima(x: np.ndarray, size: int) -> np.ndarray:
-    """Least of every ``size`` neighbours, by doubling."""
-    width = 1
-    while width * 2 <= size:
-        x = np.minimum(x[: len(x) - width], x[width:])
-        width *= 2
-    return np.minimum(x[: len(x) - (size - width)], x[size - width :]) if width < size else x
 
 
 def stretches(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """All stretches of some texts: text number, start, windows, anchor, content, repeats."""
-    from xxhash import xxh3_64_intdigest
-
-    joined = b"".join(texts)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(joined, np.uint8)
-    empty = np.empty(0, np.int64)
-    if len(data) < length:
-        return {"text": empty, "start": empty, "windows": empty, "anchor": empty, "content": empty, "repeats": empty.astype(bool)}
-    hashes = gram_hashes(data, gram)
-    least = window_minima(hashes, length - gram + 1)
-    of_text = np.repeat(np.arange(len(texts)), sizes)
-    valid = np.arange(len(least)) + length <= ends[of_text[: len(least)]]
-    new = np.ones(len(least), bool)
-    new[1:] = (least[1:] != least[:-1]) | (of_text[1 : len(least)] != of_text[: len(least) - 1]) | ~valid[:-1]
-    begin = np.flatnonzero(new & valid)
-    stop = np.append(begin[1:], len(least))
-    # A stretch ends where windows stop being valid.
-    run_end = ends[of_text[begin]] - length + 1
-    stop = np.minimum(stop, run_end)
-    count = stop - begin
-    pieces = -(-count // MOST_WINDOWS)
-    if pieces.max(initial=1) > 1:
-        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = np.repeat(begin, pieces) + step * MOST_WINDOWS
-        stop = np.minimum(np.repeat(stop, pieces), begin + MOST_WINDOWS)
-        count = stop - begin
-    anchor = least[begin]
-    # Does the least hash stand twice in the bytes of the stretch?
-    ids = np.flatnonzero(np.isin(hashes, anchor[count >= 1])) if len(begin) else empty
-    first = np.searchsorted(ids, begin)
-    last = np.searchsorted(ids, stop + length - gram)
-    repeats = np.zeros(len(begin), bool)
-    for i in np.flatnonzero(last - first > 1):
-        repeats[i] = (hashes[ids[first[i] : last[i]]] == anchor[i]).sum() > 1
-    content = np.fromiter((xxh3_64_intdigest(joined[a : b + length - 1]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)), np.uint64, len(begin))
-    text = of_text[begin]
-    return {"text": text, "start": begin - (ends - sizes)[text], "windows": count, "anchor": anchor.view(np.int64), "content": content.view(np.int64), "repeats": repeats}
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return stretches_of(data, mixed(rolled(BYTE_VALUES[data], gram)), np.array([len(t) for t in texts], np.int64), length, gram)
 
 
 def repeated_windows(contents: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -133,14 +64,6 @@ def repeated_windows(contents: list[bytes], length: int = LENGTH) -> list[np.nda
     return [np.flatnonzero(mark[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
 
 
-def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Merged byte spans of windows that start at ``starts`` (ascending)."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist(), strict=True))
-
-
 SPANS = pa.schema([("row", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -166,15 +89,13 @@ def _shard_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         yield out()
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, candidates, spans): every row with its key; the texts that may hold
-    repeats; the repeated byte spans (row, a, b) of those, perhaps overlapping."""
-    rows = docs.select(common.row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
-    return rows, *_spans(rows, length, gram, large)
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(common.row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
 
 
-def _spans(rows: DataFrame, length: int, gram: int, large: int) -> tuple[DataFrame, DataFrame]:
-    """(candidates, spans) of ``rows`` (row, text)."""
+def _spans(rows: DataFrame, length: int, gram: int, large: int, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates, spans) of ``rows`` (row, text): the texts that may hold repeats, and the
+    rows named in ``also`` with its columns; the repeated byte spans (row, a, b), perhaps overlapping."""
     names = ("start", "windows", "anchor", "content", "repeats")
     schema = pa.schema([("row", pa.binary()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("repeats", pa.bool_())])
 
@@ -201,6 +122,7 @@ def _spans(rows: DataFrame, length: int, gram: int, large: int) -> tuple[DataFra
     hot = (F.col("size") > large) & F.lit(gram < length)
     wanted = join_counted(distinct, groups, ["anchor"], total, "d").select("anchor", "x.row", "x.start", "x.windows", hot.alias("hot"))
     per_row = maybe.select("row").distinct().join(wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "hot")).alias("wanted")), "row", "left")
+    per_row = per_row.join(also, "row", "full") if also is not None else per_row
     candidates = common.written(rows.select("row", "text").join(per_row, "row").dropDuplicates(["row"]), "candidates")
 
     content_schema = pa.schema([("anchor", pa.int64()), ("row", pa.binary()), ("start", pa.int64()), ("hot", pa.bool_()), ("content", pa.binary())])
@@ -240,9 +162,13 @@ def removed(text: bytes, spans: list) -> tuple[bytes, int, int]:
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE, with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text``
-    the bytes left, as ``kept``."""
-    rows, candidates, spans = repeated_spans(docs, length, gram, large)
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (words in
+    passages that also stand in another row, however few their bytes; see ``passages``), and
+    with ``with_text`` the bytes left, as ``kept``."""
+    rows = keyed_rows(docs)
+    places, contents, wanted = passages.shared_groups(rows, large=large)
+    candidates, spans = _spans(rows, length, gram, large, wanted)
+    shared = passages.passage_words(candidates.where("passages is not null").select("row", "text", "passages"), places, contents)
     by_row = spans.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     schema = pa.schema([("row", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
@@ -258,6 +184,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large:
     touched = candidates.select("row", "text").join(by_row, "row").mapInArrow(cut, "row binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     touched = common.written(touched, "cut")
     whole = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text")] if with_text else []))
-    joined = whole.join(touched, "row", "left")
+    joined = whole.join(touched, "row", "left").join(shared, "row", "left")
     kept = [F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(F.col("kept")).alias("kept")] if with_text else []
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *kept)
+    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"), *kept)

@@ -138,3 +138,39 @@ def test_contamination_of_long_texts(spark, long_docs):
     bench = spark.createDataFrame([(1, " ".join(words[-30:-10])), (2, "none of these ten words stand together in any long text here")], "item_id long, text string")
     got = {r.doc_id: (r.n_words, [(s.a, s.b) for s in r.spans], list(r["items"])) for r in decontaminate.contamination(long_docs, bench, width=10).collect()}
     assert got[0] == got[5] == (len(words), [(len(words) - 30, len(words) - 10)], ["1"]) and got[3][1] == got[1][1] == []
+
+
+def brute_passage_words(texts, k):
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in texts]
+    held = Counter(x for w in words for x in {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
+    return [len({j for i in range(len(w) - k + 1) if held[tuple(w[i : i + k])] > 1 for j in range(i, i + k)}) for w in words]
+
+
+@pytest.mark.parametrize("which", ["edge_docs", "documents"])
+def test_passage_words(which, request):
+    docs = request.getfixturevalue(which)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    want = Counter(zip([d for d, _ in rows], brute_passage_words([t for _, t in rows], 51), strict=True))
+    assert Counter((r.doc_id, r.n_passage_words) for r in substring_dedup.deduplicate(docs).collect()) == want
+    assert any(n for _, n in want)
+
+
+@pytest.mark.parametrize("large", [1 << 23, 1000])
+def test_short_passages(spark, large):
+    """Passages of 50, 51 and 90 words under 400 bytes in two texts each, with other spaces between
+    their words; a line that one text repeats; equal rows; many copies in contexts of their own."""
+    r = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(map(chr, r.integers(97, 123, r.integers(1, 6)))) for _ in range(n))
+    p50, p51, p90, hot = prose(50), prose(51), prose(90), prose(70)
+    assert len(p90) < 400
+    texts = [f"{prose(30)} {p} {prose(40)}" for p in (p50, p50, p51)] + [f"{prose(5)}\n{p51.replace(' ', chr(10) + '  ')}\t{prose(9)}", p90, f"{prose(300)} {p90}"]
+    texts += [" ".join([prose(60)] * 3), "the " * 500, prose(4000), None, "", "\xa0".join(["é"] * 60)]
+    texts += [f"{prose(60)} {hot[i:]} {prose(60)}" for i in range(60)]
+    rows = [*enumerate(texts), (7, texts[7]), (6, texts[6]), (100, prose(50)), (None, p51)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = substring_dedup.deduplicate(docs, large=large).collect()
+    want = Counter(zip([d for d, _ in rows], brute_passage_words([(t or "").encode() for _, t in rows], 51), strict=True))
+    assert Counter((x.doc_id, x.n_passage_words) for x in got) == want
+    told = {x.doc_id: x for x in got}
+    assert [told[i].n_passage_words for i in range(6)] == [0, 0, 51, 51, 90, 90]
+    assert all(told[i].n_removed == 0 for i in range(6))
