@@ -47,7 +47,7 @@ def summaries(chunks: DataFrame, topics: Column, least: int = 3, first: int = 5)
 def log_summaries(chunks: DataFrame, topics: Column, least: int = 3, first: int = 5) -> DataFrame:
     """The summaries of line-wise session logs: the count, a line of topics, and of each of the
     ``first`` chunks its first line of over 30 characters, cut at 150."""
-    line = F.element_at(F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: F.length(s) > 30), 1)
+    line = F.get(F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: F.length(s) > 30), F.lit(0))
     grouped = chunks.groupBy("conv_id").agg(
         F.count("*").alias("n"),
         F.array_sort(F.collect_list(F.struct("exchange", F.substring(line, 1, 150).alias("head")))).alias("heads"),

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import briefing, dedup, facts, graph, search, skew, store
+from larkspur.operators import briefing, dedup, exchanges, facts, graph, search, skew, store
 from larkspur.operators.components import components
 
 
@@ -161,3 +161,12 @@ def test_components_with_a_hub_and_a_chain(spark):
     assert found.count() == len(got)
     assert got == {n: 7 for n in (7, 5000, *range(100, 400))} | {n: 6000 for n in range(6000, 6041)} | {9000: 9000, 9001: 9000}
     assert components(spark.createDataFrame([], "u long, v long")).isEmpty()
+
+
+def test_log_summaries_of_short_lines(spark):
+    """Chunks without a line of over 30 characters give no key point; conversations of such chunks alone give none at all."""
+    long = "a line that is over thirty characters"
+    rows = [(1, i, t) for i, t in enumerate([f"short\n  {long}  \n{long} two", "", "short", "x" * 30, None, long])] + [(2, i, "short") for i in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, exchange long, text string")
+    got = {r.conv_id: r.summary for r in exchanges.log_summaries(df, F.array().cast("array<string>")).collect()}
+    assert got == {1: f"Conversation with 6 exchanges.\n\nKey points:\n- {long}", 2: "Conversation with 3 exchanges."}
