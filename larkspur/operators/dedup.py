@@ -3,13 +3,20 @@
 Pairs above a threshold come from blocks of vectors: both sides are cut into blocks of
 bounded size by a hash of the id, and a task multiplies one block of each as matrices.
 No vector passes through the driver, and no pair below the threshold leaves a task.
+
+A table that meets itself (``unlike_pairs``) is dealt in larger blocks of which
+every two meet once, so a row is shuffled once for each ``SELF_ROWS`` rows of the table, and a task
+searches tiles of scores in single precision before it scores what it found in double.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,16 +25,67 @@ from larkspur.operators.scratch import discard, scratch_path, written, written_a
 from larkspur.operators.skew import join_counted
 
 BLOCK_ROWS = 8192
+#: Rows of a block of a table that meets itself; smaller tables are cut so that all cores work.
+SELF_ROWS, LEAST_ROWS = 32_768, 2048
+#: Bits of a sketch of a word set; candidates that are scored at once.
+SKETCH_BITS, PART = 4096, 16_384
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
 
 
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
-    rows = [np.asarray(x, np.float64) for x in column.to_pylist()]
-    m = np.stack(rows) if rows else np.zeros((0, 1))
+def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(rows):
+        return np.zeros((0, 1))
+    lengths = pc.unique(pc.list_value_length(rows))
+    if len(lengths) > 1 or lengths.null_count:
+        raise ValueError("vectors must be of one length")
+    m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), lengths[0].as_py())
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
+def _above(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of the unit rows of ``x`` and ``y`` with cosine >= threshold, in parts; with
+    ``same`` both are one block, of which each two rows meet once."""
+    u, v = x.astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+    least = np.float32(threshold - 2e-7 * (x.shape[1] + 8))  # single precision is off by less
+    for a in range(0, len(x), 512):
+        for b in range(a // 4096 * 4096 if same else 0, len(y), 4096):
+            scores = u[a : a + 512] @ v[:, b : b + 4096]
+            near = np.flatnonzero(scores.ravel() >= least)
+            for at in range(0, len(near), PART):
+                i, j = np.divmod(near[at : at + PART], scores.shape[1])
+                i, j = i + a, j + b
+                if same:
+                    i, j = i[i < j], j[i < j]
+                score = np.einsum("ij,ij->i", x[i], y[j])
+                keep = score >= threshold
+                yield i[keep], j[keep], score[keep]
+
+
+def _meeting(rows: DataFrame, n: int, task: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str, block_rows: int) -> DataFrame:
+    """What ``task`` gives for every two blocks of the ``n`` rows (id, vector, more), and for every
+    block with itself (marked by true)."""
+    blocks = max(1, -(-n // block_rows), min(8, n // LEAST_ROWS))
+    own, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.select("*", own.alias("_own"), other.alias("_other")).withColumns({"_l": F.least("_own", "_other"), "_r": F.greatest("_own", "_other")}).drop("_other")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(batches)
+        if not both.num_rows:
+            return
+        low, high = both.column("_l")[0].as_py(), both.column("_r")[0].as_py()
+        own = both.column("_own").to_numpy()
+        x = both.filter(pa.array(own == low))
+        yield from task(x, x if low == high else both.filter(pa.array(own == high)), low == high)
+
+    return dealt.groupBy("_l", "_r").applyInArrow(meet, schema)
+
+
+def _with_vector(df: DataFrame) -> DataFrame:
+    return df.where("id is not null and vector is not null")
+
+
 def _blocks(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
     """Rows with their block, once for every block of the other side."""
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own)
@@ -113,6 +171,56 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, within: str | None = No
     return best(a.cogroup(b).applyInArrow(compare, "a long, b long, score double"), k)
 
 
+def unlike_pairs(vectors: DataFrame, rows: DataFrame, threshold: float, overlap: float, block_rows: int = SELF_ROWS) -> DataFrame:
+    """(a, b, score) with a < b of the ``vectors`` (id, vector) with cosine >= threshold whose
+    ``rows`` (id, platform, words: once each) are of different platforms and have an overlap of
+    words below ``overlap``; two rows without words have none.
+
+    Into the blocks go sketches in place of words: a bit for each hash of a word.  A bit of one
+    sketch that the other lacks stands for a word that the other lacks, so two sketches and the
+    numbers of words bound the overlap from above, which settles almost all pairs of unlike texts.
+    Only the pairs that the bound leaves open meet the words themselves, as 64-bit hashes."""
+    hashed = rows.where("id is not null and platform is not null and words is not null").select("id", "platform", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    hashed = written(hashed.withColumn("row", F.monotonically_increasing_id()), "words")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                words = part.column("words")
+                size = words.value_lengths().to_numpy(zero_copy_only=False)
+                bits = np.zeros((len(size), SKETCH_BITS), np.uint8)
+                bits[np.repeat(np.arange(len(size)), size), words.flatten().to_numpy() % SKETCH_BITS] = 1
+                packed = pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "row", "platform")), pa.array(size, pa.int32()), packed], names=["id", "row", "platform", "n", "sketch"])
+
+    def sides(t: pa.Table) -> tuple[np.ndarray, ...]:
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        return t.column("id").to_numpy(), t.column("row").to_numpy(), np.array(t.column("platform").to_pylist(), object), t.column("n").to_numpy().astype(np.int64), sketches
+
+    def compare(x: pa.Table, y: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        ids, at, own, n, s = sides(x)
+        others, to, other, m, t = sides(y)
+        unit = _unit(x.column("vector"))
+        for i, j, score in _above(unit, unit if same else _unit(y.column("vector")), threshold, same):
+            keep = (ids[i] != others[j]) & (own[i] != other[j])
+            i, j, score = i[keep], j[keep], score[keep]
+            lacked = lambda p, q: np.bitwise_count(p & ~q).sum(1, dtype=np.int64)
+            shared = np.minimum(n[i] - lacked(s[i], t[j]), m[j] - lacked(t[j], s[i]))
+            sure = shared / np.maximum(1, n[i] + m[j] - shared) < overlap
+            a, b = np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score), pa.array(at[i], mask=sure), pa.array(to[j], mask=sure)], names=["a", "b", "score", "x", "y"])
+
+    usable = _with_vector(vectors).select("id", "vector")
+    sketched = usable.join(hashed.mapInArrow(sketch, "id long, row long, platform string, n int, sketch binary"), "id")
+    found = written(_meeting(sketched, usable.count(), compare, "a long, b long, score double, x long, y long", block_rows), "near-pairs")
+    x, y = (hashed.select(F.col("row").alias(c), F.col("words").alias(f"_{c}")) for c in ("x", "y"))
+    met = found.where("x is not null").join(x, "x").join(y, "y").withColumn("_both", F.size(F.array_intersect("_x", "_y")))
+    checked = met.where(F.col("_both") / F.greatest(F.lit(1), F.size("_x") + F.size("_y") - F.col("_both")) < overlap)
+    return found.where("x is null").select("a", "b", "score").unionByName(checked.select("a", "b", "score"))
+
+
 def best(pairs: DataFrame, k: int) -> DataFrame:
     """The k best partners of each ``a``, ties to the lower id."""
     order = Window.partitionBy("a").orderBy(F.desc(F.round("score", 12)), "b")

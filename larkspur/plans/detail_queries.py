@@ -11,7 +11,7 @@ from larkspur.operators.scratch import scratch_path
 from larkspur.operators.store import active
 from larkspur.operators.vector_store import Refused, VectorStore
 from larkspur.plans.registry import query
-from larkspur.plans.search_queries import _OVERLAP, _PAIRS, MV, _pairs
+from larkspur.plans.search_queries import _OVERLAP, _PAIRS, MV, _flagged
 from larkspur.plans.store_queries import _TOPICS_SQL, _preview_sql
 from larkspur.plans.text_queries import _PAIRS as _EXCHANGES
 from larkspur.plans.views import MEMBERS, MEMORIES, members, memories, table, turns
@@ -66,11 +66,9 @@ def report_details(spark, d):
     likeness, and updated importance with its new value."""
     from larkspur.operators import dedup
 
-    m = memories(spark, d).select("id", "content", "platform")
-    x = m.select(*[F.col(c).alias(f"x_{c}") for c in m.columns])
-    y = m.select(*[F.col(c).alias(f"y_{c}") for c in m.columns])
-    near = _pairs(spark, d).join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).where("x_platform <> y_platform")
-    flagged = near.where(text.overlap(F.col("x_content"), F.col("y_content")) < 0.3).select(F.lit("contradiction").alias("kind"), "a", "b", F.round("score", 3).alias("value"))
+    a, b = F.col("a"), F.col("b")
+    both = _flagged(spark, d).select(F.explode(F.array(F.struct("a", "b"), F.struct(b.alias("a"), a.alias("b")))).alias("p"), F.round("score", 3).alias("value"))
+    flagged = both.select(F.lit("contradiction").alias("kind"), "p.a", "p.b", "value")
     new = dedup.recomputed_importance(F.col("age_days"), F.col("access_count"), 90.0)
     changed = memories(spark, d).select("id", "importance", new.alias("new")).where("abs(new - importance) > 0.001")
     return flagged.unionByName(changed.select(F.lit("importance").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("new").alias("value")))

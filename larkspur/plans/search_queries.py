@@ -253,6 +253,15 @@ def _contradictions(spark, d):
     return near.where(text.overlap(F.col("x_content"), F.col("y_content")) < 0.3)
 
 
+def _flagged(spark, d):
+    """(a, b, score), a < b, of near vectors whose memories are of different platforms and unlike
+    in words; memories outside the ids of vectors are not read."""
+    v = vectors(spark, d).select("id", "vector")
+    first, last = v.agg(F.min("id"), F.max("id")).first()
+    m = memories(spark, d).where(F.col("id").between(F.lit(first), F.lit(last)))
+    return dedup.unlike_pairs(v, m.select("id", "platform", text.word_set(F.col("content")).alias("words")), THRESHOLD, 0.3)
+
+
 @query("d6_importance", M + "SELECT id, round(least(exp(-floor(age_days) / 90) * (1 + 0.1::DOUBLE * ln(1 + access_count)), 1), 4) AS importance, abs(round(least(exp(-floor(age_days) / 90) * (1 + 0.1::DOUBLE * ln(1 + access_count)), 1), 4) - importance) > 0.001 AS changed FROM memories")
 def importance(spark, d):
     new = dedup.recomputed_importance(F.col("age_days"), F.col("access_count"), 90.0)

@@ -22,6 +22,35 @@ def test_similar_pairs(spark, block):
     assert got == {(i, j) for i, v in x for j, w in y if i != j and v @ w >= 0.6}
 
 
+def likeness(x, y):
+    return float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y) or 1))
+
+
+@pytest.mark.parametrize(("block", "bits", "part"), [(7, 64, 5), (40, 512, 16384), (32768, 4096, 16384)])
+def test_unlike_pairs(spark, monkeypatch, block, bits, part):
+    """Rows of every size of word set, of one id twice, without vector, platform or words; with few bits most pairs meet their words."""
+    monkeypatch.setattr(dedup, "SKETCH_BITS", bits)
+    monkeypatch.setattr(dedup, "PART", part)
+    r, g = random.Random(2), np.random.default_rng(2)
+    v = [(i, g.normal(size=6).tolist()) for i in range(110)] + [(3, g.normal(size=6).tolist()), (120, [0.0] * 6), (121, None), (None, [1.0] * 6)]
+    m = [(i, r.choice(["p", "q", None]), r.sample([f"w{k}" for k in range(40)], r.choice([0, 1, 5, 20, 30]))) for i in range(130)] + [(5, "r", ["w1", "w2"]), (6, "p", None), (None, "p", [])]
+    m[8], m[9] = (8, "p", m[7][2]), (9, "q", m[7][2])
+    vectors_, rows = spark.createDataFrame(v, "id long, vector array<double>"), spark.createDataFrame(m, "id long, platform string, words array<string>")
+    got = sorted((x.a, x.b, round(x.score, 9)) for x in dedup.unlike_pairs(vectors_, rows, 0.3, 0.3, block).collect())
+    full = [(i, x, p, set(w)) for i, x in v if i is not None and x for j, p, w in m if i == j and p and w is not None]
+    want = [(a, b, round(s, 9)) for a, x, p, t in full for b, y, q, u in full if a < b and p != q and (s := likeness(x, y)) >= 0.3 and len(t & u) / max(1, len(t | u)) < 0.3]
+    assert got == sorted(want) and len(want) > 300
+
+
+@pytest.mark.parametrize("name", ["d9_details"])
+def test_no_text_is_joined_with_pairs(spark, sf_dir, name):
+    from larkspur.plans import catalog
+
+    found = catalog.QUERIES[name](spark, sf_dir)
+    assert "text#" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "/near-pairs-" in "".join(found.inputFiles())
+
+
 def test_greedy_merges(spark):
     pairs = spark.createDataFrame([(1, 2, 0.95), (2, 1, 0.95), (2, 3, 0.95), (3, 2, 0.95)], "a long, b long, score double")
     rows = spark.createDataFrame([(1, "p", 0.5, 1), (2, "p", 0.9, 2), (3, "p", 0.9, 3)], "id long, platform string, confidence double, created_minute long")
