@@ -245,14 +245,6 @@ def contradictions(spark, d):
     return out.select("id", "status", F.array_join(F.transform("supersedes", lambda x: x.cast("string")), ",").alias("supersedes"))
 
 
-def _contradictions(spark, d):
-    m = memories(spark, d).select("id", "content", "platform", "status")
-    x = m.select(*[F.col(c).alias(f"x_{c}") for c in m.columns])
-    y = m.select(*[F.col(c).alias(f"y_{c}") for c in m.columns])
-    near = _pairs(spark, d).join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id"))
-    return near.where(text.overlap(F.col("x_content"), F.col("y_content")) < 0.3)
-
-
 def _flagged(spark, d):
     """(a, b, score), a < b, of near vectors whose memories are of different platforms and unlike
     in words; memories outside the ids of vectors are not read."""
@@ -277,7 +269,7 @@ def greedy_merges(spark, d):
 
 @query("d8_cross_platform_flags", f"{MV}, {_PAIRS} SELECT a, b FROM pairs JOIN memories x ON a = x.id JOIN memories y ON b = y.id WHERE a < b AND x.platform <> y.platform AND {_OVERLAP} < 0.3")
 def cross_platform_flags(spark, d):
-    return _contradictions(spark, d).where("a < b AND x_platform <> y_platform").select("a", "b")
+    return _flagged(spark, d).select("a", "b")
 
 
 @query("d9_report")

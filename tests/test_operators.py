@@ -42,7 +42,7 @@ def test_unlike_pairs(spark, monkeypatch, block, bits, part):
     assert got == sorted(want) and len(want) > 300
 
 
-@pytest.mark.parametrize("name", ["d9_details"])
+@pytest.mark.parametrize("name", ["d8_cross_platform_flags", "d9_details"])
 def test_no_text_is_joined_with_pairs(spark, sf_dir, name):
     from larkspur.plans import catalog
 
