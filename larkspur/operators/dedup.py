@@ -4,7 +4,7 @@ Pairs above a threshold come from blocks of vectors: both sides are cut into blo
 bounded size by a hash of the id, and a task multiplies one block of each as matrices.
 No vector passes through the driver, and no pair below the threshold leaves a task.
 
-A table that meets itself (``unlike_pairs``) is dealt in larger blocks of which
+A table that meets itself (``unlike_pairs``, ``nearest_above``) is dealt in larger blocks of which
 every two meet once, so a row is shuffled once for each ``SELF_ROWS`` rows of the table, and a task
 searches tiles of scores in single precision before it scores what it found in double.
 """
@@ -27,8 +27,8 @@ from larkspur.operators.skew import join_counted
 BLOCK_ROWS = 8192
 #: Rows of a block of a table that meets itself; smaller tables are cut so that all cores work.
 SELF_ROWS, LEAST_ROWS = 32_768, 2048
-#: Bits of a sketch of a word set; candidates that are scored at once.
-SKETCH_BITS, PART = 4096, 16_384
+#: Bits of a sketch of a word set; candidates that are scored, and best partners that are held, at once.
+SKETCH_BITS, PART, HELD = 4096, 16_384, 4_000_000
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
 
 
@@ -221,6 +221,41 @@ def unlike_pairs(vectors: DataFrame, rows: DataFrame, threshold: float, overlap:
     return found.where("x is null").select("a", "b", "score").unionByName(checked.select("a", "b", "score"))
 
 
+def nearest_above(rows: DataFrame, k: int, threshold: float, block_rows: int = SELF_ROWS) -> DataFrame:
+    """(a, b, score, rank): the ``k`` other rows (id, vector) nearest to each row, of those with
+    cosine >= threshold, ties to the lower id.  A task keeps the ``k`` best of its two blocks for
+    each row."""
+
+    def top(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        a, b, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((b, -np.round(score, 12), a))
+        a, b, score = a[order], b[order], score[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return a[keep], b[keep], score[keep]
+
+    def compare(x: pa.Table, y: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        ids, others = x.column("id").to_numpy(), y.column("id").to_numpy()
+        unit = _unit(x.column("vector"))
+        parts, held, bound = [], 0, HELD
+        for i, j, score in _above(unit, unit if same else _unit(y.column("vector")), threshold, same):
+            a, b = ids[i], others[j]
+            keep = a != b
+            a, b, score = a[keep], b[keep], score[keep]
+            parts += [(a, b, score), (b, a, score)]
+            held += 2 * len(a)
+            if held > bound:
+                parts = [top(parts)]
+                held = len(parts[0][0])
+                bound = max(HELD, 2 * held)
+        if held:
+            a, b, score = top(parts)
+            for at in range(0, len(a), PART):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + PART]) for c in (a, b, score)], schema=PAIRS)
+
+    usable = _with_vector(rows).select("id", "vector")
+    return best(_meeting(usable, usable.count(), compare, "a long, b long, score double", block_rows), k)
+
+
 def best(pairs: DataFrame, k: int) -> DataFrame:
     """The k best partners of each ``a``, ties to the lower id."""
     order = Window.partitionBy("a").orderBy(F.desc(F.round("score", 12)), "b")
@@ -278,13 +313,13 @@ def _walked(left: DataFrame) -> DataFrame:
         gone: set[int] = set()
         out = []
         pdf = pdf.sort_values(["newest", "a", "score", "b"], ascending=[True, True, False, True])
-        for current, group in pdf.groupby("a", sort=False):
-            if current in gone:
-                continue
-            for r in group.itertuples():
-                if r.b not in gone:
-                    out.append((current, r.b) if r.stays else (r.b, current))
-                    gone.add(out[-1][1])
+        current, skipped = None, False
+        for a, b, stays in zip(pdf["a"], pdf["b"], pdf["stays"], strict=True):
+            if a != current:
+                current, skipped = a, a in gone
+            if not skipped and b not in gone:
+                out.append((a, b) if stays else (b, a))
+                gone.add(out[-1][1])
         return pd.DataFrame(out, columns=["kept", "gone"])
 
     named = components(left.select(F.col("a").alias("u"), F.col("b").alias("v")), "merge-groups")

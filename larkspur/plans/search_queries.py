@@ -263,7 +263,7 @@ def importance(spark, d):
 @query("d7_greedy_merges")
 def greedy_merges(spark, d):
     rows = vectors(spark, d).select("id", "platform", "confidence", F.col("id").alias("created_minute"))
-    near = dedup.nearest_k(vectors(spark, d), vectors(spark, d), 5).where(F.col("score") >= THRESHOLD)
+    near = dedup.nearest_above(vectors(spark, d), 5, THRESHOLD)
     return dedup.greedy_merges(near.select("a", "b", "score"), rows)
 
 

@@ -85,6 +85,28 @@ def test_nearest_within_a_key(spark):
         assert got == sorted(want)
 
 
+@pytest.mark.parametrize(("block", "held"), [(7, 50), (50, 4_000_000), (32768, 4_000_000)])
+def test_nearest_above_equals_nearest(spark, monkeypatch, block, held):
+    """With ties, one id twice, and vectors that are zero or null."""
+    monkeypatch.setattr(dedup, "HELD", held)
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=4).round(1).tolist()) for i in range(140)] + [(200 + i, [1.0, 0.5, 0.0, -1.0]) for i in range(9)] + [(5, [1.0, 0.5, 0.0, -1.0]), (300, [0.0] * 4), (301, None), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    order = lambda found: sorted((x.a, x["rank"], x.b, round(x.score, 9)) for x in found.collect())
+    assert order(dedup.nearest_above(df, 5, 0.7, block)) == order(dedup.nearest_k(df, df, 5).where("score >= 0.7"))
+
+
+def test_merges_meet_every_two_blocks_once(spark, sf_dir, monkeypatch):
+    from larkspur.plans import catalog
+
+    met = []
+    whole = dedup._meeting
+    monkeypatch.setattr(dedup, "_meeting", lambda *a: met.append(a[1]) or whole(*a))
+    monkeypatch.setattr(dedup, "nearest_k", None)
+    assert not catalog.QUERIES["d7_greedy_merges"](spark, sf_dir).isEmpty()
+    assert met == [spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()]
+
+
 def greedy_by_turns(pairs, rows):
     info = {i: (p, c, m) for i, p, c, m in rows}
     gone, out = set(), []
