@@ -35,6 +35,18 @@ def test_exact_searches(spark, monkeypatch, clustered, block):
     assert rounded(index.nearest(queries, 5, probes=1)) == rounded(exact)
 
 
+def test_a_query_is_sent_once_to_a_group_of_lists(spark, clustered, monkeypatch):
+    """However many lists it must read: all pairs over -0.9 read all lists."""
+    whole = clustered.where("id is not null and vector is not null and id <> 2001")
+    index = VectorIndex.build(whole, lists=30)
+    assert index._routed(whole, lambda angles, widest, _: angles > -1).count() == whole.count()
+    monkeypatch.setattr(vector_index, "BLOCK", 400)
+    n, _, group, parts = index._grouped()
+    assert max(sum(n[group == g]) for g in set(group)) <= 400 and set(parts) == {1}
+    assert index._routed(whole, lambda angles, widest, _: angles > -1).count() <= whole.count() * len(parts) and len(parts) < 9
+    assert rounded(index.pairs(whole, -0.9)) == rounded(dedup.similar_pairs(whole, whole, -0.9))
+
+
 def test_recall_of_probed_lists(spark, clustered, sf_dir):
     embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     for rows in (clustered.where("id is not null and vector is not null and id <> 2001"), embeddings):
