@@ -147,9 +147,10 @@ class VectorIndex:
 
         return queries.mapInArrow(route, schema)
 
-    def _compared(self, routed: DataFrame, found, n: int) -> DataFrame:
+    def _compared(self, routed: DataFrame, found, n: int, later: bool = False) -> DataFrame:
         """(a, b, score) that ``found`` picks from the ids and unit vectors of queries and of rows of a
-        list; ``n`` is the number of queries, which are cut into parts of about ``BLOCK``."""
+        list; ``n`` is the number of queries, which are cut into parts of about ``BLOCK``.
+        With ``later`` rows up to the least id of the queries at hand are passed over."""
         if not len(self.centroids):
             return routed.sparkSession.createDataFrame([], "a long, b long, score double")
         _, _, group, parts = self._grouped()
@@ -165,7 +166,7 @@ class VectorIndex:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = pa.Table.from_batches(batches)
             query = pc.is_null(both.column("list"))
-            x, y = both.filter(query), both.filter(pc.invert(query)).sort_by([("list", "ascending"), ("id", "ascending")])
+            x, y = both.filter(query).sort_by("id"), both.filter(pc.invert(query)).sort_by([("list", "ascending"), ("id", "ascending")])
             if not x.num_rows or not y.num_rows:
                 return
             ids, others, lists = x.column("id").to_numpy(), y.column("id").to_numpy(), y.column("list").to_numpy()
@@ -178,7 +179,8 @@ class VectorIndex:
                 start, end = np.searchsorted(lists, [value, value + 1])
                 for k in range(0, len(asking), ASKED):
                     which = asking[k : k + ASKED]
-                    for low in range(start, end, READ):
+                    after = np.searchsorted(others[start:end], ids[which[0]], "right") if later else 0
+                    for low in range(start + after, end, READ):
                         high = min(end, low + READ)
                         for i, j, score in found(ids[which], own[which], others[low:high], held[low:high]):
                             if len(i):
@@ -186,17 +188,18 @@ class VectorIndex:
 
         return queries.unionByName(rows).groupBy("grp", "part", "qpart").applyInArrow(compare, "a long, b long, score double")
 
-    def pairs(self, queries: DataFrame, cosine: float) -> DataFrame:
-        """(a, b, score): every query (id, vector) with every other row at ``cosine`` or above."""
+    def pairs(self, queries: DataFrame, cosine: float, later: bool = False) -> DataFrame:
+        """(a, b, score): every query (id, vector) with every other row at ``cosine`` or above; with
+        ``later`` with rows of a greater id only, so that a table meets itself once."""
         most = math.acos(cosine) + 1e-9
         routed = self._routed(queries.select("id", "vector"), lambda angles, widest, _: angles - widest <= most)
 
         def near(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
             for i, j, score in _above(x, y, cosine, False):
-                keep = ids[i] != others[j]
+                keep = ids[i] < others[j] if later else ids[i] != others[j]
                 yield i[keep], j[keep], score[keep]
 
-        return self._compared(routed, near, queries.count())
+        return self._compared(routed, near, queries.count(), later)
 
     def nearest(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = True) -> DataFrame:
         """(a, b, score, rank): the ``k`` nearest other rows of each query, ties to the lower id."""

@@ -26,7 +26,7 @@ def indexed_nearest(spark, d):
 @query("d2_indexed_pairs", f"WITH {VECTORS}, {_PAIRS} SELECT a, b, round(score, 6) AS score FROM pairs WHERE a < b")
 def indexed_pairs(spark, d):
     rows = vectors(spark, d).select("id", "vector")
-    return VectorIndex.build(rows).pairs(rows, THRESHOLD).where("a < b").select("a", "b", F.round("score", 6).alias("score"))
+    return VectorIndex.build(rows).pairs(rows, THRESHOLD, later=True).select("a", "b", F.round("score", 6).alias("score"))
 
 
 _MISSPELT = "CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, 'e', '') WHEN p_partkey % 3 = 1 THEN p_name || 's' ELSE substr(p_name, 2) || 'xy' END"

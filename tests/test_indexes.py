@@ -44,7 +44,9 @@ def test_a_query_is_sent_once_to_a_group_of_lists(spark, clustered, monkeypatch)
     n, _, group, parts = index._grouped()
     assert max(sum(n[group == g]) for g in set(group)) <= 400 and set(parts) == {1}
     assert index._routed(whole, lambda angles, widest, _: angles > -1).count() <= whole.count() * len(parts) and len(parts) < 9
-    assert rounded(index.pairs(whole, -0.9)) == rounded(dedup.similar_pairs(whole, whole, -0.9))
+    both = rounded(dedup.similar_pairs(whole, whole, -0.9))
+    assert rounded(index.pairs(whole, -0.9)) == both
+    assert rounded(index.pairs(whole, -0.9, later=True)) == [x for x in both if x[0] < x[1]]
 
 
 def test_recall_of_probed_lists(spark, clustered, sf_dir):
