@@ -107,6 +107,16 @@ def test_merges_meet_every_two_blocks_once(spark, sf_dir, monkeypatch):
     assert met == [spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()]
 
 
+def test_report_needs_no_twofold_joins(spark, sf_dir, monkeypatch):
+    """Merged and flagged are the rows of their own queries, and come from blocks that meet once."""
+    from larkspur.plans import catalog
+
+    monkeypatch.setattr(dedup, "nearest_k", None)
+    monkeypatch.setattr(dedup, "similar_pairs", None)
+    row = catalog.QUERIES["d9_report"](spark, sf_dir).first()
+    assert row.flagged == catalog.QUERIES["d8_cross_platform_flags"](spark, sf_dir).count() > 0
+
+
 def greedy_by_turns(pairs, rows):
     info = {i: (p, c, m) for i, p, c, m in rows}
     gone, out = set(), []
